@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, for __spark_entry__.py."""
 
-from . import decontaminate, html, jaccard, ogg, packing, tokens, warc
+from . import decontaminate, html, jaccard, langid, ogg, packing, quality, tokens, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -9,7 +9,9 @@ QUERIES = {
     "op4_html_text": html.op4_html_text,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_ogg_media": ogg.op7_ogg_media,
+    "op8_language_id": langid.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {"op1_warc": warc.SQL}
