@@ -1,12 +1,13 @@
 """The subpackage's queries and their SQL, for __spark_entry__.py."""
 
-from . import decontaminate, html, jaccard, langid, ogg, packing, quality, tokens, warc
+from . import decontaminate, html, jaccard, langid, lm, ogg, packing, quality, tokens, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_token_ids": tokens.op2_token_ids,
     "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_html_text": html.op4_html_text,
+    "op5_lm_scores": lm.op5_lm_scores,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_ogg_media": ogg.op7_ogg_media,
     "op8_language_id": langid.op8_language_id,
