@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
-WORDS, BINS = 1 << 17, 12
+WORDS, BINS, NUMBERS = 1 << 17, 12, 26
 SYMBOLS = np.zeros(128, bool)
 SYMBOLS[[ord(c) for c in "#$%&*+<=>@\\^_`{|}~/"]] = True
 STRIP = re.compile(r"^\W+|\W+$")
@@ -90,7 +90,7 @@ class Sparse:
         rng = np.random.default_rng(5)
         w, b, g2, gb = np.zeros(self.size), 0.0, np.full(self.size, 1e-8), 1e-8
         weight = weight / weight.mean()
-        for _ in range(self.epochs):
+        for _ in range(max(self.epochs, 400 * 32 // max(len(rows), 1))):  # 400 batches at least
             order = rng.permutation(len(rows))
             for k in range(0, len(order), 32):
                 part = order[k : k + 32]
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_stratum: int = 2500, pool: int =
             sample.append(r)
     rest = [r for r in got if r["q"] is None][: 2 * pool]
     text = lambda rs: [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rs]
-    meta = lambda rs: np.array([np.frombuffer(r["meta"]) for r in rs]).reshape(len(rs), -1)
+    meta = lambda rs: np.array([np.frombuffer(r["meta"]) for r in rs]).reshape(len(rs), NUMBERS)
     weight = np.array([counts[r["q"], r["t"]] / seen[r["q"], r["t"]] for r in sample])
     good = np.array([float(r["q"] == 1 and not r["t"]) for r in sample])
     return CoTrained(text(sample), meta(sample), good, weight, text(rest), meta(rest), **params)
