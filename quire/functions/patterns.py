@@ -62,7 +62,11 @@ BULLETS = {"number": r"^\s*\d+\.\s+", "letter": r"^\s*[A-Za-z]\.\s+", "symbol":
 def extract_patterns(docs: DataFrame, family: str, kinds: list[str] | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, family, kind, seq, value: all matches in order, in one pass over the text."""
     pack = {k: v for k, v in PACKS[family].items() if kinds is None or k in kinds}
-    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(g)), lambda v, i, k=k: F.struct(F.lit(k).alias("kind"), i.alias("seq"), v.alias("value"))) for k, (p, g) in pack.items()]
+
+    def marked(kind: str):
+        return lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("seq"), v.alias("value"))
+
+    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(g)), marked(k)) for k, (p, g) in pack.items()]
     out = docs.select("doc_id", F.explode(F.concat(*found)).alias("m"))
     return out.select("doc_id", F.lit(family).alias("family"), "m.kind", "m.seq", "m.value")
 

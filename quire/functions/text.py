@@ -70,7 +70,7 @@ def clean_title(col: Column) -> Column:
 
 def assemble_line_text(spans: Column) -> Column:
     """P5: the spans' texts joined by a space, but by nothing after a middle dot, a hyphen or a full stop."""
-    texts = F.filter(F.transform(spans, F.trim), lambda t: t != "")
+    texts = F.filter(F.transform(spans, lambda t: F.trim(t)), lambda t: t != "")
     return F.aggregate(texts, F.lit(""), lambda acc, t: F.concat(acc, F.when((acc == "") | acc.rlike(rf"[{DOTS}∙.\-]$"), "").otherwise(" "), t))
 
 
@@ -93,12 +93,16 @@ def polygon_center(points: Column) -> Column:
 
 def split_title_words(col: Column) -> Column:
     """Cut at hyphens and middle dots, then glue each two neighbours with the mark between them; a last odd one stands alone."""
-    parts = F.split(col, rf"[{SPLIT_MARKS}]")
-    marks = F.regexp_extract_all(col, F.lit(rf"([{SPLIT_MARKS}])"), F.lit(1))
-    n = F.size(parts)
-    glue = lambda k: F.concat(F.get(parts, k * 2), F.when(k * 2 + 1 < n, F.concat(F.get(marks, k * 2), F.get(parts, k * 2 + 1))).otherwise(""))
-    pairs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")), glue)
-    return F.filter(F.transform(pairs, F.trim), lambda p: ~p.isin("", *SPLIT_MARKS))
+    cut = F.struct(F.split(col, rf"[{SPLIT_MARKS}]").alias("parts"), F.regexp_extract_all(col, F.lit(rf"([{SPLIT_MARKS}])"), F.lit(1)).alias("marks"))
+
+    def pairs(c: Column) -> Column:
+        n = F.size(c["parts"])
+        glue = lambda k: F.concat(F.get(c["parts"], k * 2), F.when(k * 2 + 1 < n, F.concat(F.get(c["marks"], k * 2), F.get(c["parts"], k * 2 + 1))).otherwise(""))
+        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")), glue)
+
+    # the one-element array binds the cut, which is else evaluated for each pair
+    bound = F.flatten(F.transform(F.array(cut), pairs))
+    return F.filter(F.transform(bound, lambda p: F.trim(p)), lambda p: ~p.isin("", *SPLIT_MARKS))
 
 
 CITATION = rf"\((?:{ACTS})(?:법|령)\s+제\d+조(?:의\d+)?(?:\s*제\d+항)?(?:\s*,\s*제\d+조(?:의\d+)?)*\)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+PIECE = 4
 LEADER = r"\s*(?:\.{2,}|[･·ㆍ∙]{2,})\s*\d+\s*$"
 
 
@@ -20,7 +21,7 @@ def match_titles_fuzzy(lines: DataFrame, titles: DataFrame, threshold: float = 0
     """Adds title_no, title and rung: 1 equal when cleaned, 2 without leader and page, 3 without number, 4 most of the title's words.
 
     The equality rungs are joins on keys. Only what is left goes to rung 4: a title is a
-    candidate for a line if a word of the line holds the first two characters of one of
+    candidate for a line if a word of the line holds the first four characters (or all) of one of
     the title's longest words: of n words a match lacks at most 30 %, so it holds one of
     any 0.3 n + 1. Candidates are found by an equi-join on these pieces, then verified.
     """
@@ -37,11 +38,16 @@ def match_titles_fuzzy(lines: DataFrame, titles: DataFrame, threshold: float = 0
     wanted = titles.select("title_no", "title", words(X.clean_title(F.col("title"))).alias("ws")).filter(F.size("ws") >= 2)
     # any 70 % of n words leave out floor(0.3 n) of them: a line lacks at most so many, so it holds one of any floor(0.3 n) + 1
     some = F.slice(F.array_sort("ws", lambda a, b: F.length(b) - F.length(a)), 1, (F.size("ws") - F.ceil(F.size("ws") * threshold) + 1).cast("int"))
-    piece = lambda w: F.substring(w, 1, 2)
-    wanted = wanted.select("title_no", "title", "ws", F.explode(F.array_distinct(F.transform(some, piece))).alias("piece"))
-    left = out.filter("_m is null").select("doc_id", "pos", words(F.col("_k1")).alias("ts"))
-    pieces = F.array_distinct(F.flatten(F.transform("ts", lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: t.substr(i, F.lit(2))))))
-    pairs = left.select("doc_id", "pos", "ts", F.explode(pieces).alias("piece")).join(wanted, "piece")
+    wanted = wanted.select("title_no", "title", "ws", F.explode(F.array_distinct(F.transform(some, lambda w: F.substring(w, 1, PIECE)))).alias("piece"))
+    left = out.filter("_m is null").select("doc_id", "pos", F.array_distinct(words(F.col("_k1"))).alias("ts"))
+
+    def parts(t: Column) -> Column:
+        """Substrings of up to PIECE characters, of two at least."""
+        at = F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1)))
+        return F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(2), F.lit(PIECE)), lambda n: t.substr(i, n))))
+
+    pieces = F.array_distinct(F.flatten(F.transform("ts", parts)))
+    pairs = left.select("doc_id", "pos", "ts", F.explode(pieces).alias("piece")).join(wanted, "piece").dropDuplicates(["doc_id", "pos", "title_no"])
     got = F.size(F.filter("ws", lambda w: F.exists("ts", lambda t: F.contains(t, w))))
     near = pairs.filter(got >= F.size("ws") * threshold).groupBy("doc_id", "pos").agg(F.min(F.struct("title_no", "title")).alias("_f"))
     out = out.drop("_k1").join(near, ["doc_id", "pos"], "left")

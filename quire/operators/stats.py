@@ -40,7 +40,7 @@ def content_totals(els: DataFrame) -> DataFrame:
 def layout_statistics(els: DataFrame) -> DataFrame:
     """Mean and population deviation of element centres on each page; elements without coordinates don't count."""
     x, y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    stats = {f"{f}_{k}": F.round(g(c), 6) for k, c in (("x", x), ("y", y)) for f, g in (("mean", F.avg), ("std", F.stddev_pop))}
+    stats = {f"{k}_{f}": F.round(g(c), 8) for k, c in (("x", x), ("y", y)) for f, g in (("mean", F.avg), ("std", F.stddev_pop))}
     return els.filter("x1 is not null").groupBy("doc_id", "page").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in stats.items()])
 
 

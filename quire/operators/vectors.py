@@ -36,7 +36,8 @@ def embed_rows(rows: DataFrame, embedder: Callable[[list[str]], list] = hashed_e
                 except Exception:  # noqa: BLE001  a service's failure costs its batch alone
                     continue
                 ok = [v is not None for v in vs]
-                yield pd.DataFrame({"id": part.id[ok], "embedding": [v for v in vs if v is not None]})
+                if any(ok):
+                    yield pd.DataFrame({"id": part.id[ok], "embedding": [v for v in vs if v is not None]})
 
     return rows.select("id", "content").mapInPandas(run, "id long, embedding array<float>")
 

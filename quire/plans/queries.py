@@ -75,6 +75,28 @@ def k_docs(s: SparkSession, d: str, sep: str = " ") -> DataFrame:
 # sources and listings
 
 
+def parsed(s, d):
+    """E as parse JSON, written and read again: a document a line, its number in `api`."""
+    e = B.lines(s, d)
+    el = F.struct("id", "page", "category", "type", F.struct("text", "markdown").alias("content"), F.array().cast("array<struct<x double, y double>>").alias("coordinates"))
+    docs = e.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", el.alias("e")))), lambda x: x["e"]).alias("elements"))
+    path = io.scratch(s, "parsed")
+    docs.select(F.col("doc_id").cast("string").alias("api"), "elements").write.json(path)
+    return io.read_parsed_documents(s, path, multi_line=False, key="api")
+
+
+@query(f"WITH {B.E} SELECT doc_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, id, page, type, text FROM e")
+def io1_parsed_documents(s, d):
+    return parsed(s, d).select("doc_id", "pos", "id", "page", "type", "text")
+
+
+@query(f"WITH {B.E} SELECT type, count(*) AS n, sum(length(text))::BIGINT AS chars FROM e GROUP BY type")
+def io4_write_elements(s, d):
+    path = io.scratch(s, "elements")
+    io.write_elements(B.lines(s, d), path, "parquet", ["type"])
+    return s.read.parquet(path).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
 @query(f"WITH {B.E} SELECT doc_id, pos + 1 AS line_number, text FROM e")
 def io2_text_lines(s, d):
     return io.to_lines(B.table(s, d, "documents"))
@@ -93,7 +115,7 @@ def io3_tolerant_json(s, d):
     return out.select("event_id", "parsed.own", "parsed.note", "ok")
 
 
-@query("SELECT vec_id, len(embedding) AS dim, round(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE)), 4) AS squared FROM embeddings")
+@query("SELECT vec_id, len(embedding) AS dim, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS squared FROM embeddings")
 def io5_embeddings(s, d):
     v = io.vectors(B.table(s, d, "embeddings"))
     return v.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("squared"))
@@ -126,10 +148,10 @@ def m1_merge_batches(s, d):
 
 
 @query(f"""WITH {B.E}, b AS (SELECT doc_id, page AS batch_no, string_agg(text, ' ' ORDER BY pos) AS text, count(*) AS pages FROM e WHERE page % 7 <> 0 GROUP BY ALL)
-SELECT doc_id, string_agg(text, '' ORDER BY batch_no) AS text, string_agg(upper(text), '' ORDER BY batch_no) AS markdown, sum(pages)::BIGINT AS pages, 'v' || min(batch_no) AS api, 'm' || min(batch_no) AS model FROM b GROUP BY doc_id""")
+SELECT doc_id, string_agg(text, '' ORDER BY batch_no) AS text, string_agg(lower(text), '' ORDER BY batch_no) AS markdown, sum(pages)::BIGINT AS pages, 'v' || min(batch_no) AS api, 'm' || min(batch_no) AS model FROM b GROUP BY doc_id""")
 def m2_merge_batch_content(s, d):
     b = batch_rows(s, d).groupBy("doc_id", "batch_no", "status").agg(batches.ordered_join(["pos"], "text", " ").alias("text"), F.count("*").alias("pages"))
-    b = b.withColumns({"markdown": F.upper("text"), "api": F.concat(F.lit("v"), "batch_no"), "model": F.concat(F.lit("m"), "batch_no")})
+    b = b.withColumns({"markdown": F.lower("text"), "api": F.concat(F.lit("v"), "batch_no"), "model": F.concat(F.lit("m"), "batch_no")})
     return batches.merge_batch_content(b)
 
 
@@ -147,7 +169,7 @@ def x1_document_text(s, d):
 
 # scalar functions
 
-MIXED = "CASE WHEN pos % 3 = 0 THEN '' ELSE text END AS a, CASE WHEN pos % 4 = 0 THEN NULL ELSE upper(text) END AS b"
+MIXED = "CASE WHEN pos % 3 = 0 THEN '' ELSE text END AS a, CASE WHEN pos % 4 = 0 THEN NULL ELSE lower(text) END AS b"
 
 
 @query(f"WITH {B.E} SELECT doc_id, pos, coalesce(nullif(a, ''), nullif(b, ''), '') AS text_pref, coalesce(nullif(b, ''), nullif(a, ''), '') AS md_pref FROM (SELECT doc_id, pos, {MIXED} FROM e)")
@@ -385,10 +407,9 @@ def s5_content_totals(s, d):
     return stats.content_totals(B.lines(s, d))
 
 
-@query(f"WITH {B.G} SELECT doc_id, page, count(*) AS n, round(avg((x1 + x2) / 2), 4) AS x_mean, round(avg((y1 + y2) / 2), 4) AS y_mean, round(stddev_pop((x1 + x2) / 2), 4) AS x_std, round(stddev_pop((y1 + y2) / 2), 4) AS y_std FROM g GROUP BY ALL")
+@query(f"WITH {B.G} SELECT doc_id, page, count(*) AS n, round(avg((x1 + x2) / 2), 8) AS x_mean, round(avg((y1 + y2) / 2), 8) AS y_mean, round(stddev_pop((x1 + x2) / 2), 8) AS x_std, round(stddev_pop((y1 + y2) / 2), 8) AS y_std FROM g GROUP BY ALL")
 def s6_layout_statistics(s, d):
-    out = stats.layout_statistics(B.geometry(s, d))
-    return out.select("doc_id", "page", "n", *[F.round(c, 4).alias(c) for c in ("x_mean", "y_mean", "x_std", "y_std")])
+    return stats.layout_statistics(B.geometry(s, d))
 
 
 SEC = "SELECT *, sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM {}"
@@ -517,7 +538,7 @@ def x13_extract_elements(s, d):
 
 @query()
 def x14_detect_sections(s, d):
-    docs = k_docs(s, d, "\n")
+    docs = k_docs(s, d, "\n").withColumn("text", F.concat("text", F.lit("\n상품 안내\n금리 안내\n계약 기간\n부 칙\n제1조 (당사자)")))
     return blocks.detect_sections(docs, P.detect_document_type(docs))
 
 
@@ -602,7 +623,8 @@ def t9_merge_adjacent(s, d):
 
 @query()
 def t10_merge_overlapping(s, d):
-    return blocks.merge_blocks(g_blocks(s, d), gap=0.01, overlapping=True).select("doc_id", "page", "id", "text", F.array_join("merged_ids", ",").alias("merged"))
+    tall = g_blocks(s, d).withColumn("y2", F.col("y2") + F.when(F.col("pos") % 5 == 0, 0.08).otherwise(0.0))  # some reach into the next line
+    return blocks.merge_blocks(tall, gap=0.01, overlapping=True).select("doc_id", "page", "id", "text", F.array_join("merged_ids", ",").alias("merged"))
 
 
 # vectors and context
@@ -614,7 +636,7 @@ def v1_embed_rows(s, d):
     return vectors.embed_rows(rows).select("id", F.size("embedding").alias("dim"), F.round(F.get("embedding", F.lit(0)), 4).alias("first"))
 
 
-@query("SELECT vec_id, round(v[1] / n, 5) AS first, round(v[64] / n, 5) AS last FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, x -> 3 * x::DOUBLE) AS v FROM embeddings))")
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / n, 5) AS first, round(embedding[64]::DOUBLE / n, 5) AS last FROM (SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)")
 def v2_l2_normalize(s, d):
     e = B.table(s, d, "embeddings").select("vec_id", vectors.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("v"))
     return e.select("vec_id", F.round(F.get("v", F.lit(0)), 5).alias("first"), F.round(F.get("v", F.lit(63)), 5).alias("last"))

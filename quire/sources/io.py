@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +19,16 @@ DOCUMENT = T.StructType(
 )
 
 
-def read_parsed_documents(spark: SparkSession, path: str) -> DataFrame:
-    """IO1: nested parse JSON, a document per file -> a row for each element with doc_id (the file) and pos. A document without elements gives none."""
-    docs = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    rows = docs.select(F.col("_metadata.file_path").alias("doc_id"), F.posexplode("elements").alias("pos", "e"))
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; in a temporary one only where the session names none."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_parsed_documents(spark: SparkSession, path: str, multi_line: bool = True, key: str | None = None) -> DataFrame:
+    """IO1: nested parse JSON, a document per file (or line) -> a row for each element with doc_id (the file, or a top-level field) and pos. A document without elements gives none."""
+    docs = spark.read.schema(DOCUMENT).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
+    rows = docs.select((F.col(key) if key else F.col("_metadata.file_path")).alias("doc_id"), F.posexplode("elements").alias("pos", "e"))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "e.id", "e.page", "e.category", "e.type", F.col("e.content.text").alias("text"), F.col("e.content.markdown").alias("markdown"), "e.coordinates")
 
 
