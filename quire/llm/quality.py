@@ -155,7 +155,7 @@ class CoTrained:
         train = np.flatnonzero(~test)
         sets = [([texts[i] for i in train], y[train].tolist(), weight[train].tolist()), ([m[i] for i in train], y[train].tolist(), weight[train].tolist())]
         free = np.ones(len(pm), bool)
-        make = lambda: (Sparse(WORDS, 1e-6, 0.5, 6), Sparse(int(self.bins.base[-1]), 1e-5, 0.3, 6))
+        make = lambda: (Sparse(WORDS, 1e-6, 4.0, 14), Sparse(int(self.bins.base[-1]), 1e-5, 1.0, 25))
         for r in range(rounds + 1):
             self.text, self.meta = (c.fit(rows, np.array(ys, float), np.array(ws)) for c, (rows, ys, ws) in zip(make(), sets, strict=True))
             if r == rounds or free.sum() < 4 * surest:
