@@ -25,7 +25,7 @@ rows are copies; an empty table gives no rows; more columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -38,8 +38,8 @@ from .common import batches, mix64, path_of, remove, written
 
 SHINGLE, COORDS, SLOTS = 5, 64, 1 << 22
 _rng = np.random.default_rng(20240229)
-MUL = _rng.integers(0, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _rng.integers(0, 2**63, COORDS, dtype=np.uint64)
+MUL = _rng.integers(0, 2**31, COORDS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+ADD = _rng.integers(0, 2**32, COORDS).astype(np.uint32)
 
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -59,10 +59,10 @@ def signature(s: np.ndarray) -> np.ndarray:
     """MinHash values, 31 bits each."""
     if not len(s):
         return np.zeros(COORDS, np.int32)
-    low = np.full(COORDS, 2**64 - 1, np.uint64)
-    for at in range(0, len(s), 2048):
-        low = np.minimum(low, (s[at : at + 2048, None] * MUL + ADD).min(axis=0))
-    return (mix64(low) >> np.uint64(33)).astype(np.int32)
+    x, low = (s >> np.uint64(32)).astype(np.uint32), np.full(COORDS, 2**32 - 1, np.uint32)
+    for at in range(0, len(x), 1024):  # 32-bit products, in pieces that stay in the cache
+        low = np.minimum(low, (x[at : at + 1024, None] * MUL + ADD).min(axis=0))
+    return (mix64(low.astype(np.uint64)) >> np.uint64(33)).astype(np.int32)
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -169,29 +169,46 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], ii: np.ndarray, jj: np.nd
     return inter[ii, jj].astype(np.int64)
 
 
-def compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """One pair of blocks of one leaf (columns canon, side, same, key, n, sig, paths, canons, set) -> key, links, hook, found, once, twice."""
-    canon, same = pdf.canon.iloc[0], bool(pdf.same.iloc[0])
-    left = pdf[pdf.side == 0].sort_values("key", ignore_index=True)
-    right = left if same else pdf[pdf.side == 1].sort_values("key", ignore_index=True)
-    if not len(left) or not len(right):
-        return pd.DataFrame({"key": [], "links": [], "hook": [], "found": [], "once": [], "twice": []})
-    sa, sb = (np.stack(x.sig.to_numpy()) for x in (left, right))
-    # sketches leave out pairs that are far below the threshold, five standard deviations off
+def plausible(left: dict, right: dict, same: bool, threshold: float) -> np.ndarray:
+    """Pairs that sketches and sizes leave possible: agreement not five standard deviations below the threshold."""
+    sa, sb = left["sig"], right["sig"]
     low = int(np.floor(COORDS * (threshold - 5 * np.sqrt(threshold * (1 - threshold) / COORDS))))
-    agree = np.zeros((len(left), len(right)), np.int16)
-    for c in range(COORDS):
-        agree += sa[:, c, None] == sb[None, :, c]
-    na, nb = left.n.to_numpy(np.int64), right.n.to_numpy(np.int64)
-    ok = (agree >= low) & (np.minimum(na[:, None], nb[None, :]) >= threshold * np.maximum(na[:, None], nb[None, :]) - 1e-9)
-    ii, jj = np.nonzero(np.triu(ok, 1) if same else ok)
-    a = [np.frombuffer(x, np.uint64) for x in left.set]
-    b = a if same else [np.frombuffer(x, np.uint64) for x in right.set]
-    inter = overlaps(a, b, ii, jj) if len(ii) else np.zeros(0, np.int64)
+    if len(sa) * len(sb) <= 2048:
+        agree = (sa[:, None, :] == sb[None, :, :]).sum(axis=2)
+    else:
+        agree = np.zeros((len(sa), len(sb)), np.int16)
+        for c in range(COORDS):
+            agree += sa[:, c, None] == sb[None, :, c]
+    na, nb = left["n"][:, None], right["n"][None, :]
+    ok = (agree >= low) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
+    return np.triu(ok, 1) if same else ok
+
+
+def candidates(left: dict, right: dict, same: bool, threshold: float) -> Iterator[tuple]:
+    """Of a pair of blocks the nodes with a plausible partner there: canon, bi, bj, side, same, key."""
+    ok = plausible(left, right, same, threshold)
+    hits = [(left, ok.any(axis=1) | (ok.any(axis=0) if same else False))] + ([] if same else [(right, ok.any(axis=0))])
+    for block, hit in hits:
+        for k in np.flatnonzero(hit).tolist():
+            yield (*block["id"], block["side"][k], same, block["key"][k])
+
+
+def compare(left: dict, right: dict, same: bool, threshold: float) -> Iterator[tuple]:
+    """One pair of blocks of one leaf -> key, links, hook, found, once, twice of its nodes with links."""
+    canon = left["id"][0]
+    na, nb = left["n"].astype(np.int64), right["n"].astype(np.int64)
+    ii, jj = np.nonzero(plausible(left, right, same, threshold))
+    if not len(ii):
+        return
+    a = [np.frombuffer(x, np.uint64) for x in left["set"]]
+    b = a if same else [np.frombuffer(x, np.uint64) for x in right["set"]]
+    inter = overlaps(a, b, ii, jj)
     hit = inter >= threshold * (na[ii] + nb[jj] - inter) - 1e-9
     ii, jj = ii[hit], jj[hit]
+    if not len(ii):
+        return
     # leaves that both nodes of a pair are in: in how many runs, and is this the first
-    both = [*zip(left.paths, left.canons, strict=True), *([] if same else zip(right.paths, right.canons, strict=True))]
+    both = [*zip(left["paths"], left["canons"], strict=True), *([] if same else zip(right["paths"], right["canons"], strict=True))]
     cols = sorted({(c, p) for ps, cs in both for p, c in zip(ps, cs, strict=True)})
     at = {p: k for k, (_, p) in enumerate(cols)}
     member = np.zeros((len(both), len(cols)), bool)
@@ -203,13 +220,13 @@ def compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     first, runs = np.zeros(len(ii), bool), np.zeros(len(ii), np.int64)
     for k in range(0, len(ii), 1 << 14):
         s = slice(k, k + (1 << 14))
-        common = member[ii[s]] & member[jj[s] + (0 if same else len(left))]
+        common = member[ii[s]] & member[jj[s] + (0 if same else len(na))]
         first[s] = canons[common.argmax(axis=1)] == canon
         runs[s] = np.logical_or.reduceat(common[:, by_run], starts, axis=1).sum(axis=1)
     # the smallest node of each node's component within this task
     total = len(both)
     label = np.arange(total)
-    x, y = ii, jj + (0 if same else len(left))
+    x, y = ii, jj + (0 if same else len(na))
     while len(x):
         low_ = np.minimum(label[x], label[y])
         new = label.copy()
@@ -221,15 +238,54 @@ def compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         if (new == label).all():
             break
         label = new
-    keys = [*left.key, *([] if same else right.key)]
-    ii, jj, runs = ii[first], jj[first] + (0 if same else len(left)), runs[first]
+    keys = [*left["key"], *([] if same else right["key"])]
+    ii, jj, runs = ii[first], jj[first] + (0 if same else len(na)), runs[first]
     links = np.bincount(ii, minlength=total) + np.bincount(jj, minlength=total)
-    mine = lambda m: np.bincount(ii[m], minlength=total)  # noqa: E731  each pair at its left node
-    out = pd.DataFrame({"key": keys, "links": links, "hook": [keys[k] for k in label], "found": mine(runs > 0), "once": mine(runs == 1), "twice": mine(runs == 2)})
-    return out[(out.links > 0) | (label != np.arange(total))]
+    mine = [np.bincount(ii[m], minlength=total) for m in (runs > 0, runs == 1, runs == 2)]  # each pair at its left node
+    for k in np.flatnonzero((links > 0) | (label != np.arange(total))).tolist():
+        yield keys[k], int(links[k]), keys[label[k]], int(mine[0][k]), int(mine[1][k]), int(mine[2][k])
+
+
+def by_blocks(rows: DataFrame, work, schema: pa.Schema, out: str) -> DataFrame:
+    """Applies work(left, right, same) to each pair of blocks (canon, bi, bj).
+
+    Rows are dealt by block pair and sorted by it, then left, and by key; a task cuts its
+    sorted stream at the borders, which spares a data frame for each of many small leaves.
+    """
+    ordered = rows.repartition("canon", "bi", "bj").sortWithinPartitions("canon", "bi", "bj", "side", "key")
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[pa.RecordBatch]:
+            rest = None
+            for b in it:
+                b = b if rest is None else pa.concat_batches([rest, b])
+                ids = np.stack([b.column(c).to_numpy() for c in ("canon", "bi", "bj")], axis=1)
+                cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+                for i, j in zip([0, *cuts], cuts, strict=False):
+                    yield b.slice(i, j - i)
+                rest = b.slice(cuts[-1] if len(cuts) else 0)
+            if rest is not None and rest.num_rows:
+                yield rest
+
+        def results() -> Iterator[tuple]:
+            for g in groups():
+                same, sides = g.column("same")[0].as_py(), g.column("side").to_numpy()
+                cols = {"n": g.column("n").to_numpy(), "sig": g.column("sig").flatten().to_numpy().reshape(-1, COORDS)}
+                cols |= {c: g.column(c).to_pylist() for c in g.schema.names if c in ("key", "set", "paths", "canons", "side")}
+                mid = len(sides) if same else int((sides == 0).sum())
+                if mid < (2 if same else 1) or (not same and mid == len(sides)):
+                    continue
+                one = tuple(g.column(c)[0].as_py() for c in ("canon", "bi", "bj"))
+                left, right = ({"id": one} | {k: v[part] for k, v in cols.items()} for part in (slice(0, mid), slice(0 if same else mid, None)))
+                yield from work(left, right, same)
+
+        yield from batches(results(), schema)
+
+    return ordered.mapInArrow(cut, out)
 
 
 FOUND = "key binary, links long, hook binary, found long, once long, twice long"
+LINKS = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("hook", pa.binary()), ("found", pa.int64()), ("once", pa.int64()), ("twice", pa.int64())])
 
 
 def search(docs: DataFrame, nodes: DataFrame, threshold: float, runs: int, split_over: int, block: int, depth: int) -> DataFrame:
@@ -240,17 +296,20 @@ def search(docs: DataFrame, nodes: DataFrame, threshold: float, runs: int, split
     named = written(leaf.join(canon, ["m", "f1", "f2"]).select("key", "path", "canon", "m", "top"), "leaves")
     lists = named.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("canon", "path"))).alias("l"))  # a node's leaves: some for each run
     lists = lists.select("key", F.col("l.path").alias("paths"), F.col("l.canon").alias("canons"))
-    known = written(nodes.join(lists, "key"), "candidates")
-    sets = sets_of(docs, known.select("doc_id", "h")).groupBy("key").agg(F.first("set").alias("set"))
-    known = written(known.join(sets, "key").select("key", "n", "sig", "paths", "canons", "set"), "candidates")
     # blocks of bounded rows and bytes; each node goes to all pairs that its block is in
     blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("m") * F.col("top") / (4 << 20))).cast("int")
     rows = named.filter("path = canon").select("key", "canon", blocks.alias("nb"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("nb")).cast("int"))
     rows = rows.select("key", "canon", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     rows = rows.select("key", "canon", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("same"))
-    cut = lambda pdf: compare(pdf, threshold)
-    return written(rows.join(known, "key").groupBy("canon", "bi", "bj").applyInPandas(cut, FOUND), "links")
+    # sketches first: only nodes with a plausible partner need their sets
+    ids = pa.schema([("canon", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("side", pa.int32()), ("same", pa.bool_()), ("key", pa.binary())])
+    near = by_blocks(rows.join(nodes.select("key", "n", "sig"), "key"), partial(candidates, threshold=threshold), ids, "canon long, bi int, bj int, side int, same boolean, key binary")
+    near = written(near, "near")
+    known = written(nodes.join(lists, "key").join(near.select("key").distinct(), "key", "left_semi"), "candidates")
+    sets = sets_of(docs, known.select("doc_id", "h")).groupBy("key").agg(F.first("set").alias("set"))
+    known = known.join(sets, "key").select("key", "n", "sig", "paths", "canons", "set")
+    return written(by_blocks(near.join(known, "key"), partial(compare, threshold=threshold), LINKS, FOUND), "links")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
