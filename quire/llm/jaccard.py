@@ -367,15 +367,17 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
     classes = near_duplicates(docs.select("doc_id", "text"), **params)
     gone = written(classes.filter(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("keeper")))).select("doc_id", "h").distinct(), "gone")
     again = written(classes.groupBy("doc_id", "h").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id", "h"), "gone")
-    own = docs.withColumn("_h", F.xxhash64("text"))
-    match = lambda x: own["doc_id"].eqNullSafe(x["doc_id"]) & (own["_h"] == x["h"])
-    kept = own.join(gone, match(gone), "left_anti")
+    name = "_h"
+    while name in docs.columns:
+        name += "_"
+    own = docs.withColumn(name, F.xxhash64("text"))
+    same = lambda left, right: left["doc_id"].eqNullSafe(right["doc_id"]) & (left[name] == right["h"])
+    kept = own.join(gone, same(own, gone), "left_anti")
     if again.isEmpty():
-        return kept.drop("_h")
+        return kept.drop(name)
     # repeated rows among the kept: one of each
-    own = kept
-    twice = own.join(again, match(again), "left_semi").dropDuplicates(["doc_id", "_h"])
-    return own.join(again, match(again), "left_anti").unionByName(twice).drop("_h")
+    twice = kept.join(again, same(kept, again), "left_semi").dropDuplicates(["doc_id", name])
+    return kept.join(again, same(kept, again), "left_anti").unionByName(twice).drop(name)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

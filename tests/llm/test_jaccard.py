@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import jaccard as J
 
@@ -62,7 +63,7 @@ def test_against_all_pairs(spark, split_over, block):
 
 
 def test_one_of_each(spark):
-    df = spark.createDataFrame([(3, "a b c d e f", 1), (2, "A b c  d e f", 2), (2, "A b c  d e f", 2), (5, "other words here", 3), (None, "other words here", 4)], "doc_id long, text string, h long")
+    df = spark.createDataFrame([(3, "a b c d e f", 1), (2, "A b c  d e f", 2), (2, "A b c  d e f", 2), (5, "other words here", 3), (None, "other words here", 4)], "doc_id long, text string, h long").withColumn("_h", F.col("h"))
     assert sorted((r.doc_id, r.h) for r in J.one_of_each(df).collect()) == [(2, 2), (5, 3)]
 
 
