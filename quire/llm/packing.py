@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_by_size
+from .common import pieces_by_size, written
 
 CAPACITIES = (256, 512, 1024, 2048)
 OUT = "doc_id long, piece int, start long, length int, bin_id string, bin_size int, bin_offset int"
@@ -94,6 +94,7 @@ def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, grou
     """docs(doc_id, n_tokens) -> a row for each piece: bin, final bin size, offset in the bin."""
     top, caps = max(capacities), list(capacities)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n"))
+    docs = written(docs, "lengths")  # texts are counted once, not for whole pieces and rests each
     rows = docs.agg(F.count("*").alias("n")).first().n
     groups = pieces_by_size(rows, group_rows)
     whole = docs.filter(F.col("n") >= top).select("doc_id", "n", F.monotonically_increasing_id().alias("row"), F.explode(F.sequence(F.lit(0), (F.col("n") / top).cast("int") - 1)).alias("piece"))
