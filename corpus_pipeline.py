@@ -30,7 +30,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of training sequences: a row for each piece of a document."""
-    return packing.pack_documents(docs.select("doc_id", packing.word_count().alias("n_tokens")))
+    return packing.pack_documents(packing.token_counts(docs))
 
 
 STAGES = [

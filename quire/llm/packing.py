@@ -7,7 +7,9 @@ to hold, given the lengths still to come (for a piece of length l and capacity c
 as much of the rest as fits, for what the remaining pieces can fill). At the end each
 bin is cut down to the smallest permitted length that holds its contents.
 
-A document longer than the largest length is cut into pieces of that length and a rest.
+Lengths are counts of token ids: those of op2's tokenizer, and one for the end id, so that
+start and length address the token stream that op2 writes. A document longer than the
+largest length is cut into pieces of that length and a rest.
 
 Documents are dealt to groups of about `group_rows` by a hash of id and text length, and
 each group is packed alone: with thousands of pieces to a group the loss against one
@@ -15,7 +17,7 @@ global packing is a few bins. Groups hold numbers only (24 bytes a piece), so th
 group that many repeated rows make larger is no burden. A full-length piece is a bin of
 its own; it needs no group and never enters one.
 
-Defined cases: null or blank text has no token and goes to no bin (bin_id null, one row);
+Defined cases: null or blank text has nothing to train on and goes to no bin (length 0, bin_id null, one row);
 rows with equal doc_id and length are packed as rows of their own; null doc_id is kept;
 an empty table gives no rows; more columns are ignored.
 """
@@ -23,14 +25,16 @@ an empty table gives no rows; more columns are ignored.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces_by_size, written
+from .tokens import encoder
 
 CAPACITIES = (256, 512, 1024, 2048)
 OUT = "doc_id long, piece int, start long, length int, bin_id string, bin_size int, bin_offset int"
@@ -85,11 +89,31 @@ def pack(lengths: np.ndarray, capacities: Sequence[int] = CAPACITIES) -> tuple[n
 
 
 def word_count(text: str | Column = "text") -> Column:
-    """Tokens of a text for planning: its words, and one for the end; 0 if there is none."""
+    """Words of a text, and one for the end; 0 if there is none."""
     col = F.trim(F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"\s+", " "))
     return F.when(col == "", 0).otherwise(F.length(col) - F.length(F.replace(col, F.lit(" "), F.lit(""))) + 2).cast("long")
 
 
+def token_counts(docs: DataFrame, file: str | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_tokens: token ids of the text and the end id; 0 for a text that is null or blank."""
+    if file is None:
+        import public_tokenizers
+
+        file = public_tokenizers.path("byte_bpe_50k.json")
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(file)
+        for b in it:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            n: list[int] = []
+            for at in range(0, len(texts), 500):
+                part = texts[at : at + 500]
+                n += [len(ids) // enc.dtype.itemsize + 1 if t.strip(" \t\n\x0b\f\r") else 0 for t, ids in zip(part, enc.encode(part), strict=True)]
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_tokens long")
+
+
 def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, group_rows: int = 20_000) -> DataFrame:
     """docs(doc_id, n_tokens) -> a row for each piece: bin, final bin size, offset in the bin."""
     top, caps = max(capacities), list(capacities)
@@ -119,4 +143,4 @@ def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, grou
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_documents(docs.select("doc_id", word_count().alias("n_tokens")))
+    return pack_documents(token_counts(docs))

@@ -162,3 +162,21 @@ def test_packed_documents(spark):
 def test_word_count(spark):
     df = spark.createDataFrame([("a  b\nc",), (" x ",), ("",), (None,), ("\n ",)], "text string")
     assert [r[0] for r in df.select(P.word_count()).collect()] == [4, 2, 0, 0, 0]
+
+
+def test_packed_lengths_are_token_ids(spark, tmp_path):
+    import public_tokenizers
+
+    from quire.llm import tokens
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(0, "q" + "xzjk" * 5000), (1, "internationalisation of words, and 12345 more"), (2, "  odd\u00a0 white  space "), (3, None), (4, " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens.write_tokens(df, str(tmp_path / "t"), file, 2)
+    want = {r.doc_id: r.n_tokens for r in tokens.read_tokens(spark, str(tmp_path / "t")).collect()} | {3: 0, 4: 0}
+    got = {r.doc_id: r.n_tokens for r in P.token_counts(df).collect()}
+    assert got == want and got[0] > max(P.CAPACITIES)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    out = P.op9_best_fit_packing(spark, str(tmp_path)).collect()
+    assert {d: sum(r.length for r in out if r.doc_id == d) for d in want} == want
+    assert all(r.bin_offset + r.length <= r.bin_size for r in out if r.bin_id is not None)
