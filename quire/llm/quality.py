@@ -3,12 +3,15 @@
 The text view is a logistic regression on hashed words (square roots of counts, length
 1). The metadata view is one on the document's record and page layout (language, source,
 size, line and word statistics, shares of kinds of characters), each number cut at the
-sample's quantiles. A document is good if its label says quality 1 and not toxic.
+sample's quantiles. Two targets are learned apart on these views: quality 1, and not toxic.
 
-Both start from labelled rows. In each round, each view labels a pool of unlabelled
+Both views start from labelled rows. In each round, each view labels a pool of unlabelled
 rows, and its surest ones, as many good as bad, join the other view's training set
 at half weight. Then each view's logit is calibrated on labelled rows kept apart (Platt),
 and a logistic combination of the two, fitted on the same rows, scores every document.
+A score is the product of both targets' probabilities. Either target rejects: quality below
+0.35 (which keeps nearly all good ones), or a probability of not being toxic below that
+which all but 1 % of the kept-apart good documents reach.
 
 Samples: up to `per_stratum` labelled rows of each (quality, toxic), and a pool of about
 `pool` others, those lowest by a hash of the id; rows weigh as their stratum does in all
@@ -16,14 +19,15 @@ labels. That bound is the only sampling: every document is scored, from its whol
 
 Defined cases: null or empty text has neither words nor lines and is scored as such; null
 labels, labels without a document and null ids are not learned from; several labels of
-a document count as the worst of them; without both good and bad labels all scores
-are 0.5 and accepted (from 0.35 on, which keeps nearly all good ones); an empty table gives no rows; more columns are ignored or kept.
+a document count as the worst of them; a target whose labels are all alike takes no part,
+and without any all scores are 0.5 and accepted; an empty table gives no rows; more columns are ignored or kept.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +68,7 @@ def meta_view(text: str, words: list[str], lang: str | None, source: str | None,
     return np.array([
         np.log1p(n_chars if n_chars is not None else len(text)), np.log1p(len(words)), np.log1p(len(lines)), lengths.mean(), lengths.std(), lengths.max(), per_line.mean(), per_line.std(),
         upper / max(letters, 1), low[48:58].sum() / total, low[33:127][SYMBOLS[33:127]].sum() / n, low[ord("!")] / n, low[ord("|")] / n, low[ord(".")] / n, low[ord(",")] / n, low[ord("*")] / n, low[ord("#")] / n,
-        low[128:].sum() / total, len(counts) / n, counts.max() / n, 1 - len(set(lines)) / max(len(lines), 1), max((lines.count(x) for x in set(lines[:50])), default=0) / max(len(lines), 1),
+        low[128:].sum() / total, len(counts) / n, counts.max() / n, 1 - len(set(lines)) / max(len(lines), 1), max(Counter(lines).values(), default=0) / max(len(lines), 1),
         low[10] / n, low[32] / total, zlib.crc32((lang or "").encode()) % 64, zlib.crc32((source or "").encode()) % 64,
     ])
 
@@ -143,7 +147,7 @@ def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3) -
 class CoTrained:
     """Two views, calibrated and combined."""
 
-    def __init__(self, texts: list, metas: np.ndarray, y: np.ndarray, weight: np.ndarray, pool_texts: list, pool_metas: np.ndarray, rounds: int = 4, surest: int = 60):
+    def __init__(self, texts: list, metas: np.ndarray, y: np.ndarray, weight: np.ndarray, pool_texts: list, pool_metas: np.ndarray, rounds: int = 4, surest: int = 60, words: tuple[float, float] = (1e-6, 4.0)):
         self.ready = len(y) >= 8 and 0 < y.mean() < 1
         if not self.ready:
             return
@@ -155,7 +159,7 @@ class CoTrained:
         train = np.flatnonzero(~test)
         sets = [([texts[i] for i in train], y[train].tolist(), weight[train].tolist()), ([m[i] for i in train], y[train].tolist(), weight[train].tolist())]
         free = np.ones(len(pm), bool)
-        make = lambda: (Sparse(WORDS, 1e-6, 4.0, 14), Sparse(int(self.bins.base[-1]), 1e-5, 1.0, 25))
+        make = lambda: (Sparse(WORDS, *words, 14), Sparse(int(self.bins.base[-1]), 1e-5, 1.0, 25))
         for r in range(rounds + 1):
             self.text, self.meta = (c.fit(rows, np.array(ys, float), np.array(ws)) for c, (rows, ys, ws) in zip(make(), sets, strict=True))
             if r == rounds or free.sum() < 4 * surest:
@@ -169,7 +173,7 @@ class CoTrained:
                     ys.append(label)
                     ws.append(float(np.mean(weight)) / 2)
                     free[left[i]] = False
-        held = np.flatnonzero(test) if test.any() else np.arange(len(y))
+        self.held = held = np.flatnonzero(test) if test.any() else np.arange(len(y))
         z = self.logits([texts[i] for i in held], [m[i] for i in held])
         self.platt = [newton(z[:, k : k + 1], y[held], weight[held]) for k in (0, 1)]
         self.both = newton(z, y[held], weight[held])
@@ -186,6 +190,31 @@ class CoTrained:
         return np.stack([*one, sigmoid(z @ self.both[:2] + self.both[2])], axis=1)
 
 
+class Judge:
+    """Co-trained targets: quality 1, and not toxic, which rarer words decide (a slower, more regular text view)."""
+
+    def __init__(self, texts: list, metas: np.ndarray, fine: np.ndarray, clean: np.ndarray, weight: np.ndarray, pool_texts: list, pool_metas: np.ndarray, **params):
+        self.fine = CoTrained(texts, metas, fine, weight, pool_texts, pool_metas, **params)
+        self.clean = CoTrained(texts, metas, clean, weight, pool_texts, pool_metas, words=(1e-4, 1.0), **params)
+        self.least_clean = 0.0
+        if self.clean.ready:
+            held = [i for i in self.clean.held if fine[i] and clean[i]]
+            if held:
+                p = self.clean.score([texts[i] for i in held], metas[held])[:, 2]
+                order = np.argsort(p)
+                lost = np.cumsum(weight[held][order]) / weight[held].sum()
+                self.least_clean = float(p[order][np.searchsorted(lost, 0.01, side="right")])
+
+    def score(self, texts: list, metas: np.ndarray) -> np.ndarray:
+        """(text view, metadata view, both: probabilities of good; quality, not toxic: those of each target)."""
+        fine, clean = (t.score(texts, metas) if t.ready else np.ones((len(texts), 3)) for t in (self.fine, self.clean))
+        good = fine * clean if self.fine.ready or self.clean.ready else np.full((len(texts), 3), 0.5)
+        return np.column_stack([good, fine[:, 2], clean[:, 2]])
+
+    def accepted(self, s: np.ndarray, least: float) -> np.ndarray:
+        return (s[:, 3] >= least) & (s[:, 4] >= self.least_clean)
+
+
 COLS = ("text", "lang", "source", "n_chars")
 
 
@@ -193,7 +222,7 @@ def record(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), *[F.col(c).cast("long" if c == "n_chars" else "string") for c in COLS])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_stratum: int = 2500, pool: int = 3000, **params) -> CoTrained:
+def fit(docs: DataFrame, labels: DataFrame, per_stratum: int = 2500, pool: int = 3000, **params) -> Judge:
     docs = record(docs)
     own = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.col("toxic").cast("int")).dropna(subset=["doc_id", "quality"])
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
@@ -230,38 +259,38 @@ def fit(docs: DataFrame, labels: DataFrame, per_stratum: int = 2500, pool: int =
     text = lambda rs: [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rs]
     meta = lambda rs: np.array([np.frombuffer(r["meta"]) for r in rs]).reshape(len(rs), NUMBERS)
     weight = np.array([counts[r["q"], r["t"]] / seen[r["q"], r["t"]] for r in sample])
-    good = np.array([float(r["q"] == 1 and not r["t"]) for r in sample])
-    return CoTrained(text(sample), meta(sample), good, weight, text(rest), meta(rest), **params)
+    fine, clean = np.array([float(r["q"] == 1) for r in sample]), np.array([float(not r["t"]) for r in sample])
+    return Judge(text(sample), meta(sample), fine, clean, weight, text(rest), meta(rest), **params)
 
 
-def scores(model: CoTrained, batch: pa.RecordBatch, block: int = 512) -> np.ndarray:
+def scores(model: Judge, batch: pa.RecordBatch, block: int = 512) -> np.ndarray:
     cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in COLS]
-    out = [np.zeros((0, 3))]
+    out = [np.zeros((0, 5))]
     for k in range(0, batch.num_rows, block):
         vs = [views(*row) for row in zip(*(c[k : k + block] for c in cols), strict=True)]
         out.append(model.score([(a, v) for a, v, _ in vs], np.array([m for _, _, m in vs])))
     return np.concatenate(out)
 
 
-def classify(docs: DataFrame, model: CoTrained, least: float = 0.35) -> DataFrame:
+def classify(docs: DataFrame, model: Judge, least: float = 0.35) -> DataFrame:
     """docs -> doc_id, text_score, meta_score, score, accepted."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             s = scores(known.value, b)
-            yield pa.record_batch([b.column(0), *[pa.array(s[:, k], pa.float64()) for k in range(3)], pa.array(s[:, 2] >= least, pa.bool_())], names=["doc_id", "text_score", "meta_score", "score", "accepted"])
+            yield pa.record_batch([b.column(0), *[pa.array(s[:, k], pa.float64()) for k in range(3)], pa.array(known.value.accepted(s, least), pa.bool_())], names=["doc_id", "text_score", "meta_score", "score", "accepted"])
 
     return record(docs).mapInArrow(rows, "doc_id long, text_score double, meta_score double, score double, accepted boolean")
 
 
-def keep(docs: DataFrame, model: CoTrained, least: float = 0.35) -> DataFrame:
+def keep(docs: DataFrame, model: Judge, least: float = 0.35) -> DataFrame:
     """The accepted rows, all columns."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield b.filter(pa.array(scores(known.value, b)[:, 2] >= least, pa.bool_()))
+            yield b.filter(pa.array(known.value.accepted(scores(known.value, b), least), pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
 

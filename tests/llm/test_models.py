@@ -73,6 +73,32 @@ def test_quality(spark, docs):
     assert kept.columns == docs.columns and kept.count() == sum(r.accepted for r in got.values())
 
 
+def test_quality_rejects_toxic(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(1500):
+        words = sentence(rng, rng.choice(list(SOUNDS)), rng.randint(60, 160)).split()
+        if i % 8 == 7:
+            for _ in range(5):
+                words[rng.randrange(len(words))] = rng.choice(["trash", "scum", "moron", "loser"])
+        if i % 8 == 3:
+            words = [w + rng.choice(["***", "$$$"]) for w in words]
+        rows.append((i, " ".join(words), "en", "s", 900, int(i % 8 != 3), int(i % 8 == 7)))
+    docs = spark.createDataFrame(rows, COLS + ", quality int, toxic int")
+    m = quality.fit(docs, docs.filter("doc_id % 2 = 0 or doc_id % 16 in (7, 3)").select("doc_id", "quality", "toxic"), pool=200, rounds=1)
+    got = {r.doc_id: r.accepted for r in quality.classify(docs, m).collect()}
+    assert np.mean([got[i] for i in range(1500) if i % 16 == 15]) < 0.3  # unseen toxic ones
+    assert np.mean([got[i] for i in range(1500) if i % 16 in (1, 5, 9, 13)]) > 0.95  # unseen good ones
+    assert quality.fit(docs.filter("quality = 1"), docs.filter("quality = 1"), rounds=1).clean.ready  # toxic labels alone are learned from
+
+
+def test_quality_counts_repeats_of_all_lines():
+    late = "\n".join([f"line {k}" for k in range(60)] + ["again"] * 30)
+    early = "\n".join(["again"] * 30 + [f"line {k}" for k in range(60)])
+    one, other = (quality.meta_view(t, t.split(), "en", "s", len(t)) for t in (late, early))
+    assert one[21] == other[21] == 30 / 90
+
+
 def test_quality_defined_cases(spark, docs):
     odd = spark.createDataFrame(ODD, COLS)
     labels = docs.select("doc_id", "quality", "toxic")
