@@ -1,8 +1,8 @@
 """Pattern packs and the one extraction that runs them.
 
-Patterns are fixed values: what counts as a date, an amount or a citation. They avoid
-look-around where Java's and other engines' dialects differ; where a boundary
-matters, the neighbouring character is part of the match and a group holds the value.
+Patterns are fixed values: what counts as a date, an amount or a citation. Classes of
+characters are Unicode's. Labels of document types are the values that results carry;
+kinds of patterns are named by this library.
 """
 
 from __future__ import annotations
@@ -12,11 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import strip
+
 AMOUNT = r"\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*"
+GENERAL = r"\d+(?:,\d{3})*(?:\.\d+)?\s*(?:원|만원|억원|천원)"
 DAY = r"(?:19|20)\d{2}\s*년\s*\d{1,2}\s*월\s*\d{1,2}\s*일"
-#: family -> kind -> (pattern, group of the value)
+#: Family -> kind -> (pattern, group of the value)
 PACKS: dict[str, dict[str, tuple[str, int]]] = {
-    "year": {"year": (r"(?:19|20)\d{2}\s*년", 0), "digits": (r"(?:^|[^\p{L}\p{N}_])(\d{4})(?:년|[^\p{L}\p{N}_]|$)", 1)},
+    "year": {"year": (r"(?:19|20)\d{2}\s*년", 0), "digits": (r"\b\d{4}년\b", 0)},
     "amount": {unit: (AMOUNT + unit, 0) for unit in ("원", "만원", "억원", "조원", "천원")},
     "law": {
         "act": (r"(?:「|제|｢)[^」｣]+(?:법|법률|령|규칙|고시|예규)(?:」|｣|제\s*\d+\s*조)", 0),
@@ -26,8 +29,8 @@ PACKS: dict[str, dict[str, tuple[str, int]]] = {
     },
     "date": {
         "ymd": (DAY, 0),
-        "ym": (r"((?:19|20)\d{2}\s*년\s*\d{1,2}\s*월)(?:\D|$)", 1),
-        "md": (r"(?:^|\D)(\d{1,2}\s*월\s*\d{1,2}\s*일)", 1),
+        "ym": (r"(?:19|20)\d{2}\s*년\s*\d{1,2}\s*월(?!\d)", 0),
+        "md": (r"(?<!\d)\d{1,2}\s*월\s*\d{1,2}\s*일", 0),
         "period": (DAY + r"\s*(?:~|부터|까지)\s*" + DAY, 0),
     },
     "percent": {"percent": (r"\d+(?:\.\d+)?\s*%", 0)},
@@ -56,19 +59,24 @@ TYPES: dict[str, list[str]] = {
     "계약문서": [r"계약서|약관|당사자|갑|을|계약기간", r"제\d+\s*조|위약금|해지|해제|배상", r"서명|날인|입회인|증인"],
 }
 OTHER_TYPE = "일반문서"
+#: Marks that open a bullet point.
 BULLETS = {"number": r"^\s*\d+\.\s+", "letter": r"^\s*[A-Za-z]\.\s+", "symbol": r"^\s*[•◆■□○●★※▶-]\s+"}
 
 
-def extract_patterns(docs: DataFrame, family: str, kinds: list[str] | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, family, kind, seq, value: all matches in order, in one pass over the text."""
-    pack = {k: v for k, v in PACKS[family].items() if kinds is None or k in kinds}
+def matches(pattern: str, group: int = 0, text: str = "text") -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(group))
+
 
-    def marked(kind: str):
-        return lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("seq"), v.alias("value"))
+def extract_patterns(docs: DataFrame, families: str | list[str], kinds: list[str] | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, family, kind, seq, value: all matches of all families in order, in one pass over the text."""
 
-    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(g)), marked(k)) for k, (p, g) in pack.items()]
+    def marked(family: str, kind: str):
+        return lambda v, i: F.struct(F.lit(family).alias("family"), F.lit(kind).alias("kind"), i.alias("seq"), v.alias("value"))
+
+    wanted = [(f, k, *v) for f in ([families] if isinstance(families, str) else families) for k, v in PACKS[f].items() if kinds is None or k in kinds]
+    found = [F.transform(matches(p, g), marked(f, k)) for f, k, p, g in wanted]
     out = docs.select("doc_id", F.explode(F.concat(*found)).alias("m"))
-    return out.select("doc_id", F.lit(family).alias("family"), "m.kind", "m.seq", "m.value")
+    return out.select("doc_id", "m.family", "m.kind", "m.seq", "m.value")
 
 
 def distinct_values(matches: DataFrame) -> DataFrame:
@@ -84,23 +92,23 @@ def year_mentions(docs: DataFrame) -> DataFrame:
 def financial_amounts(docs: DataFrame, first: int = 20) -> DataFrame:
     """Matches by unit, and a general amount of which the first 20 are reported."""
     by_unit = extract_patterns(docs, "amount").select("doc_id", "kind", "seq", "value")
-    general = F.slice(F.regexp_extract_all("text", F.lit(AMOUNT + "(?:원|만원|억원)"), F.lit(0)), 1, first)
+    general = F.slice(matches(GENERAL), 1, first)
     general = docs.select("doc_id", F.lit("general").alias("kind"), F.posexplode(general).alias("seq", "value"))
     return by_unit.unionByName(general)
 
 
 def reference_counts(docs: DataFrame, examples: int = 5) -> DataFrame:
     """X11: per kind of cross-reference the count and the first examples, and the document's total."""
-    kinds = [F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(p), F.lit(g)).alias("all")) for k, (p, g) in PACKS["reference"].items()]
+    kinds = [F.struct(F.lit(k).alias("kind"), matches(p, g).alias("all")) for k, (p, g) in PACKS["reference"].items()]
     out = docs.select("doc_id", F.explode(F.array(*kinds)).alias("m")).select("doc_id", "m.kind", F.size("m.all").alias("n"), F.array_join(F.slice("m.all", 1, examples), "|").alias("examples"))
     return out.withColumn("total", F.sum("n").over(Window.partitionBy("doc_id"))).filter("n > 0")
 
 
 def bullet_points(els: DataFrame) -> DataFrame:
     """els(doc_id, pos, text) -> doc_id, pos, line, kind, content, marker removed; lines that are nothing else are dropped."""
-    lines = els.select("doc_id", "pos", F.posexplode(F.split("text", "\n")).alias("line", "t")).withColumn("t", F.trim("t"))
-    kind = reduce(lambda c, k: c.when(F.col("t").rlike(BULLETS[k]), k), BULLETS, F)
-    content = F.trim(F.regexp_replace("t", "|".join(BULLETS.values()), ""))
+    lines = els.select("doc_id", "pos", F.posexplode(F.split("text", "\n")).alias("line", "t")).withColumn("t", strip(F.col("t")))
+    kind = reduce(lambda c, k: c.when(F.col("t").rlike(f"(?U){BULLETS[k]}"), k), BULLETS, F)
+    content = strip(F.regexp_replace("t", "(?U)" + "|".join(BULLETS.values()), ""))
     return lines.select("doc_id", "pos", "line", kind.alias("kind"), content.alias("content")).filter("kind is not null and content <> ''")
 
 
@@ -120,11 +128,8 @@ def top_words_by_document(docs: DataFrame, pattern: str = r"[\p{L}]+", n: int =
 
 def detect_document_type(docs: DataFrame, least: int = 3) -> DataFrame:
     """The family with the best score, the first of equals; another if none reaches `least`."""
-    score = lambda ps: reduce(lambda a, b: a + b, [F.regexp_count("text", F.lit(p)) for p in ps]) * 2
+    score = lambda ps: reduce(lambda a, b: a + b, [F.regexp_count("text", F.lit(f"(?U){p}")) for p in ps]) * 2
     best = F.array_max(F.array(*[F.struct(score(ps).alias("score"), F.lit(-i).alias("rank"), F.lit(t).alias("name")) for i, (t, ps) in enumerate(TYPES.items())]))
     out = docs.select("doc_id", best.alias("b"))
     return out.select("doc_id", F.when(F.col("b.score") >= least, F.col("b.name")).otherwise(OTHER_TYPE).alias("doc_type"), F.col("b.score").alias("score"))
 
-
-def count(col: Column, pattern: str) -> Column:
-    return F.regexp_count(col, F.lit(pattern))

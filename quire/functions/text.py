@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 DOTS, DOT = "･·ㆍ", "･"
 #: Tax acts in citations.
 ACTS = "소득|조특|법인|부가가치|상속|증여"
-SPLIT_MARKS = "-･·ㆍ∙"
+SPLIT_MARKS = f"-{DOTS}"
+#: What counts as white space at a text's ends: Unicode's, and the four separators of ASCII.
+BLANK = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(col: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.btrim(col, F.lit(BLANK))
 
 
 def text_first(text: Column, markdown: Column) -> Column:
@@ -27,7 +34,7 @@ def unescape_newlines(col: Column) -> Column:
 
 
 def squeeze(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, r"\s+", " "))
+    return strip(F.regexp_replace(col, r"(?U)\s+", " "))
 
 
 def normalize_title(col: Column) -> Column:
@@ -37,11 +44,11 @@ def normalize_title(col: Column) -> Column:
 
 def chained(col: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, to in rules:
-        col = F.regexp_replace(col, pattern, to)
+        col = F.regexp_replace(col, f"(?U){pattern}", to)
     return col
 
 
-#: Applied in this order; a year before "적용" keeps its form.
+#: Fixed values, applied in this order; a year before "적용" keeps its form.
 YEARS = [
     (r"(\d{4})\s*년도", "$1년"),
     (r"(\d{4})\s*년(?!\s*적용)", "$1년"),
@@ -50,28 +57,30 @@ YEARS = [
     (r"(\d{4})\s*[~∼]\s*(\d{4})\s*년", "$1-$2년"),
     (r"(\d{4})\.(\d{1,2})\.(\d{1,2})", "$1년 $2월 $3일"),
 ]
+#: Fixed values, in this order: what page numbers and leaders leave at a title's end.
 PAGE_ENDS = [(r"\s*[･·ㆍ∙]{2,}\s*\d+\s*$", ""), (r"\s*\.{3,}\s*\d+$", ""), (r"\s*\d+$", ""), (r"\s*\.{3,}\s*", "")]
 #: A dot with a space beside it stands apart, another one tight; the private character keeps the first kind from the second rule.
 MIDDLE_DOTS = [(r"\s*∙\s*", " "), (rf"\s* \s*[{DOTS}]\s*|\s*[{DOTS}]\s* \s*", " \ue000 "), (rf"\s*[{DOTS}]\s*", DOT), ("\ue000", DOT)]
+#: Spacing of months and days.
 DATES = [(r"(\d{1,2})\s*월\s*", "$1월 "), (r"(\d{1,2})\s*일\s*", "$1일 ")]
 
 
 def strip_number(col: Column) -> Column:
-    """Without a leading number, unless it is a year or a chapter's."""
-    return F.when(col.rlike(r"^\d{4}년") | col.rlike(r"^제\s*\d+\s*[장절]"), col).otherwise(F.regexp_replace(col, r"^\d+\.?\s*", ""))
+    """Without a leading number, unless it is a year's (a chapter's has a character before it)."""
+    return F.regexp_replace(col, r"(?U)^(?!\d{4}년)\d+\.?\s*", "")
 
 
 def clean_title(col: Column) -> Column:
     """Marker, leading number, years, page number, middle dots, dates, spaces, empty brackets."""
-    col = strip_number(F.regexp_replace(col, r"^>>>>\s*", ""))
+    col = strip_number(F.regexp_replace(col, r"(?U)^>>>>\s*", ""))
     col = chained(col, YEARS + PAGE_ENDS + MIDDLE_DOTS + DATES)
-    return F.trim(F.regexp_replace(F.regexp_replace(col, r"\s+", " "), r"\(\s*\)", ""))
+    return strip(chained(col, [(r"\s+", " "), (r"\(\s*\)", "")]))
 
 
 def assemble_line_text(spans: Column) -> Column:
     """P5: the spans' texts joined by a space, but by nothing after a middle dot, a hyphen or a full stop."""
-    texts = F.filter(F.transform(spans, lambda t: F.trim(t)), lambda t: t != "")
-    return F.aggregate(texts, F.lit(""), lambda acc, t: F.concat(acc, F.when((acc == "") | acc.rlike(rf"[{DOTS}∙.\-]$"), "").otherwise(" "), t))
+    texts = F.filter(F.transform(spans, strip), lambda t: t != "")
+    return F.aggregate(texts, F.lit(""), lambda acc, t: F.concat(acc, F.when((acc == "") | acc.rlike(rf"[{DOTS}.\-]\z"), "").otherwise(" "), t))
 
 
 def center_x(x1: Column, x2: Column) -> Column:
@@ -92,25 +101,27 @@ def polygon_center(points: Column) -> Column:
 
 
 def split_title_words(col: Column) -> Column:
-    """Cut at hyphens and middle dots, then glue each two neighbours with the mark between them; a last odd one stands alone."""
+    """Cut at hyphens and middle dots, then glue each two neighbours with the mark between them as they stand; a last odd one stands alone, stripped. Blanks and bare marks go."""
     cut = F.struct(F.split(col, rf"[{SPLIT_MARKS}]").alias("parts"), F.regexp_extract_all(col, F.lit(rf"([{SPLIT_MARKS}])"), F.lit(1)).alias("marks"))
 
     def pairs(c: Column) -> Column:
         n = F.size(c["parts"])
-        glue = lambda k: F.concat(F.get(c["parts"], k * 2), F.when(k * 2 + 1 < n, F.concat(F.get(c["marks"], k * 2), F.get(c["parts"], k * 2 + 1))).otherwise(""))
+        part = lambda k: F.get(c["parts"], k)
+        glue = lambda k: F.when(k * 2 + 1 < n, F.concat(part(k * 2), F.get(c["marks"], k * 2), part(k * 2 + 1))).otherwise(strip(part(k * 2)))
         return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")), glue)
 
     # the one-element array binds the cut, which is else evaluated for each pair
     bound = F.flatten(F.transform(F.array(cut), pairs))
-    return F.filter(F.transform(bound, lambda p: F.trim(p)), lambda p: ~p.isin("", *SPLIT_MARKS))
+    return F.filter(bound, lambda p: ~p.isin("", *SPLIT_MARKS))
 
 
+#: A citation of a tax act; when a rule takes effect.
 CITATION = rf"\((?:{ACTS})(?:법|령)\s+제\d+조(?:의\d+)?(?:\s*제\d+항)?(?:\s*,\s*제\d+조(?:의\d+)?)*\)"
 EFFECTIVE = r"(?:적용시기|적용기한|시행일)\s*:\s*[^\n]*|\d{4}\.\d{1,2}\.\d{1,2}\.(?:까지|부터)(?:\s+한시)?(?:적용|시행)"
 
 
 def first_match(col: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(col, pattern, 0), F.lit(""))
+    return F.nullif(F.regexp_extract(col, f"(?U){pattern}", 0), F.lit(""))
 
 
 def first_law_reference(col: Column) -> Column:
@@ -124,15 +135,15 @@ def first_application_date(col: Column) -> Column:
 
 def is_complete_sentence(col: Column) -> Column:
     """P10: ends as a sentence does, but not in a digit and a full stop."""
-    end = F.regexp_replace(F.coalesce(col, F.lit("")), r"\s+$", "")
-    return end.rlike(r"[.!?:;\"')]\z") & ~end.rlike(r"\d\.\z")
+    end = F.rtrim(F.coalesce(col, F.lit("")), F.lit(BLANK))
+    return end.rlike(r"[.!?:;\"')]\z") & ~end.rlike(r"(?U)\d\.\z")
 
 
 def is_title_start(col: Column) -> Column:
     """A line that opens an entry of a table of contents."""
-    t = F.trim(col)
-    return t.startswith("[") | t.rlike(r"^\d+\.") | t.rlike(r"^제\s*\d+\s*[장절]") | t.rlike(r"^\d{4}년") | t.startswith(">>>>") | t.contains("Q&A")
+    t = strip(col)
+    return t.startswith("[") | t.rlike(r"(?U)^\d+\.") | t.rlike(r"(?U)^제\s*\d+\s*[장절]") | t.rlike(r"(?U)^\d{4}년") | t.startswith(">>>>") | t.contains("Q&A")
 
 
 def ends_in_page_number(col: Column) -> Column:
-    return F.trim(col).rlike(r"(?:\.{3,}|[･·ㆍ∙]{2,})\s*\d+\z")
+    return col.rlike(rf"(?U)(?:\.{{2,}}|[{DOTS}]{{2,}})\s*\d+\s*\z")

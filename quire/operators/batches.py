@@ -34,7 +34,8 @@ def attach_page_context(els: DataFrame) -> DataFrame:
     """Each element with its page's content and the rendered metadata; a null page is a page too."""
     ctx = page_context(els).withColumnsRenamed({"doc_id": "_d", "page": "_p"})
     out = els.join(ctx, (els["doc_id"] == ctx["_d"]) & els["page"].eqNullSafe(ctx["_p"]), "left").drop("_d", "_p")
-    shown = F.format_string("id: %s,\npage: %s,\npage_content: {%s}", F.col("id").cast("string"), F.coalesce(F.col("page").cast("string"), F.lit("None")), F.coalesce("page_content", F.lit("")))
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    shown = F.format_string('id:%s,\npage: %s,\npage_content: {\n"%s"\n}', known("id"), known("page"), F.coalesce("page_content", F.lit("")))
     return out.withColumn("metadata", shown)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .batches import ordered_join
 
 #: The marker words of a rendered context.
@@ -13,14 +14,15 @@ DOCUMENT, CONTENT, METADATA = "문서", "내용:", "메타데이터:"
 
 def build_context(hits: DataFrame) -> DataFrame:
     """hits(query_id, rank, content, metadata) -> query_id, context: a numbered block for each hit, in order of rank."""
-    block = F.format_string(f"{DOCUMENT} %d:\n{CONTENT} %s\n{METADATA} %s\n", F.col("rank"), "content", "metadata")
-    return hits.withColumn("_block", block).groupBy("query_id").agg(ordered_join(["rank"], "_block", "\n").alias("context"))
+    block = F.format_string(f"{DOCUMENT} %d:\n{CONTENT} %s\n{METADATA} %s\n\n", F.col("rank"), "content", "metadata")
+    return hits.withColumn("_block", block).groupBy("query_id").agg(ordered_join(["rank"], "_block", "").alias("context"))
 
 
 def extract_metadata_context(ctx: DataFrame) -> DataFrame:
-    """R2: the lines after a metadata marker's up to the next document or content marker."""
+    """R2: the lines after a metadata marker's up to the next document or content marker; markers may be indented."""
     lines = ctx.select("query_id", F.posexplode(F.split("context", "\n")).alias("pos", "line"))
-    mark = F.when(F.col("line").startswith(METADATA), "m").when(F.col("line").startswith(DOCUMENT) | F.col("line").startswith(CONTENT), "x")
+    t = strip(F.col("line"))
+    mark = F.when(t.startswith(METADATA), "m").when(t.startswith(DOCUMENT) | t.startswith(CONTENT), "x")
     state = F.last(F.col("mark"), ignorenulls=True).over(Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     kept = lines.withColumn("mark", mark).withColumn("state", state).filter("state = 'm' and mark is null")
     return kept.groupBy("query_id").agg(ordered_join(["pos"], "line", "\n").alias("metadata_context"))

@@ -7,74 +7,109 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-PIECE = 4
-LEADER = r"\s*(?:\.{2,}|[･·ㆍ∙]{2,})\s*\d+\s*$"
+REACH = 2
+#: The leader and page number that a title may end in; its number.
+LEADER = r"(?U)\s*[.·･]{2,}\s*\d+\s*$"
+NUMBER = r"(?U)^(?:\d+\.)?\s*"
 
 
 def first_titles(titles: DataFrame, key: Column, name: str) -> DataFrame:
     """key -> number and text of its first title."""
-    keyed = titles.select(key.alias(name), F.struct("title_no", "title").alias("_t")).filter(F.col(name) != "")
+    keyed = titles.select(key.alias(name), F.struct("title_no", "title").alias("_t"))
     return keyed.groupBy(name).agg(F.min("_t").alias(f"{name}_t"))
 
 
-def match_titles_fuzzy(lines: DataFrame, titles: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Adds title_no, title and rung: 1 equal when cleaned, 2 without leader and page, 3 without number, 4 most of the title's words.
+def around_marks(words: Column) -> Column:
+    """Of each word that holds a mark: the first one with up to REACH characters on either side."""
+    return F.filter(F.transform(words, lambda w: F.regexp_extract(w, rf"([^{X.SPLIT_MARKS}]{{0,{REACH}}}[{X.SPLIT_MARKS}][^{X.SPLIT_MARKS}]{{0,{REACH}}})", 1)), lambda p: p != "")
+
+
+def all_around_marks(text: Column) -> Column:
+    """Every mark of a text with 0 to REACH characters before it and after it, up to the next marks."""
+    cut = F.struct(F.split(text, f"[{X.SPLIT_MARKS}]").alias("parts"), F.regexp_extract_all(text, F.lit(f"([{X.SPLIT_MARKS}])"), F.lit(1)).alias("marks"))
+
+    def around(c: Column) -> Column:
+        side = lambda f: [f(F.lit(n)) for n in range(REACH + 1)]
+        one = lambda m, k: F.flatten(F.transform(F.array(*side(lambda n: F.right(F.get(c["parts"], k), n))), lambda x: F.array(*side(lambda n: F.concat(x, m, F.left(F.get(c["parts"], k + 1), n))))))
+        return F.array_distinct(F.flatten(F.transform(c["marks"], one)))
+
+    return F.flatten(F.transform(F.array(cut), around))  # the one-element array binds the cut
+
+
+def title_hits(lines: DataFrame, titles: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """lines(doc_id, pos, text), titles(title_no, title) -> doc_id, pos, title_no, title, rung of the lines that match: the first title by any rung.
 
-    The equality rungs are joins on keys. Only what is left goes to rung 4: a title is a
-    candidate for a line if a word of the line holds the first four characters (or all) of one of
-    the title's longest words: of n words a match lacks at most 30 %, so it holds one of
-    any 0.3 n + 1. Candidates are found by an equi-join on these pieces, then verified.
+    Rungs, on cleaned text in lower case: 1 equal; 2 equal without leader and page; 3 equal
+    without number; 4 a title of several words (cut at hyphens and middle dots) of which
+    `threshold` are parts of the line's words. A title of several words has one that holds a
+    mark, and a line that matches holds it too: so candidates of rung 4 meet on the characters
+    around a mark, and are then verified. All rungs are one equi-join on (rung, key), and each text is cleaned once.
     """
-    key1 = lambda c: X.clean_title(c)
-    key2 = lambda c: F.trim(F.regexp_replace(X.clean_title(c), LEADER, ""))
-    key3 = lambda c: F.trim(F.regexp_replace(X.clean_title(c), r"^\d+\.?\s*", ""))
-    out = lines
-    for k, f in enumerate((key1, key2, key3), 1):
-        name = f"_k{k}"
-        out = out.withColumn(name, f(F.col("text"))).join(first_titles(titles, f(F.col("title")), name), name, "left")
-    as_rung = lambda k, t: F.when(F.col(t).isNotNull(), F.struct(F.lit(k).alias("rung"), F.col(f"{t}.title_no").alias("title_no"), F.col(f"{t}.title").alias("title")))
-    out = out.withColumn("_m", F.coalesce(*[as_rung(k, f"_k{k}_t") for k in (1, 2, 3)])).drop("_k1_t", "_k2_t", "_k3_t", "_k2", "_k3")
-    words = lambda c: F.filter(F.flatten(F.transform(F.split(F.lower(c), r"\s+"), X.split_title_words)), lambda w: F.length(w) > 1)
-    wanted = titles.select("title_no", "title", words(X.clean_title(F.col("title"))).alias("ws")).filter(F.size("ws") >= 2)
-    # any 70 % of n words leave out floor(0.3 n) of them: a line lacks at most so many, so it holds one of any floor(0.3 n) + 1
-    some = F.slice(F.array_sort("ws", lambda a, b: F.length(b) - F.length(a)), 1, (F.size("ws") - F.ceil(F.size("ws") * threshold) + 1).cast("int"))
-    wanted = wanted.select("title_no", "title", "ws", F.explode(F.array_distinct(F.transform(some, lambda w: F.substring(w, 1, PIECE)))).alias("piece"))
-    left = out.filter("_m is null").select("doc_id", "pos", F.array_distinct(words(F.col("_k1"))).alias("ts"))
-
-    def parts(t: Column) -> Column:
-        """Substrings of up to PIECE characters, of two at least."""
-        at = F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1)))
-        return F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(2), F.lit(PIECE)), lambda n: t.substr(i, n))))
-
-    pieces = F.array_distinct(F.flatten(F.transform("ts", parts)))
-    pairs = left.select("doc_id", "pos", "ts", F.explode(pieces).alias("piece")).join(wanted, "piece").dropDuplicates(["doc_id", "pos", "title_no"])
-    got = F.size(F.filter("ws", lambda w: F.exists("ts", lambda t: F.contains(t, w))))
-    near = pairs.filter(got >= F.size("ws") * threshold).groupBy("doc_id", "pos").agg(F.min(F.struct("title_no", "title")).alias("_f"))
-    out = out.drop("_k1").join(near, ["doc_id", "pos"], "left")
-    return out.withColumn("_m", F.coalesce("_m", as_rung(4, "_f"))).select(*lines.columns, "_m.title_no", "_m.title", "_m.rung")
+    entry = lambda rung, key, words: F.struct(F.lit(rung).alias("rung"), key.alias("key"), words.alias("words"))
+    none = F.lit(None).cast("array<string>")
+    sides = []
+    for df, text in ((lines.select("doc_id", "pos", "text"), "text"), (titles.select("title_no", "title"), "title")):
+        # a text that nothing is left of has no keys
+        df = df.withColumn("_k1", F.nullif(F.lower(X.clean_title(F.col(text))), F.lit("")))
+        df = df.withColumn("_k2", F.regexp_replace("_k1", LEADER, ""))
+        df = df.withColumn("_k3", F.regexp_replace("_k2", NUMBER, ""))
+        sides.append(df.withColumn("_ws", X.split_title_words(F.col("_k3"))))
+    equal = F.array(*[entry(k, F.col(f"_k{k}"), none) for k in (1, 2, 3)])
+    pieces = F.when(F.col("_k3").rlike(f"[{X.SPLIT_MARKS}]"), F.transform(all_around_marks(F.col("_k3")), lambda p: entry(4, p, F.col("_ws"))))
+    own = sides[0].select("doc_id", "pos", F.explode(F.concat(equal, F.coalesce(pieces, F.array().cast(pieces_type())))).alias("e")).select("doc_id", "pos", "e.*").filter("key is not null")
+    main = F.filter("_ws", lambda w: F.length(w) > 1)
+    wanted = F.when(F.size("_ws") > 1, F.transform(F.array_distinct(around_marks(main)), lambda p: entry(4, p, main)))
+    known = sides[1].select("title_no", "title", F.explode(F.concat(equal, F.coalesce(wanted, F.array().cast(pieces_type())))).alias("e")).select("title_no", "title", "e.rung", "e.key", F.col("e.words").alias("main")).filter("key is not null")
+    # of titles with an equal key the first is enough, but those of several words are told apart by the others
+    known = known.groupBy("rung", "key", "main").agg(F.min(F.struct("title_no", "title")).alias("t"))
+    got = F.size(F.filter("main", lambda w: F.exists("words", lambda t: F.contains(t, w))))
+    hits = own.join(known, ["rung", "key"]).filter((F.col("rung") < 4) | (got >= F.size("main") * threshold))
+    best = hits.groupBy("doc_id", "pos").agg(F.min(F.struct("t.title_no", "rung", "t.title")).alias("m"))
+    return best.select("doc_id", "pos", "m.title_no", "m.title", "m.rung")
+
+
+def pieces_type() -> str:
+    return "array<struct<rung: int, key: string, words: array<string>>>"
+
+
+def match_titles_fuzzy(lines: DataFrame, titles: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Adds title_no, title and rung of title_hits() to lines(doc_id, pos, text, ...), null where none matches."""
+    return lines.join(title_hits(lines.select("doc_id", "pos", "text"), titles, threshold), ["doc_id", "pos"], "left").select(*lines.columns, "title_no", "title", "rung")
 
 
 def match_titles_exact(lines: DataFrame, titles: DataFrame) -> DataFrame:
-    """Adds title_no and title: equal when normalised, else when both lose a leading number of one or two digits."""
+    """Adds title_no and title: equal when normalised, else when both lose a leading number of one or two digits (or 0 before) and the space after it."""
     key = lambda c: X.normalize_title(c)
-    bare = lambda c: F.regexp_replace(X.normalize_title(c), r"^\d{1,2}\.?\s*", "")
-    out = lines.withColumns({"_a": key(F.col("text")), "_b": bare(F.col("text"))})
-    out = out.join(first_titles(titles, key(F.col("title")), "_a"), "_a", "left").join(first_titles(titles, bare(F.col("title")), "_b"), "_b", "left")
+    bare = lambda c: F.regexp_replace(X.normalize_title(c), r"(?U)^0?\d{1,2}\s+", "")
+    own, known = lines.withColumns({"_a": key(F.col("text")), "_b": bare(F.col("text"))}), titles.filter(key(F.col("title")) != "")
+    out = own.join(first_titles(known, key(F.col("title")), "_a"), "_a", "left").join(first_titles(known, bare(F.col("title")), "_b"), "_b", "left")
     hit = F.coalesce("_a_t", "_b_t")
     return out.withColumns({"title_no": hit["title_no"], "title": hit["title"]}).select(*lines.columns, "title_no", "title")
 
 
+#: Numbers that a title in a table of contents may begin with.
+TOC_NUMBER = r"(?U)^[\s>-]*(?:\d{2}\.|\([0-9]+\)|[IVX]+\.|[A-Z]\.)\s*"
+
+
 def match_toc_headings(els: DataFrame, toc: DataFrame, near: float = 0.1) -> DataFrame:
-    """Elements that a table of contents names: same page, its title in their text, and about its place."""
-    t = toc.select(F.col("doc_id").alias("_d"), F.col("target_page").alias("_p"), F.lower(X.squeeze(F.col("title"))).alias("_t"), F.col("x").alias("_x"))
+    """Elements that a table of contents names: same page, its title in their text (with or without its leading number), and about its place."""
+    title = X.squeeze(F.col("title"))
+    rest = F.regexp_replace(title, TOC_NUMBER, "")
+    t = toc.select(F.col("doc_id").alias("_d"), F.col("target_page").alias("_p"), F.lower(F.when(rest == "", title).otherwise(rest)).alias("_t"), F.col("x").alias("_x"))
     place = F.coalesce(F.abs(F.col("x1") - F.col("_x")) < near, F.lit(True))
     return els.join(t, (els["doc_id"] == t["_d"]) & (els["page"] == t["_p"]) & F.contains(F.lower(X.squeeze(F.col("text"))), F.col("_t")) & place, "left_semi")
 
 
 def match_repeating_bands(blocks: DataFrame, bands: DataFrame, near: float = 0.02, band: float = 0.1) -> DataFrame:
-    """Blocks in the outer tenths within `near` of a known header's or footer's height."""
-    b = bands.select(F.col("doc_id").alias("_d"), F.col("side").alias("_s"), F.col("y").alias("_y")).distinct()
-    top = (F.col("_s") == "top") & (F.col("y1") <= band) & (F.abs(F.col("y1") - F.col("_y")) < near)
-    low = (F.col("_s") == "bottom") & (F.col("y2") >= 1 - band) & (F.abs(F.col("y2") - F.col("_y")) < near)
-    return blocks.join(b, (blocks["doc_id"] == b["_d"]) & (top | low), "left_semi")
+    """blocks(doc_id, pos, y1, y2, places as shares of the page) -> doc_id, page, pos, side of those in an outer tenth within `near` of a band's own height.
 
+    bands: of repeating_blocks(). Heights are dealt to cells `near` wide: of each cell the
+    lowest and the highest band tell for the neighbouring cells, so no document's bands are compared pair by pair.
+    """
+    cell = F.floor(F.col("at") / near)
+    known = bands.withColumn("cell", F.floor(F.col("y_rel") / near)).groupBy("doc_id", "side", "cell").agg(F.min("y_rel").alias("_lo"), F.max("y_rel").alias("_hi"))
+    sides = F.array(F.struct(F.lit("top").alias("side"), F.when(F.col("y1") < band, F.col("y1")).alias("at")), F.struct(F.lit("bottom").alias("side"), F.when(F.col("y2") > 1 - band, F.col("y2")).alias("at")))
+    own = blocks.select("doc_id", "page", "pos", F.explode(sides).alias("s")).select("doc_id", "page", "pos", "s.side", "s.at").filter("at is not null")
+    own = own.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    hit = (F.abs(F.col("at") - F.col("_lo")) < near) | (F.abs(F.col("at") - F.col("_hi")) < near)
+    return own.join(known, ["doc_id", "side", "cell"]).filter(hit).select("doc_id", "page", "pos", "side").distinct()

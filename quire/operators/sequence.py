@@ -39,7 +39,7 @@ def select_headings(els: DataFrame) -> DataFrame:
 def pattern_level(text: Column) -> Column:
     level = F
     for pattern, n in LEVELS:
-        level = level.when(text.rlike(pattern), n)
+        level = level.when(text.rlike(f"(?U){pattern}"), n)
     return level.otherwise(1)
 
 
@@ -81,7 +81,7 @@ def accumulate_toc_titles(lines: DataFrame) -> DataFrame:
     own = lines.withColumns({"_s": F.sum(X.is_title_start(F.col("text")).cast("int")).over(w), "_e": X.ends_in_page_number(F.col("text")).cast("int")}).filter("_s > 0")
     inside = Window.partitionBy("doc_id", "_s").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("_before", F.coalesce(F.sum("_e").over(inside), F.lit(0))).filter("_before = 0")
-    t = own.groupBy("doc_id", "_s").agg(ordered_join(["pos"], "text", " ").alias("title"), F.min("pos").alias("pos"))
+    t = own.withColumn("text", X.strip(F.col("text"))).groupBy("doc_id", "_s").agg(ordered_join(["pos"], "text", " ").alias("title"), F.min("pos").alias("pos"))
     last = F.max("_s").over(Window.partitionBy("doc_id"))
     t = t.withColumn("_last", last).filter((F.col("_s") < F.col("_last")) | X.ends_in_page_number(F.col("title")))
     t = t.withColumn("clean", X.clean_title(F.col("title"))).filter("clean <> ''")
@@ -89,9 +89,10 @@ def accumulate_toc_titles(lines: DataFrame) -> DataFrame:
     return t.withColumn("_k", once).filter("_k = 1").select("doc_id", "pos", "title", "clean")
 
 
-def clean_page_text(lines: DataFrame, share: float = 0.1) -> DataFrame:
-    """lines(doc_id, page, pos, text, y1, y2) of pages of height 1: without the outer tenths, on one line; empty pages go."""
-    kept = lines.filter((F.col("y2") > share) & (F.col("y1") < 1 - share))
+def clean_page_text(lines: DataFrame, height: Column | float = 1.0, share: float = 0.1) -> DataFrame:
+    """lines(doc_id, page, pos, text, y1): without those that begin in the outer tenths of the page, whose height may be a column; on one line; empty pages go."""
+    h = height if isinstance(height, Column) else F.lit(height)
+    kept = lines.filter((F.col("y1") >= h * share) & (F.col("y1") <= h * (1 - share)))
     out = kept.groupBy("doc_id", "page").agg(ordered_join(["pos"], "text", "\n").alias("text"))
     return out.withColumn("text", X.squeeze(F.col("text"))).filter("text <> ''")
 
@@ -99,7 +100,7 @@ def clean_page_text(lines: DataFrame, share: float = 0.1) -> DataFrame:
 def assemble_blocks(pages: DataFrame) -> DataFrame:
     """blocks(doc_id, page, idx, lines: array of struct(spans)) -> id, text, font and size of the first span; blank ones go."""
     spans = F.flatten(F.transform("lines", lambda x: x["spans"]))
-    text = F.trim(F.array_join(F.transform(spans, lambda s: s["text"]), " "))
+    text = X.strip(F.array_join(F.transform(spans, lambda s: s["text"]), " "))
     first = F.get(spans, F.lit(0))
     name = F.format_string("p%d_b%d", F.col("page").cast("long"), F.col("idx").cast("long"))
     return pages.select("doc_id", "page", name.alias("id"), text.alias("text"), first["font"].alias("font_name"), first["size"].alias("font_size")).filter("text <> ''")

@@ -58,15 +58,16 @@ def section_lengths(els: DataFrame) -> DataFrame:
 
 
 def section_contents(els: DataFrame, flag: str = "type = 'heading'") -> DataFrame:
-    """Per heading the elements below it by category, and its pages."""
+    """Per heading the elements below it: paragraphs by type, tables, images and lists by category; and its pages."""
     s = sections(els, flag).filter("section > 0")
-    body = ~F.expr(flag)
+    body = ~F.coalesce(F.expr(flag), F.lit(False))
     like = lambda p: F.count_if(body & F.coalesce(F.col("category").startswith(p), F.lit(False))).alias(f"{p}s")
-    return s.groupBy("doc_id", "section").agg(F.min_by("text", "pos").alias("title"), F.count_if(body).alias("elements"), like("paragraph"), like("table"), like("image"), like("list"), F.min_by("page", "pos").alias("first_page"), F.max("page").alias("last_page"))
+    paragraphs = F.count_if(body & F.coalesce(F.col("type") == "paragraph", F.lit(False))).alias("paragraphs")
+    return s.groupBy("doc_id", "section").agg(F.min_by("text", "pos").alias("title"), F.count_if(body).alias("elements"), paragraphs, like("table"), like("image"), like("list"), F.min_by("page", "pos").alias("first_page"), F.max("page").alias("last_page"))
 
 
 def font_statistics(spans: DataFrame) -> DataFrame:
-    """spans(doc_id, size) -> mean, upper median, extremes, body (commonest, smaller of equals) and title sizes.
+    """spans(doc_id, size) -> mean, upper median, extremes, body (commonest; of equally common ones the smaller, a decision of ours) and title sizes.
 
     Spans are summed up to (document, size) first: the median is then the size at which the running count passes half.
     """
@@ -80,19 +81,40 @@ def font_statistics(spans: DataFrame) -> DataFrame:
     return by.groupBy("doc_id").agg(F.round(F.sum(F.col("size") * F.col("n")) / F.sum("n"), 6).alias("mean_size"), median.alias("median_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.max("body").alias("body_size"), title.alias("title_sizes"))
 
 
-def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """A row for each column: type, nulls, distinct values, rows; one pass over the table."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    aggs = [c for name in df.columns for c in (F.count_if(F.col(name).isNull()).alias(f"{name}__n"), distinct(F.col(name)).alias(f"{name}__d"))]
-    one = df.agg(F.count("*").alias("__rows"), *aggs)
-    rows = [F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.col(f"{n}__n").alias("nulls"), F.col(f"{n}__d").alias("distinct_values"), F.col("__rows").alias("rows")) for n, t in df.dtypes]
+def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """A row for each column: type, nulls, distinct values, rows.
+
+    Distinct values are estimated in one pass over the table. Exact ones are counted column by
+    column: each reads that column alone, and sums up equal values before the shuffle.
+    """
+    if exact:
+        out = None
+        for name, kind in df.dtypes:
+            value = F.col(f"`{name}`")
+            by = df.groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+            total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+            one = by.agg(total(F.when(F.col("v").isNull(), F.col("n"))).alias("nulls"), F.count("v").alias("distinct_values"), total(F.col("n")).alias("rows"))
+            one = one.select(F.lit(name).alias("column"), F.lit(kind).alias("type"), "nulls", "distinct_values", "rows")
+            out = one if out is None else out.unionByName(one)
+        return out
+    aggs = [c for k, name in enumerate(df.columns) for c in (F.count_if(F.col(f"`{name}`").isNull()).alias(f"n{k}"), F.approx_count_distinct(f"`{name}`").alias(f"d{k}"))]
+    one = df.agg(F.count("*").alias("rows"), *aggs)
+    rows = [F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.col(f"n{k}").alias("nulls"), F.col(f"d{k}").alias("distinct_values"), F.col("rows")) for k, (n, t) in enumerate(df.dtypes)]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def head_sample(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first rows."""
+    return df.limit(n)
+
+
 def repeating_blocks(blocks: DataFrame, band: float = 0.1, least_pages: int = 3) -> DataFrame:
-    """Blocks in the top or bottom band at a height (two decimals) that recurs on several pages; the first on each page."""
-    side = F.when(F.col("y1") <= band, "top").when(F.col("y2") >= 1 - band, "bottom")
-    own = blocks.withColumns({"side": side, "y": F.round(F.when(F.col("y1") <= band, F.col("y1")).otherwise(F.col("y2")), 2)}).filter("side is not null")
+    """blocks(doc_id, page, pos, places y1, y2 as shares of the page) inside the top or bottom band at a height y (two decimals) that recurs on several pages; the first on each page, with its own height y_rel.
+
+    A block that reaches from one band to the other stands in both.
+    """
+    sides = F.array(F.struct(F.lit("top").alias("side"), F.when(F.col("y1") < band, F.col("y1")).alias("y_rel")), F.struct(F.lit("bottom").alias("side"), F.when(F.col("y2") > 1 - band, F.col("y2")).alias("y_rel")))
+    own = blocks.withColumn("_s", F.explode(sides)).select("*", "_s.side", "_s.y_rel").drop("_s").filter("y_rel is not null").withColumn("y", F.round("y_rel", 2))
     kept = own.groupBy("doc_id", "side", "y").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= least_pages)
     first = F.row_number().over(Window.partitionBy("doc_id", "side", "y", "page").orderBy("pos"))
     return own.join(kept, ["doc_id", "side", "y"]).withColumn("_k", first).filter("_k = 1").drop("_k")

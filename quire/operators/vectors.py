@@ -25,16 +25,19 @@ def hashed_embedding(texts: list[str], dim: int = 64) -> list[list[float] | None
 
 
 def embed_rows(rows: DataFrame, embedder: Callable[[list[str]], list] = hashed_embedding, batch_size: int = 100) -> DataFrame:
-    """V1: rows(id, content) -> id, embedding, in batches; rows for which the embedder gives None, or batches in which it fails, are left out."""
+    """V1: rows(id, content) -> id, embedding, in batches; a batch that fails is tried row by row. Rows for which the embedder gives None, or fails, are left out."""
+
+    def embedded(texts: list[str]) -> list:
+        try:
+            return list(embedder(texts))
+        except Exception:  # noqa: BLE001  a service's failure costs its row alone
+            return [None] if len(texts) == 1 else [v for t in texts for v in embedded([t])]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for k in range(0, len(pdf), batch_size):
                 part = pdf.iloc[k : k + batch_size]
-                try:
-                    vs = embedder(part.content.fillna("").tolist())
-                except Exception:  # noqa: BLE001  a service's failure costs its batch alone
-                    continue
+                vs = embedded(part.content.fillna("").tolist())
                 ok = [v is not None for v in vs]
                 if any(ok):
                     yield pd.DataFrame({"id": part.id[ok], "embedding": [v for v in vs if v is not None]})
@@ -49,42 +52,40 @@ def l2_normalize(col: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
 
 
+def packed(df: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows of up to `block` vectors: ids, and a matrix of vectors of length 1, row by row."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for k in range(0, len(pdf), block):
+                part = pdf.iloc[k : k + block]
+                m = np.stack(part.embedding.to_numpy()).astype(np.float64)
+                n = np.linalg.norm(m, axis=1, keepdims=True)
+                yield pd.DataFrame({f"{key}s": [part[key].to_numpy(np.int64).tobytes()], f"{key}_m": [(m / np.where(n > 0, n, 1)).tobytes()]})
+
+    return df.filter("embedding is not null").select(key, "embedding").mapInPandas(run, f"{key}s binary, {key}_m binary")
+
+
 def cosine_topk(queries: DataFrame, base: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
     """V3: queries(query_id, embedding), base(vec_id, embedding) -> query_id, vec_id, similarity, rank 1..k; ties by vec_id.
 
-    Queries go to the tasks in blocks of bounded size, each against all vectors: a matrix
-    product for each Arrow batch and the k best of it per query; only these are shuffled.
+    Both sides are packed to blocks of bounded size; every block of queries meets every block
+    of vectors in some task: a matrix product, and the k best of it per query. Only these
+    are shuffled, and nothing passes through the driver.
     """
-    spark = base.sparkSession
-    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("e"))
-    parts = max(1, -(-q.count() // block))
-    out = None
-    for b in range(parts):
-        own = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == b).toPandas()
-        if not len(own):
-            continue
-        m = np.stack(own.e.map(np.asarray).to_numpy()).astype(np.float64)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        known = spark.sparkContext.broadcast((own.query_id.to_numpy(), m / np.where(norm > 0, norm, 1)))
-
-        def run(it: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
-            ids, qs = known.value
-            for pdf in it:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = (x / np.where(n > 0, n, 1)) @ qs.T
-                vec = pdf.vec_id.to_numpy()
-                by_id = np.argsort(vec, kind="stable")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for q, qm, v, vm in zip(pdf.query_ids, pdf.query_id_m, pdf.vec_ids, pdf.vec_id_m, strict=True):
+                q, v = np.frombuffer(q, np.int64), np.frombuffer(v, np.int64)
+                s = np.frombuffer(vm).reshape(len(v), -1) @ np.frombuffer(qm).reshape(len(q), -1).T
+                by_id = np.argsort(v, kind="stable")
                 top = by_id[np.argsort(-s[by_id], axis=0, kind="stable")[:k]]
-                cols = np.broadcast_to(np.arange(len(ids)), top.shape)
-                yield pd.DataFrame({"query_id": ids[cols].ravel(), "vec_id": vec[top].ravel(), "similarity": s[top, cols].ravel()})
+                cols = np.broadcast_to(np.arange(len(q)), top.shape)
+                yield pd.DataFrame({"query_id": q[cols].ravel(), "vec_id": v[top].ravel(), "similarity": s[top, cols].ravel()})
 
-        part = base.filter("embedding is not null").select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, similarity double")
+    pairs = packed(base, "vec_id", block).crossJoin(packed(queries, "query_id", block))
+    out = pairs.mapInPandas(run, "query_id long, vec_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 

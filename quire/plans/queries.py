@@ -36,6 +36,10 @@ def chain(x: str, rules: list[tuple[str, str]]) -> str:
     return x
 
 
+def strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
 def squeeze(x: str) -> str:
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
@@ -45,7 +49,7 @@ def normal(x: str) -> str:
 
 
 def bare(x: str) -> str:
-    return rf"regexp_replace({normal(x)}, '^\d{{1,2}}\.?\s*', '')"
+    return rf"regexp_replace({normal(x)}, '^0?\d{{1,2}}\s+', '')"
 
 
 def clean(x: str) -> str:
@@ -115,13 +119,18 @@ def io3_tolerant_json(s, d):
     return out.select("event_id", "parsed.own", "parsed.note", "ok")
 
 
-@query("SELECT vec_id, len(embedding) AS dim, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS squared FROM embeddings")
+@query("SELECT vec_id, 'vector ' || vec_id AS content, len(embedding) AS dim, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS squared FROM embeddings")
 def io5_embeddings(s, d):
-    v = io.vectors(B.table(s, d, "embeddings"))
-    return v.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("squared"))
+    """The vectors as JSON records, written and read again."""
+    path = io.scratch(s, "embeddings")
+    e = B.table(s, d, "embeddings").select(F.format_string("vector %d", "vec_id").alias("content"), F.col("vec_id").cast("string").alias("metadata"), "embedding")
+    e.write.json(path)
+    v = io.read_embeddings(s, path, multi_line=False)
+    return v.select(F.col("metadata").cast("long").alias("vec_id"), "content", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("squared"))
 
 
-TOC_SQL = rf"""toc AS (SELECT * FROM (SELECT doc_id, pos, trim(regexp_extract(tx, {quoted(classify.TOC_LINE)}, 1)) AS title, TRY_CAST(nullif(regexp_extract(tx, {quoted(classify.TOC_LINE)}, 2), '') AS BIGINT) AS target_page, x FROM (SELECT doc_id, pos, x, page, trim(text) AS tx FROM n) WHERE page BETWEEN 1 AND 2 AND length(tx) >= 3) WHERE target_page IS NOT NULL AND title <> '')"""
+TOC_LINE = r"'^[-\s>]*([^.]+(?:\.[^.]+)*?)(?:\.\.|\.\.\.+\s*|\s\s\s+|[.·]\s+|\s+>+\s+)(\d+)\s*$'"
+TOC_SQL = rf"""toc AS (SELECT * FROM (SELECT doc_id, pos, {strip(f"regexp_extract(tx, {TOC_LINE}, 1)")} AS title, TRY_CAST(nullif(regexp_extract(tx, {TOC_LINE}, 2), '') AS BIGINT) AS target_page, x FROM (SELECT doc_id, pos, x, page, {strip('text')} AS tx FROM n) WHERE page BETWEEN 1 AND 2 AND length(tx) >= 3) WHERE target_page IS NOT NULL AND title <> '')"""
 
 
 @query(f"WITH {B.N}, {TOC_SQL} SELECT doc_id, title || ' (page ' || target_page || ')' AS line FROM toc")
@@ -156,7 +165,7 @@ def m2_merge_batch_content(s, d):
 
 
 @query(f"""WITH {B.E}, p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY id) AS page_content FROM e GROUP BY ALL)
-SELECT doc_id, id, md5('id: ' || id || ',' || chr(10) || 'page: ' || page || ',' || chr(10) || 'page_content: {{' || page_content || '}}') AS metadata_md5 FROM e JOIN p USING (doc_id, page)""")
+SELECT doc_id, id, md5('id:' || id || ',' || chr(10) || 'page: ' || page || ',' || chr(10) || 'page_content: {{' || chr(10) || '"' || page_content || '"' || chr(10) || '}}') AS metadata_md5 FROM e JOIN p USING (doc_id, page)""")
 def j1_page_context(s, d):
     out = batches.attach_page_context(B.lines(s, d).withColumn("content", F.col("text")))
     return out.select("doc_id", "id", F.md5("metadata").alias("metadata_md5"))
@@ -197,9 +206,13 @@ def p4_clean_title(s, d):
     return u.select("doc_id", "pos", X.clean_title(F.col("text")).alias("title"))
 
 
-@query()
+P5 = """SELECT doc_id, pos, coalesce(list_reduce(list_filter(list_transform(string_split(replace(replace(text, ',', '-'), 'a ', '∙ '), ' '), lambda t: trim(t)), lambda t: t <> ''), lambda acc, t: acc || CASE WHEN right(acc, 1) IN ('･', '·', 'ㆍ', '-', '.') THEN '' ELSE ' ' END || t), '') AS text FROM c"""
+
+
+@query(f"WITH {B.C} {P5}")
 def p5_assemble_line_text(s, d):
-    return B.turns(s, d).select("doc_id", "pos", X.assemble_line_text(F.split(F.replace("text", F.lit(","), F.lit("-")), " ")).alias("text"))
+    marked = F.replace(F.replace("text", F.lit(","), F.lit("-")), F.lit("a "), F.lit("∙ "))
+    return B.turns(s, d).select("doc_id", "pos", X.assemble_line_text(F.split(marked, " ")).alias("text"))
 
 
 @query(f"WITH {B.G} SELECT doc_id, pos, round((x1 + x2 + x2 + x1) / 4, 6) AS cx, round((y1 + y1 + y2 + y2) / 4, 6) AS cy, x1, y1, x2, y2 FROM g")
@@ -210,16 +223,23 @@ def p6_geometry(s, d):
     return g.select("doc_id", "pos", F.round("m.x", 6).alias("cx"), F.round("m.y", 6).alias("cy"), "b.x1", "b.y1", "b.x2", "b.y2")
 
 
-@query(f"WITH {B.G}, p AS (SELECT doc_id, page, max(x2) AS w, max(y2) AS h FROM g GROUP BY ALL) SELECT doc_id, pos, round(y1 / h, 6) AS y_rel_top, round(y2 / h, 6) AS y_rel_bottom, round(x1 / w, 6) AS x_rel_left, round(x2 / w, 6) AS x_rel_right, round((x2 - x1) / (y2 - y1), 4) AS aspect FROM g JOIN p USING (doc_id, page)")
+@query(f"WITH {B.G}, p AS (SELECT doc_id, page, max(x2) AS w, max(y2) AS h FROM g GROUP BY ALL) SELECT doc_id, pos, round(y1 / h, 6) AS y_rel_top, round(y2 / h, 6) AS y_rel_bottom, round(x1 / w, 6) AS x_rel_left, round(x2 / w, 6) AS x_rel_right, round(CASE WHEN x2 > x1 THEN (y2 - y1) / (x2 - x1) ELSE 0 END, 4) AS aspect FROM g JOIN p USING (doc_id, page)")
 def p7_relative_position(s, d):
     g = B.geometry(s, d)
     pages = g.groupBy("doc_id", "page").agg(F.max("x2").alias("width"), F.max("y2").alias("height"))
     return classify.relative_position(g, pages).select("doc_id", "pos", *[F.round(c, 6).alias(c) for c in ("y_rel_top", "y_rel_bottom", "x_rel_left", "x_rel_right")], F.round("aspect", 4).alias("aspect"))
 
 
-@query()
+def title_words(x: str) -> str:
+    """A list of the words of a title."""
+    marks, p, m = "[-･·ㆍ]", f"regexp_split_to_array({x}, '[-･·ㆍ]')", f"regexp_extract_all({x}, '[-･·ㆍ]')"
+    pair = f"CASE WHEN 2 * k + 2 <= len({p}) THEN {p}[2 * k + 1] || {m}[2 * k + 1] || {p}[2 * k + 2] ELSE {strip(f'{p}[2 * k + 1]')} END"
+    return f"list_filter(list_transform(range((len({p}) + 1) // 2), lambda k: {pair}), lambda w: w <> '' AND NOT regexp_full_match(w, '{marks}'))"
+
+
+@query(f"WITH {B.E} SELECT doc_id, pos, array_to_string({title_words('tx')}, '|') AS words FROM (SELECT doc_id, pos, regexp_replace(text, 'a |,+', '-', 'g') AS tx FROM e)")
 def p8_split_title_words(s, d):
-    return B.lines(s, d).select("doc_id", "pos", F.array_join(X.split_title_words(F.regexp_replace("text", r"[ ,]+", "-")), "|").alias("words"))
+    return B.lines(s, d).select("doc_id", "pos", F.array_join(X.split_title_words(F.regexp_replace("text", r"a |,+", "-")), "|").alias("words"))
 
 
 @query(rf"WITH {B.K} SELECT doc_id, pos, nullif(regexp_extract(text, {quoted(X.CITATION)}), '') AS law_reference, nullif(regexp_extract(text, {quoted(X.EFFECTIVE)}), '') AS application_date FROM k")
@@ -241,8 +261,8 @@ def c1_toc_entries(s, d):
 
 
 def potential(t: str, x: str) -> str:
-    forms = " OR ".join(f"regexp_matches(trim({t}), {quoted(p)})" for p in classify.TITLE_FORMS)
-    return rf"(length(trim({t})) <= 200 AND NOT regexp_matches(trim({t}), '^[0-9\s.\-=><()]+$') AND coalesce({x}, 0) <= 0.5 AND ({forms}))"
+    forms = " OR ".join(f"regexp_matches({strip(t)}, {quoted(p)})" for p in classify.TITLE_FORMS)
+    return rf"(length({strip(t)}) <= 200 AND NOT regexp_matches({strip(t)}, '^[0-9\s.\-=><()]+$') AND coalesce({x}, 0) <= 0.5 AND ({forms}))"
 
 
 @query(f"WITH {B.G} SELECT doc_id, pos, {potential('text', 'x1')} AS potential FROM g")
@@ -252,11 +272,11 @@ def c2_potential_title(s, d):
 
 def toc_of_geometry(s, d):
     """A table of contents for G: its numbered lines beyond page 1, named with their pages."""
-    return B.geometry(s, d).filter("page > 1 and pos % 12 = 0 and pos < 1000000").select("doc_id", F.col("page").alias("target_page"), F.col("text").alias("title"), (F.col("x1") + F.when(F.col("pos") % 24 == 0, 0.05).otherwise(0.2)).alias("x"))
+    return B.geometry(s, d).filter("page > 1 and pos % 12 = 0 and pos < 1000000").select("doc_id", F.col("page").alias("target_page"), F.concat(F.when(F.col("pos") % 24 == 12, "07. ").otherwise(""), "text").alias("title"), (F.col("x1") + F.when(F.col("pos") % 24 == 0, 0.05).otherwise(0.2)).alias("x"))
 
 
-GT = B.G + ", gt AS (SELECT doc_id, page AS target_page, text AS title, x1 + CASE WHEN pos % 24 = 0 THEN 0.05::DOUBLE ELSE 0.2::DOUBLE END AS x FROM g WHERE page > 1 AND pos % 12 = 0 AND pos < 1000000)"
-GM = f"EXISTS (SELECT 1 FROM gt WHERE gt.doc_id = g.doc_id AND gt.target_page = g.page AND contains(lower({squeeze('g.text')}), lower({squeeze('gt.title')})) AND (abs(g.x1 - gt.x) < 0.1 OR gt.x IS NULL))"
+GT = B.G + ", gt AS (SELECT doc_id, page AS target_page, CASE WHEN pos % 24 = 12 THEN '07. ' ELSE '' END || text AS title, x1 + CASE WHEN pos % 24 = 0 THEN 0.05::DOUBLE ELSE 0.2::DOUBLE END AS x FROM g WHERE page > 1 AND pos % 12 = 0 AND pos < 1000000)"
+GM = rf"EXISTS (SELECT 1 FROM gt WHERE gt.doc_id = g.doc_id AND gt.target_page = g.page AND contains(lower({squeeze('g.text')}), lower(coalesce(nullif(regexp_replace({squeeze('gt.title')}, '^[-\s>]*([0-9][0-9]\.|\([0-9]+\)|[IVX]+\.|[A-Z]\.)\s*', ''), ''), {squeeze('gt.title')}))) AND (abs(g.x1 - gt.x) < 0.1 OR gt.x IS NULL))"
 
 
 @query(f"WITH {GT} SELECT doc_id, pos, text FROM g WHERE {GM}")
@@ -265,8 +285,8 @@ def j4_toc_headings(s, d):
 
 
 @query(f"""WITH {GT}, m AS (SELECT *, {GM} AS hit, {potential('text', 'x1')} AS pot, CASE WHEN pos % 11 = 0 THEN 'heading2' ELSE '' END AS category FROM g)
-SELECT doc_id, pos, CASE WHEN length(trim(text)) < 2 THEN 'unknown' WHEN page BETWEEN 1 AND 1 THEN CASE WHEN pot THEN 'heading' ELSE 'toc' END WHEN hit OR category LIKE 'heading%' THEN 'heading' ELSE 'paragraph' END AS type,
- CASE WHEN length(trim(text)) < 2 THEN NULL WHEN page BETWEEN 1 AND 1 THEN CASE WHEN pot THEN 'toc_page' END WHEN hit THEN 'toc_match' WHEN category LIKE 'heading%' THEN 'category' END AS source FROM m""")
+SELECT doc_id, pos, CASE WHEN length(trim(text)) < 3 THEN 'unknown' WHEN page BETWEEN 1 AND 1 THEN CASE WHEN pot THEN 'heading' ELSE 'toc' END WHEN hit OR category LIKE 'heading%' THEN 'heading' ELSE 'paragraph' END AS type,
+ CASE WHEN length(trim(text)) < 3 THEN NULL WHEN page BETWEEN 1 AND 1 THEN CASE WHEN pot THEN 'toc_page' END WHEN hit THEN 'toc_match' WHEN category LIKE 'heading%' THEN 'category' END AS source FROM m""")
 def c3_classify_elements(s, d):
     g = B.geometry(s, d).withColumn("category", F.when(F.col("pos") % 11 == 0, "heading2").otherwise(""))
     hits = match.match_toc_headings(g, toc_of_geometry(s, d)).select("doc_id", "pos").withColumn("hit", F.lit(True))
@@ -282,12 +302,32 @@ def c4_header_footer(s, d):
     return classify.label_header_footer(B.geometry(s, d).withColumn("category", F.lit(None).cast("string"))).select("doc_id", "pos", "category")
 
 
-@query(f"""WITH {B.G}, {B.T}, kt AS (SELECT key, min_by(title, title_no) AS original_title FROM (SELECT {clean(clean('title'))} AS key, title_no, title FROM t) WHERE key <> '' GROUP BY key),
-gg AS (SELECT *, {HF} AS cat, {clean(clean('text'))} AS key FROM (SELECT *, max(y2) OVER (PARTITION BY doc_id, page) AS h FROM g))
-SELECT doc_id, pos, CASE WHEN coalesce(cat, '') NOT IN ('header', 'footer') AND original_title IS NOT NULL THEN 'heading1' ELSE coalesce(cat, 'paragraph') END AS category, CASE WHEN coalesce(cat, '') NOT IN ('header', 'footer') THEN original_title END AS original_title FROM gg LEFT JOIN kt USING (key)""")
+def ladder(lines: str, titles: str) -> str:
+    """hits(doc_id, pos, title_no, rung) of lines(doc_id, pos, k) and titles(title_no, k), where k is the cleaned text in lower case: every pair, by each rung."""
+    page = r"'\s*[.·･]{2,}\s*\d+\s*$'"
+    keys = lambda t: f"SELECT *, regexp_replace(k2, '^(?:\\d+\\.)?\\s*', '') AS k3 FROM (SELECT *, regexp_replace(k, {page}, '') AS k2 FROM {t} WHERE k <> '')"
+    return f"""lk AS (SELECT *, {title_words('k3')} AS ws FROM ({keys(lines)})), tk AS (SELECT *, list_filter(ws, lambda w: length(w) > 1) AS main FROM (SELECT *, {title_words('k3')} AS ws FROM ({keys(titles)}))),
+    pairs AS (SELECT lk.doc_id, lk.pos, tk.title_no, CASE WHEN lk.k = tk.k THEN 1 WHEN lk.k2 = tk.k2 THEN 2 WHEN lk.k3 = tk.k3 THEN 3 ELSE 4 END AS rung FROM lk JOIN tk ON lk.k = tk.k OR lk.k2 = tk.k2 OR lk.k3 = tk.k3
+     OR (len(tk.ws) > 1 AND len(main) > 0 AND len(list_filter(main, lambda w: len(list_filter(lk.ws, lambda t: contains(t, w))) > 0)) >= len(main) * 0.7::DOUBLE)),
+    hits AS (SELECT doc_id, pos, min(title_no) AS title_no, min_by(rung, title_no) AS rung FROM pairs GROUP BY doc_id, pos)"""
+
+
+#: Commas and a common word become marks, so that titles have words; some lines say more than their title.
+MARKED = "regexp_replace(text, ', | of ', '-', 'g')"
+G5 = B.G.replace("g AS (", "g_ AS (") + f", g AS (SELECT * REPLACE ({MARKED} AS text) FROM g_)"
+T5 = B.T.replace("t AS (", "t_ AS (") + f", t AS (SELECT title_no, {MARKED.replace('text', 'title')} AS title FROM t_)"
+
+
+def marked(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn(text, F.regexp_replace(text, ", | of ", "-"))
+
+
+@query(f"""WITH {G5}, {T5}, kt AS (SELECT lower({clean(strip('title'))}) AS key, min(title_no) AS title_no, max_by(title, title_no) AS original_title FROM t WHERE {strip('title')} <> '' GROUP BY 1),
+gg AS (SELECT *, {HF} AS cat FROM (SELECT *, max(y2) OVER (PARTITION BY doc_id, page) AS h FROM g)), l AS (SELECT doc_id, pos, lower({clean(f"lower({clean(strip('text'))})")}) AS k FROM gg WHERE cat IS NULL), tl AS (SELECT title_no, lower({clean('key')}) AS k FROM kt), {ladder('l', 'tl')}
+SELECT gg.doc_id, gg.pos, CASE WHEN original_title IS NOT NULL THEN 'heading1' ELSE coalesce(cat, 'paragraph') END AS category, original_title FROM gg LEFT JOIN (hits JOIN kt USING (title_no)) x ON gg.doc_id = x.doc_id AND gg.pos = x.pos""")
 def c5_titles_paragraphs(s, d):
-    g = classify.label_header_footer(B.geometry(s, d).withColumn("category", F.lit(None).cast("string")))
-    return classify.label_titles_and_paragraphs(g, B.titles(s, d)).select("doc_id", "pos", "category", "original_title")
+    g = classify.label_header_footer(marked(B.geometry(s, d), "text").withColumn("category", F.lit(None).cast("string")))
+    return classify.label_titles_and_paragraphs(g, marked(B.titles(s, d), "title")).select("doc_id", "pos", "category", "original_title")
 
 
 @query(f"""WITH {B.G}, {B.T}, kt AS (SELECT DISTINCT lower({clean('title')}) AS key FROM t)
@@ -312,19 +352,23 @@ def c7_title_blocks(s, d):
     return with_titles(s, d).select("doc_id", "pos", "is_title")
 
 
-PN = r"(length(trim(text)) <= 5 AND regexp_matches(trim(text), '^\d+$') AND ((y1 >= 0.9 AND (x1 >= 0.8 OR x2 <= 0.2)) OR (y2 <= 0.1 AND x1 >= 0.8)))"
-RB = """rb0 AS (SELECT *, CASE WHEN y1 <= 0.1 THEN 'top' ELSE 'bottom' END AS side, round(CASE WHEN y1 <= 0.1 THEN y1 ELSE y2 END, 2) AS y FROM g WHERE y1 <= 0.1 OR y2 >= 1 - 0.1::DOUBLE),
-rb AS (SELECT doc_id, side, y, count(DISTINCT page) AS pages FROM rb0 GROUP BY ALL HAVING count(DISTINCT page) >= 3)"""
-BAND = "EXISTS (SELECT 1 FROM rb WHERE rb.doc_id = g.doc_id AND ((side = 'top' AND g.y1 <= 0.1 AND abs(g.y1 - rb.y) < 0.02) OR (side = 'bottom' AND g.y2 >= 1 - 0.1::DOUBLE AND abs(g.y2 - rb.y) < 0.02)))"
+PN = r"(length(text) <= 5 AND regexp_full_match(replace(text, '.', ''), '\d+') AND ((x1 < 0.15 AND y2 > 0.85) OR (x2 > 0.85 AND y2 > 0.85) OR (x2 > 0.85 AND y1 < 0.15)))"
+RB = """rb0 AS (SELECT *, 'top' AS side, y1 AS y_rel, round(y1, 2) AS y FROM g WHERE y1 < 0.1::DOUBLE UNION ALL SELECT *, 'bottom', y2, round(y2, 2) FROM g WHERE y2 > 0.9::DOUBLE),
+rb1 AS (SELECT doc_id, side, y, count(DISTINCT page) AS pages FROM rb0 GROUP BY ALL HAVING count(DISTINCT page) >= 3),
+rb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, side, y, page ORDER BY pos) AS k FROM rb0 JOIN rb1 USING (doc_id, side, y)) WHERE k = 1)"""
+NEAR = lambda side, y, within: f"({within} AND EXISTS (SELECT 1 FROM rb WHERE rb.doc_id = g.doc_id AND rb.side = '{side}' AND abs(g.{y} - rb.y_rel) < 0.02))"
+TOP, LOW = NEAR("top", "y1", "g.y1 < 0.1::DOUBLE"), NEAR("bottom", "y2", "g.y2 > 0.9::DOUBLE")
+DEMOTED = r"""((length(text) > 100 OR length(text) - length(replace(text, '.', '')) > 3) AND NOT regexp_matches(text, '^(제\d+[장절]|\d+[.\s])') OR ((contains(text, '(') AND contains(text, ')')) OR contains(text, ':')) AND length(text) > 80)"""
 
 
-@query(f"""WITH {B.G}, {BODY}, {RB} SELECT doc_id, pos, CASE WHEN is_title AND length(trim(text)) <= 100 AND NOT {COMPLETE('trim(text)')} THEN 'title' WHEN {PN} THEN 'page_number'
- WHEN ((x2 - x1) / (CASE WHEN y2 > y1 THEN y2 - y1 END) > 3 AND x2 - x1 < 0.3) OR regexp_matches(trim(text), '^\\d+\\..*\\d+$') THEN 'index' WHEN band AND y1 <= 0.1 THEN 'header' WHEN band AND y2 >= 0.9 THEN 'footer' ELSE 'body' END AS block_type
-FROM (SELECT g.*, {TB} AS is_title, {BAND} AS band FROM g JOIN bs ON g.doc_id = bs.doc_id)""")
+@query(rf"""WITH {B.G}, {BODY}, {RB} SELECT doc_id, pos, CASE WHEN is_title THEN CASE WHEN {DEMOTED} THEN 'body' ELSE 'title' END WHEN x2 > x1 AND (y2 - y1) / (x2 - x1) > 3 AND x2 - x1 < 0.15 THEN 'index' WHEN {PN} THEN 'page_number'
+ WHEN top THEN 'header' WHEN low THEN 'footer' WHEN regexp_matches(text, '^\d+\..*\d+$') THEN 'index' ELSE 'body' END AS block_type
+FROM (SELECT g.*, {TB} AS is_title, {TOP} AS top, {LOW} AS low FROM g JOIN bs ON g.doc_id = bs.doc_id)""")
 def c8_classify_blocks(s, d):
     g = with_titles(s, d)
-    hits = match.match_repeating_bands(g, stats.repeating_blocks(B.geometry(s, d))).select("doc_id", "pos").withColumn("hit", F.lit(True))
-    return classify.classify_blocks(g.join(hits, ["doc_id", "pos"], "left"), F.coalesce("hit", F.lit(False))).select("doc_id", "pos", "block_type")
+    hits = match.match_repeating_bands(g, stats.repeating_blocks(B.geometry(s, d))).groupBy("doc_id", "pos").agg(*[F.max(F.col("side") == side).alias(side) for side in ("top", "bottom")])
+    own = g.join(hits, ["doc_id", "pos"], "left")
+    return classify.classify_blocks(own, *[F.coalesce(side, F.lit(False)) for side in ("top", "bottom")]).select("doc_id", "pos", "block_type")
 
 
 @query(f"WITH {B.G} SELECT doc_id, pos, text FROM g WHERE {PN}")
@@ -352,16 +396,20 @@ def c11_continuations(s, d):
 
 # matching
 
-TITLED = r"CASE WHEN doc_id % 2 = 1 THEN '07. ' || text ELSE text END"
+TITLED = r"CASE WHEN doc_id % 2 = 1 THEN '07 ' || text ELSE text END"
 
 
 def titled(s, d):
-    return B.lines(s, d).select("doc_id", "pos", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("07. "), "text")).otherwise(F.col("text")).alias("text"))
+    return B.lines(s, d).select("doc_id", "pos", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("07 "), "text")).otherwise(F.col("text")).alias("text"))
 
 
-@query()
+E5 = B.E.replace("e AS (", "e_ AS (") + f", e AS (SELECT doc_id, pos, {MARKED} || CASE WHEN pos % 3 = 1 THEN '-and more' ELSE '' END AS text FROM e_)"
+
+
+@query(f"WITH {E5}, {T5.replace('FROM e WHERE', 'FROM e_ WHERE')}, l AS (SELECT doc_id, pos, lower({clean('text')}) AS k FROM e), tl AS (SELECT title_no, lower({clean('title')}) AS k FROM t), {ladder('l', 'tl')} SELECT doc_id, pos, title_no, rung FROM hits")
 def j2_titles_fuzzy(s, d):
-    return match.match_titles_fuzzy(titled(s, d), B.titles(s, d)).filter("title_no is not null").select("doc_id", "pos", "title_no", "rung")
+    more = marked(B.lines(s, d), "text").withColumn("text", F.concat("text", F.when(F.col("pos") % 3 == 1, "-and more").otherwise("")))
+    return match.match_titles_fuzzy(more.select("doc_id", "pos", "text"), marked(B.titles(s, d), "title")).filter("title_no is not null").select("doc_id", "pos", "title_no", "rung")
 
 
 JT = f"""u AS (SELECT doc_id, pos, {TITLED} AS text FROM e), ta AS (SELECT key, min(title_no) AS no FROM (SELECT {normal('title')} AS key, title_no FROM t) WHERE key <> '' GROUP BY key), tb AS (SELECT key, min(title_no) AS no FROM (SELECT {bare('title')} AS key, title_no FROM t) WHERE key <> '' GROUP BY key),
@@ -373,10 +421,10 @@ def j3_titles_exact(s, d):
     return match.match_titles_exact(titled(s, d), B.titles(s, d)).filter("title_no is not null").select("doc_id", "pos", "title_no", "title")
 
 
-@query(f"WITH {B.G}, {RB} SELECT doc_id, pos FROM g WHERE {BAND}")
+@query(f"WITH {B.G}, {RB} SELECT doc_id, pos, 'top' AS side FROM g WHERE {TOP} UNION ALL SELECT doc_id, pos, 'bottom' FROM g WHERE {LOW}")
 def j5_repeating_bands(s, d):
     g = B.geometry(s, d)
-    return match.match_repeating_bands(g, stats.repeating_blocks(g)).select("doc_id", "pos")
+    return match.match_repeating_bands(g, stats.repeating_blocks(g)).select("doc_id", "pos", "side")
 
 
 # statistics
@@ -423,7 +471,9 @@ def s7_section_lengths(s, d):
 @query(f"""WITH {B.H}, s AS ({SEC.replace("type = 'heading'", "category = 'heading1'").format('h')}) SELECT doc_id, section::BIGINT AS section, min_by(text, pos) AS title, count(*) - 1 AS elements, count_if(category LIKE 'paragraph%') AS paragraphs, count_if(category LIKE 'table%') AS tables, count_if(category LIKE 'image%') AS images,
  count_if(category LIKE 'list%') AS lists, min_by(page, pos) AS first_page, max(page) AS last_page FROM s WHERE section > 0 GROUP BY doc_id, section""")
 def s8_section_contents(s, d):
-    return stats.section_contents(B.page_elements(s, d), "category = 'heading1'")
+    """The binding's elements get their type from their tag."""
+    kind = F.when(F.col("category") == "heading1", "heading").when(F.col("category") == "paragraph", "paragraph")
+    return stats.section_contents(B.page_elements(s, d).withColumn("type", kind))
 
 
 @query(f"""WITH {B.G}, c AS (SELECT doc_id, size, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, size) AS k FROM g GROUP BY doc_id, size), b AS (SELECT doc_id, size AS body FROM c WHERE k = 1),
@@ -434,45 +484,55 @@ def s9_font_statistics(s, d):
     return stats.font_statistics(B.geometry(s, d))
 
 
-PROFILED = ("lineitem", "orders", "customer", "events", "documents")
+#: Spark's names of types, as SQL has them.
+SQL_TYPES = {"int": "integer", "string": "varchar", "array<float>": "float[]", "array<double>": "double[]", "timestamp_ntz": "timestamp"}
+COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal", "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding label", "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
 
 
-@query(None)
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS \"column\", lower(any_value(typeof({c}))) AS type, count_if({c} IS NULL) AS nulls, count(DISTINCT {c}) AS distinct_values, count(*) AS rows FROM {t}" for t, cs in COLUMNS.items() for c in cs.split()))
 def s10_column_profile(s, d):
     out = None
-    for t in PROFILED:
-        own = stats.column_profile(B.table(s, d, t)).select(F.lit(t).alias("table_name"), "column", "nulls", "distinct_values", "rows")
+    for t in COLUMNS:
+        own = stats.column_profile(B.table(s, d, t), exact=True).withColumn("table_name", F.lit(t))
         out = own if out is None else out.unionByName(own)
-    return out
+    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in SQL_TYPES.items() for x in kv])[F.col("type")], F.col("type"))
+    return out.select("table_name", "column", kind.alias("type"), "nulls", "distinct_values", "rows")
 
 
-COLUMNS = {
-    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
-    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
-    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
-    "events": "event_id ts user_id event_type value props",
-    "documents": "doc_id text lang source n_chars",
-}
-SQL["s10_column_profile"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS \"column\", count_if({c} IS NULL) AS nulls, count(DISTINCT {c}) AS distinct_values, count(*) AS rows FROM {t}" for t, cs in COLUMNS.items() for c in cs.split())
-
-
-@query(f"WITH {B.G}, {RB} SELECT doc_id, side, y, page, pos, pages FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, side, y, page ORDER BY pos) AS k FROM rb0 JOIN rb USING (doc_id, side, y)) WHERE k = 1")
+@query(f"WITH {B.G}, {RB} SELECT doc_id, side, y, page, pos, pages, y_rel FROM rb")
 def s11_repeating_blocks(s, d):
-    return stats.repeating_blocks(B.geometry(s, d)).select("doc_id", "side", "y", "page", "pos", "pages")
+    return stats.repeating_blocks(B.geometry(s, d)).select("doc_id", "side", "y", "page", "pos", "pages", "y_rel")
 
 
 # patterns
 
 
+#: Written apart from the Spark side's patterns. There is no look-around here: boundary characters are doubled, or a blank put in, so that a match that takes one leaves another for the next.
+BY_HAND = {
+    "year": {"year": ("text", r"(19|20)[0-9]{2}\s*년", 0), "digits": (r"regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g')", r"(?:^|[^\p{L}\p{N}_])([0-9]{4}년)(?:[^\p{L}\p{N}_]|$)", 1)},
+    "amount": {u: ("text", r"[0-9]{1,3}(,[0-9]{3})*(\.[0-9]+)?\s*" + u, 0) for u in ("원", "만원", "억원", "조원", "천원")},
+    "general": {"general": ("text", r"[0-9]+(,[0-9]{3})*(\.[0-9]+)?\s*(원|만원|억원|천원)", 0)},
+    "date": {
+        "ymd": ("text", r"(19|20)[0-9]{2}\s*년\s*[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일", 0),
+        "ym": ("text", r"((?:19|20)[0-9]{2}\s*년\s*[0-9]{1,2}\s*월)(?:[^0-9]|$)", 1),
+        "md": ("replace(text, '일', '일 ')", r"(?:^|[^0-9])([0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일)", 1),
+        "period": ("text", r"(19|20)[0-9]{2}\s*년\s*[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일\s*(~|부터|까지)\s*(19|20)[0-9]{2}\s*년\s*[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일", 0),
+    },
+}
+
+
 def matches_sql(family: str, docs: str = "kd") -> str:
-    return " UNION ALL ".join(f"SELECT doc_id, '{family}' AS family, '{k}' AS kind, unnest(range(len(v))) AS seq, unnest(v) AS value FROM (SELECT doc_id, regexp_extract_all(text, {quoted(p)}, {g}) AS v FROM {docs})" for k, (p, g) in P.PACKS[family].items())
+    pack = BY_HAND.get(family) or {k: ("text", *v) for k, v in P.PACKS[family].items()}
+    return " UNION ALL ".join(f"SELECT doc_id, '{family}' AS family, '{k}' AS kind, unnest(range(len(v))) AS seq, unnest(v) AS value FROM (SELECT doc_id, regexp_extract_all({x}, {quoted(p)}, {g}) AS v FROM {docs})" for k, (x, p, g) in pack.items())
 
 
 @query(f"WITH {KD} {' UNION ALL '.join(matches_sql(f) for f in ('year', 'law', 'percent'))}")
 def x2_extract_patterns(s, d):
-    docs = k_docs(s, d)
-    out = [P.extract_patterns(docs, f) for f in ("year", "law", "percent")]
-    return out[0].unionByName(out[1]).unionByName(out[2]).withColumn("seq", F.col("seq").cast("long"))
+    return P.extract_patterns(k_docs(s, d), ["year", "law", "percent"]).withColumn("seq", F.col("seq").cast("long"))
 
 
 @query(f"WITH {KD}, m AS ({matches_sql('year')}) SELECT doc_id, kind, value, count(*) AS n FROM m GROUP BY ALL")
@@ -480,7 +540,7 @@ def x3_year_mentions(s, d):
     return P.year_mentions(k_docs(s, d))
 
 
-@query(f"WITH {KD}, m AS ({matches_sql('amount')}) SELECT doc_id, kind, seq, value FROM m UNION ALL SELECT doc_id, 'general', unnest(range(len(v))), unnest(v) FROM (SELECT doc_id, regexp_extract_all(text, {quoted(P.AMOUNT + '(?:원|만원|억원)')})[1:20] AS v FROM kd)")
+@query(f"WITH {KD}, m AS ({matches_sql('amount')}), o AS ({matches_sql('general')}) SELECT doc_id, kind, seq, value FROM m UNION ALL SELECT doc_id, kind, seq, value FROM o WHERE seq < 20")
 def x4_financial_amounts(s, d):
     return P.financial_amounts(k_docs(s, d)).withColumn("seq", F.col("seq").cast("long"))
 
@@ -546,9 +606,10 @@ def x14_detect_sections(s, d):
 
 
 @query(f"""WITH {B.E}, {B.T}, {JT}, s AS (SELECT *, count(title_no) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM j), a AS (SELECT doc_id, section, min_by(text, pos) AS text, min(pos) + 1 AS line_number, min_by(title_no, pos) AS title_no, coalesce(string_agg(CASE WHEN title_no IS NULL THEN text END, chr(10) ORDER BY pos), '') AS content FROM s WHERE section > 0 GROUP BY doc_id, section)
-SELECT doc_id, section, a.text, title AS original_title, line_number, content, count(*) OVER (PARTITION BY doc_id) AS total_count FROM a JOIN t USING (title_no)""")
+SELECT doc_id, section, a.text, title AS original_title, line_number, content, nullif(regexp_extract(a.text, {quoted(X.CITATION)}), '') AS law_reference, nullif(regexp_extract(a.text, {quoted(X.EFFECTIVE)}), '') AS application_date,
+ count(*) OVER (PARTITION BY doc_id) AS total_count FROM a JOIN t USING (title_no)""")
 def t1_sections_by_title(s, d):
-    return sequence.sectionize_by_title(titled(s, d), B.titles(s, d)).drop("law_reference", "application_date")
+    return sequence.sectionize_by_title(titled(s, d), B.titles(s, d))
 
 
 LEVEL = "CASE " + " ".join(f"WHEN regexp_matches(text, {quoted(p)}) THEN {n}" for p, n in classify.LEVELS) + " ELSE 1 END"
@@ -590,17 +651,17 @@ def t5_toc_outline(s, d):
 
 
 STARTS = r"(starts_with(trim(text), '[') OR regexp_matches(trim(text), '^\d+\.') OR regexp_matches(trim(text), '^제\s*\d+\s*[장절]') OR regexp_matches(trim(text), '^\d{4}년') OR starts_with(trim(text), '>>>>') OR contains(text, 'Q&A'))"
-PAGE_END = lambda x: rf"regexp_matches(trim({x}), '(?:\.{{3,}}|[･·ㆍ∙]{{2,}})\s*\d+$')"
+PAGE_END = lambda x: rf"regexp_matches(trim({x}), '(?:\.{{2,}}|[･·ㆍ]{{2,}})\s*\d+$')"
 
 
 @query(f"""WITH {B.N}, o AS (SELECT doc_id, pos, text, sum({STARTS}::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS s, {PAGE_END('text')}::INT AS e FROM n), i AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id, s ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf FROM o WHERE s > 0),
-a AS (SELECT doc_id, s, string_agg(text, ' ' ORDER BY pos) AS title, min(pos) AS pos FROM i WHERE bf = 0 GROUP BY doc_id, s), l AS (SELECT *, max(s) OVER (PARTITION BY doc_id) AS last FROM a), cl AS (SELECT *, {clean('title')} AS clean FROM l WHERE s < last OR {PAGE_END('title')})
+a AS (SELECT doc_id, s, string_agg(trim(text), ' ' ORDER BY pos) AS title, min(pos) AS pos FROM i WHERE bf = 0 GROUP BY doc_id, s), l AS (SELECT *, max(s) OVER (PARTITION BY doc_id) AS last FROM a), cl AS (SELECT *, {clean('title')} AS clean FROM l WHERE s < last OR {PAGE_END('title')})
 SELECT doc_id, pos, title, clean FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, clean ORDER BY pos) AS k FROM cl WHERE clean <> '') WHERE k = 1""")
 def t6_toc_titles(s, d):
     return sequence.accumulate_toc_titles(B.numbered(s, d))
 
 
-@query(f"WITH {B.G} SELECT doc_id, page, text FROM (SELECT doc_id, page, {squeeze('string_agg(text, chr(10) ORDER BY pos)')} AS text FROM g WHERE y2 > 0.1 AND y1 < 1 - 0.1::DOUBLE GROUP BY doc_id, page) WHERE text <> ''")
+@query(f"WITH {B.G} SELECT doc_id, page, text FROM (SELECT doc_id, page, {squeeze('string_agg(text, chr(10) ORDER BY pos)')} AS text FROM g WHERE NOT (y1 < 0.1::DOUBLE OR y1 > 0.9::DOUBLE) GROUP BY doc_id, page) WHERE text <> ''")
 def t7_page_text(s, d):
     return sequence.clean_page_text(B.geometry(s, d))
 
@@ -642,12 +703,12 @@ def v2_l2_normalize(s, d):
     return e.select("vec_id", F.round(F.get("v", F.lit(0)), 5).alias("first"), F.round(F.get("v", F.lit(63)), 5).alias("last"))
 
 
-HITS = """hits AS (SELECT query_id, vec_id, similarity, rank FROM (SELECT q.vec_id AS query_id, b.vec_id, s AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, b.vec_id) AS rank FROM (SELECT q.vec_id AS qid, b.vec_id AS bid, list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings b WHERE q.vec_id < 10) x JOIN embeddings q ON q.vec_id = x.qid JOIN embeddings b ON b.vec_id = x.bid) WHERE rank <= 5)"""
+HITS = """hits AS (SELECT query_id, vec_id, similarity, rank FROM (SELECT q.vec_id AS query_id, b.vec_id, s AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, b.vec_id) AS rank FROM (SELECT q.vec_id AS qid, b.vec_id AS bid, list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0) x JOIN embeddings q ON q.vec_id = x.qid JOIN embeddings b ON b.vec_id = x.bid) WHERE rank <= 5)"""
 
 
 def hits(s, d):
     e = B.table(s, d, "embeddings")
-    return vectors.cosine_topk(e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), e)
+    return vectors.cosine_topk(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e)
 
 
 def passages(s, d):
@@ -656,7 +717,7 @@ def passages(s, d):
 
 
 PASSAGES = "ps AS (SELECT doc_id AS vec_id, text AS content, 'id: ' || doc_id || ',' || chr(10) || 'page: ' || source AS metadata FROM documents)"
-CONTEXT = f"""cx AS (SELECT query_id, string_agg('{context.DOCUMENT} ' || rank || ':' || chr(10) || '{context.CONTENT} ' || content || chr(10) || '{context.METADATA} ' || metadata || chr(10), chr(10) ORDER BY rank) AS context FROM hits JOIN ps USING (vec_id) GROUP BY query_id)"""
+CONTEXT = f"""cx AS (SELECT query_id, string_agg('{context.DOCUMENT} ' || rank || ':' || chr(10) || '{context.CONTENT} ' || content || chr(10) || '{context.METADATA} ' || metadata || chr(10) || chr(10), '' ORDER BY rank) AS context FROM hits JOIN ps USING (vec_id) GROUP BY query_id)"""
 
 
 @query(f"WITH {HITS} SELECT query_id, vec_id, rank, round(similarity, 4) AS similarity FROM hits")
@@ -678,7 +739,7 @@ def r1_build_context(s, d):
     return contexts(s, d).select("query_id", F.md5("context").alias("context_md5"))
 
 
-R2 = f"""ln AS (SELECT query_id, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT query_id, string_split(context, chr(10)) AS a FROM cx)), mk AS (SELECT *, CASE WHEN starts_with(line, '{context.METADATA}') THEN 'm' WHEN starts_with(line, '{context.DOCUMENT}') OR starts_with(line, '{context.CONTENT}') THEN 'x' END AS mark FROM ln),
+R2 = f"""ln AS (SELECT query_id, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT query_id, string_split(context, chr(10)) AS a FROM cx)), mk AS (SELECT *, CASE WHEN starts_with(trim(line), '{context.METADATA}') THEN 'm' WHEN starts_with(trim(line), '{context.DOCUMENT}') OR starts_with(trim(line), '{context.CONTENT}') THEN 'x' END AS mark FROM ln),
 st AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY query_id ORDER BY pos) AS state FROM mk), r2 AS (SELECT query_id, string_agg(line, chr(10) ORDER BY pos) AS metadata_context FROM st WHERE state = 'm' AND mark IS NULL GROUP BY query_id)"""
 
 

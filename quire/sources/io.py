@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip
+
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 CONTENT = T.StructType([T.StructField("text", T.StringType()), T.StructField("markdown", T.StringType())])
 ELEMENT = T.StructType(
@@ -20,8 +21,8 @@ DOCUMENT = T.StructType(
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; in a temporary one only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or, where the session names none, one in the warehouse."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/steps"
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,8 +35,8 @@ def read_parsed_documents(spark: SparkSession, path: str, multi_line: bool = Tru
 
 def to_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """IO2: docs(doc_id, text) -> doc_id, line_number (from 1, over raw lines), text stripped; blank lines go after numbering."""
-    out = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("n", "text"))
-    return out.select("doc_id", (F.col("n") + 1).cast("long").alias("line_number"), F.trim("text").alias("text")).filter("text <> ''")
+    out = docs.select("doc_id", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("n", "text"))
+    return out.select("doc_id", (F.col("n") + 1).cast("long").alias("line_number"), strip(F.col("text")).alias("text")).filter("text <> ''")
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -68,15 +69,10 @@ def write_elements(df: DataFrame, path: str, fmt: str = "parquet", by: list[str]
     df.write.mode("overwrite").partitionBy(*(by or [])).format(fmt).save(path)
 
 
-def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """IO5: an array of {content, metadata, embedding} records -> vector rows."""
+def read_embeddings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """IO5: an array of {content, metadata, embedding} records (or a record a line) -> vector rows."""
     schema = T.StructType([T.StructField("content", T.StringType()), T.StructField("metadata", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
-def vectors(df: DataFrame) -> DataFrame:
-    """IO5 on a table: vec_id, dimensions and squared length of float vectors."""
-    return df.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def toc_listing(toc: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators on small tables of invented rows: rules, ties, nulls, borders."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,16 +89,20 @@ def titles(spark, *names):
 
 def test_exact_titles(spark):
     t = titles(spark, "신청 방법", "신청  방법", "절차 안내")
-    df = spark.createDataFrame([("d", 0, "신청 방법"), ("d", 1, "03. 절차 안내"), ("d", 2, "신청 방법 (소득법 제1조)"), ("d", 3, "")], "doc_id string, pos int, text string")
-    assert rows(match.match_titles_exact(df, t), "pos", "title_no") == [(0, 0), (1, 2), (2, None), (3, None)]
+    df = spark.createDataFrame([("d", 0, "신청 방법"), ("d", 1, "03 절차 안내"), ("d", 2, "신청 방법 (소득법 제1조)"), ("d", 3, ""), ("d", 4, "03. 절차 안내"), ("d", 5, "3개 절차 안내"), ("d", 6, "012\u3000절차 안내")], "doc_id string, pos int, text string")
+    assert rows(match.match_titles_exact(df, t), "pos", "title_no") == [(0, 0), (1, 2), (2, None), (3, None), (4, None), (5, None), (6, 2)]
 
 
 def test_fuzzy_titles(spark):
-    t = titles(spark, "alpha beta gamma delta", "single", "epsilon zeta", "3. numbered title")
-    texts = ["alpha beta gamma delta", "alphas of betas and gammas", "single", "singles", "epsilon alone", "zeta epsilons", "7. numbered title ..... 9", "nothing"]
+    t = titles(spark, "alpha beta-gamma·delta epsilon", "Single", "tax credit", "3. numbered title", "red-hot")
+    texts = ["ALPHA beta-gamma·delta epsilon", "on alpha beta-gammas·for delta epsilon too", "single", "singles", "credit granted against tax law", "alpha beta-gamma", "7. numbered title ..... 9", "a red-hotel"]
     df = spark.createDataFrame([("d", i, x) for i, x in enumerate(texts)], "doc_id string, pos int, text string")
     got = rows(match.match_titles_fuzzy(df, t), "pos", "title_no", "rung")
-    assert got == [(0, 0, 1), (1, 0, 4), (2, 1, 1), (3, None, None), (4, None, None), (5, 2, 4), (6, 3, 1), (7, None, None)]
+    # words are cut at hyphens and middle dots alone; a title of one word must be equal; of two words both must be there
+    assert got == [(0, 0, 1), (1, 0, 4), (2, 1, 1), (3, None, None), (4, None, None), (5, None, None), (6, 3, 1), (7, None, None)]
+    more = spark.createDataFrame([("d", 0, "see red-hot·or blue-sky·below"), ("d", 1, "red-hot only"), ("d", 2, "red-hot·blue"), ("d", 3, "x")], "doc_id string, pos int, text string")
+    several = titles(spark, "red-hot·blue-sky", "zz", "X")
+    assert rows(match.match_titles_fuzzy(more, several), "pos", "title_no", "rung") == [(0, 0, 4), (1, None, None), (2, None, None), (3, 2, 1)]
 
 
 def test_toc_headings(spark):
@@ -155,10 +161,10 @@ def test_heading_tiers_and_levels(spark):
 
 
 def test_sections_by_title(spark):
-    lines = ["머리말", "신청 방법", "본문 (소득법 제1조)", "둘째", "02. 절차", "신청 방법", "끝"]
+    lines = ["머리말", "신청 방법", "본문 (소득법 제1조)", "둘째", "02 절차", "신청 방법", "끝"]
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc_id int, pos long, text string")
     got = rows(sequence.sectionize_by_title(df, titles(spark, "신청 방법", "절차")), "section", "line_number", "text", "original_title", "content", "total_count")
-    assert got == [(1, 2, "신청 방법", "신청 방법", "본문 (소득법 제1조)\n둘째", 3), (2, 5, "02. 절차", "절차", "", 3), (3, 6, "신청 방법", "신청 방법", "끝", 3)]
+    assert got == [(1, 2, "신청 방법", "신청 방법", "본문 (소득법 제1조)\n둘째", 3), (2, 5, "02 절차", "절차", "", 3), (3, 6, "신청 방법", "신청 방법", "끝", 3)]
 
 
 def test_toc_titles(spark):
@@ -168,28 +174,76 @@ def test_toc_titles(spark):
 
 
 def block(seq, text, y1, y2, x1=0.0, x2=1.0, size=10.0, font="r", title=False, page=1):
-    return (1, page, seq, seq, text, x1, y1, x2, y2, size, font, title)
+    return (1, page, seq, seq, text, x1, float(y1), x2, float(y2), size, font, title, 10.0)
 
 
-SCHEMA = "doc_id long, page long, id long, seq long, text string, x1 double, y1 double, x2 double, y2 double, size double, font string, is_title boolean"
+SCHEMA = "doc_id long, page long, id long, seq long, text string, x1 double, y1 double, x2 double, y2 double, size double, font string, is_title boolean, body_size double"
 
 
 def test_block_folding(spark):
-    b = [block(0, "a", 0, 10), block(1, "b", 20, 30), block(2, "c.", 40, 50), block(3, "d", 55, 60), block(4, "t", 65, 70, title=True), block(5, "half", 80, 90, x1=0.5), block(6, "less", 100, 110, x1=0.0, x2=0.74), block(7, "p2", 0, 5, page=2)]
-    got = blocks.merge_blocks(spark.createDataFrame([tuple(float(v) if isinstance(v, int) and k in (5, 6, 7, 8) else v for k, v in enumerate(r)) for r in b], SCHEMA)).orderBy("page", "y1").collect()
-    assert [(r.id, r.text, r.merged_ids) for r in got] == [("m1", "a b c.", ["0", "1", "2"]), ("m2", "d", ["3"]), ("m3", "t", ["4"]), ("m4", "half", ["5"]), ("m5", "less", ["6"]), ("m6", "p2", ["7"])]
+    b = [block(0, "a", 0, 10), block(1, "b", 20, 30), block(2, "c.", 40, 50), block(3, "d", 55, 60), block(4, "4. t", 65, 70), block(5, "half", 80, 90, x1=0.5), block(6, "less", 100, 110, x1=0.0, x2=0.74), block(7, "p2", 0, 5, page=2)]
+    got = blocks.merge_blocks(spark.createDataFrame(b, SCHEMA)).orderBy("page", "y1").collect()
+    assert [(r.id, r.text, r.merged_ids) for r in got] == [("m1", "a b c.", ["0", "1", "2"]), ("m2", "d", ["3"]), ("m3", "4. t", ["4"]), ("m4", "half", ["5"]), ("m5", "less", ["6"]), ("m6", "p2", ["7"])]
     assert sorted(i for r in got for i in r.merged_ids) == [str(k) for k in range(8)]
 
 
 def test_overlapping_blocks(spark):
     b = [block(0, "Title", 0.0, 10.0, title=True), block(1, "(소득법 제1조)", 5.0, 15.0), block(2, "one.", 30.0, 40.0), block(3, "two", 35.0, 45.0), block(4, "other font", 38.0, 50.0, font="b")]
     got = blocks.merge_blocks(spark.createDataFrame(b, SCHEMA), overlapping=True).orderBy("y1").collect()
-    assert [r.text for r in got] == ["Title (소득법 제1조)", "one.\ntwo", "other font"]
+    assert [(r.id, r.text) for r in got] == [("m1", "Title (소득법 제1조)"), ("m3", "one.\ntwo"), ("m5", "other font")]  # numbered before
+    b = [block(0, "plain", 0, 10), block(1, "(소득법 제1조)", 5, 15, font="b"), block(2, "big", 100, 110), block(3, "near in size", 105, 115, size=14.9), block(4, "far in size", 107, 117, size=20.0), block(5, "<적용시기> x", 110, 120, font="c")]
+    got = blocks.merge_blocks(spark.createDataFrame(b, SCHEMA), overlapping=True).orderBy("y1").collect()
+    assert [r.text for r in got] == ["plain (소득법 제1조)", "big\nnear in size", "far in size\n<적용시기> x"]
+
+
+def test_folding_gap_goes_by_the_larger_size(spark):
+    b = [block(0, "small", 0, 10), block(1, "large", 45, 50, size=20.0, font="x"), block(2, "small again", 70, 80)]
+    df = spark.createDataFrame([(*r[:-1], 30.0) for r in b], SCHEMA)
+    assert [r.text for r in blocks.merge_blocks(df).orderBy("y1").collect()] == ["small large", "small again"]  # the grown block keeps its first size
+
+
+def plain_fold(rows, gap, overlapping):
+    """The rules of both folds over a list, block by block."""
+    title = lambda b: bool(re.match(r"\d+[.\s]", b["text"])) if len(b["text"]) <= 100 else False  # noqa: E731  all that the rows below have of titles
+    out = []
+    for b in sorted(rows, key=lambda b: (b["page"], b["y1"], b["x1"])):
+        a = out[-1] if out else None
+        wide = a and min(a["x2"], b["x2"]) - max(a["x1"], b["x1"])
+        if a and a["page"] == b["page"] and not title(a) and not title(b) and wide >= max(0, 0.5 * (a["x2"] - a["x1"])) and 0 <= b["y1"] - a["y2"] <= 1.8 * gap * max(a["size"], b["size"]) and not (a["text"][-1] in ".!?" and not re.search(r"\d\.$", a["text"])):
+            out[-1] = a | {"text": a["text"] + " " + b["text"], "x1": min(a["x1"], b["x1"]), "x2": max(a["x2"], b["x2"]), "y1": min(a["y1"], b["y1"]), "y2": max(a["y2"], b["y2"]), "ids": a["ids"] + b["ids"]}
+        else:
+            out.append(b)
+    out = [b | {"no": k + 1} for k, b in enumerate(out)]
+    k = 0
+    while overlapping and k < len(out) - 1:
+        a, b = out[k], out[k + 1]
+        if a["page"] == b["page"] and min(a["y2"], b["y2"]) > max(a["y1"], b["y1"]) and min(a["x2"], b["x2"]) > max(a["x1"], b["x1"]) and ((b["text"].startswith("(") and a["title"]) or (abs(a["size"] - b["size"]) < 5 and a["title"] == b["title"])):
+            out[k] = a | {"text": a["text"] + (" " if b["text"].startswith("(") else "\n") + b["text"], "x1": min(a["x1"], b["x1"]), "x2": max(a["x2"], b["x2"]), "y1": min(a["y1"], b["y1"]), "y2": max(a["y2"], b["y2"]), "ids": a["ids"] + b["ids"]}
+            out.pop(k + 1)
+        else:
+            k += 1
+    return [(b["page"], f"m{b['no']}", b["text"], b["ids"]) for b in out]
+
+
+@pytest.mark.parametrize("overlapping", [False, True])
+def test_folds_against_plain_lists(spark, overlapping):
+    rng, data, want = random.Random(6), [], []
+    for d in range(12):
+        own = []
+        for k in range(rng.randint(1, 40)):
+            x, y, text = rng.random() * 0.6, rng.randint(0, 60) + rng.random(), rng.choice(["go on", "an end.", "3. head", "(note", "at 5."])
+            own.append({"page": rng.randint(1, 3), "text": text, "x1": x, "x2": x + 0.3, "y1": y, "y2": y + rng.random() * 4, "size": rng.choice([9.0, 10.0, 16.0]), "title": text[0] == "3", "ids": [str(k)]})
+            data.append((d, own[-1]["page"], k, k, text, x, y, x + 0.3, own[-1]["y2"], own[-1]["size"], "r", text[0] == "3", 20.0))
+        want += [(d, *r) for r in plain_fold(own, 0.2, overlapping)]
+    got = blocks.merge_blocks(spark.createDataFrame(data, SCHEMA).repartition(5), gap=0.2, overlapping=overlapping).select("doc_id", "page", "id", "text", "merged_ids").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_offsets(spark):
     docs = spark.createDataFrame([(1, "가 제3조 1,000원"), (2, None)], "doc_id long, text string")
-    assert rows(blocks.extract_elements(docs, ["law", "amount"]), "family", "text", "start", "end") == [("amount", "1,000원", 6, 12), ("law", "제3조", 2, 5)]
+    assert rows(blocks.extract_elements(docs, ["법률_참조", "금액_표시"]), "family", "text", "start", "end") == [("금액_표시", "1,000원", 6, 12), ("법률_참조", "제3조", 2, 5)]
+    toc = spark.createDataFrame([(1, "1. first\n2. second")], "doc_id long, text string")
+    assert rows(blocks.extract_elements(toc, ["목차_항목"]), "text", "start") == [("1. f", 0)]  # at the text's begin alone
 
 
 def test_vectors(spark):
@@ -216,7 +270,7 @@ def test_context(spark):
     hits = spark.createDataFrame([(1, 2, "second", "id: 2"), (1, 1, "first\nline", "id: 1,\npage: 3")], "query_id long, rank int, content string, metadata string")
     ctx = context.build_context(hits)
     assert ctx.first().context.startswith("문서 1:\n내용: first\nline\n메타데이터: id: 1,\npage: 3\n\n문서 2:")
-    assert context.extract_metadata_context(ctx).first().metadata_context == "page: 3\n\n"
+    assert context.extract_metadata_context(ctx).first().metadata_context == "page: 3\n\n\n"
     req = context.extract_metadata_context(ctx).select("query_id", F.lit("why?").alias("question"), F.col("metadata_context").alias("context"))
     assert "why?" in context.render_prompts(req, "Q {question} C {context}").first().prompt
 
