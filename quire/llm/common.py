@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,8 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where the session names none, one in the warehouse."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/steps"
     return at.rstrip("/")
 
 
@@ -79,6 +77,35 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, n: int = 2000, max_bytes:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
+def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3) -> np.ndarray:
+    """Logistic regression of few columns (bias last)."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = sigmoid(x @ w)
+        g = x.T @ (weight * (p - y)) + l2 * w
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + l2 * np.eye(len(w))
+        step = np.linalg.solve(h, g)
+        w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def in_one_task(rows: DataFrame, order: list[str], train: Callable[[Iterator[pa.RecordBatch]], Any]) -> Any:
+    """train(batches of rows in that order), run by one task, not the driver: for samples of a bounded number of rows. A lost executor costs a rerun."""
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch([pa.array([pickle.dumps(train(it))], pa.binary())], names=["model"])
+
+    made = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(work, "model binary").first()
+    return pickle.loads(made.model) if made else train(iter(()))  # without rows Spark may leave the task out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))

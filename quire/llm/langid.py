@@ -8,10 +8,16 @@ that it lacks is a family of its own.
 
 Learning uses rows with a language whose crc32(doc_id as text) mod 5 is not 0: of each
 language up to `per_lang` of them (at most `total` in all), those lowest by a hash of id
-and text; that bound is the only sampling. Prediction sees the text alone.
+and text; that bound is the only sampling. One task trains on these. Prediction sees the text alone.
 
-The score is the product of the two steps' sureness: a logistic function of the lead of
-the best family over the next, and of the narrowest vote that the language has won.
+The score is the product of the two steps' sureness (a logistic function of the lead of
+the best family over the next, and of the narrowest vote that the language has won) and
+of a probability that the text is in the language at all: a logistic function of its
+likeness to the language's mean vector and of its length. It is fitted on every fourth
+sample row, kept apart from the machines: these rows and short cuts of them against
+the same rows likened to the other languages' means (as if their own were not learned) and
+rows with their letters shuffled. `keep` rejects below a threshold of the same rows: what
+all but 1 in 100 of the whole texts among them reach, 0.1 at most.
 
 Defined cases: text that is null or has no letter is `und` with score 0; null lang or
 null doc_id is not learned from (a null id counts as held out: false); without any learned
@@ -29,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, keyed_crc
+from .common import batches, in_one_task, keyed_crc, newton, sigmoid
 
 DIM = 4096
 #: Families of language codes.
@@ -66,42 +72,50 @@ def letters(text: str) -> np.ndarray:
     return np.concatenate([[32], x[keep] if len(x) else x, [32]]).astype(np.uint32)
 
 
-def features(text: str | None) -> np.ndarray | None:
-    """A vector of length 1, or None for a text without letters."""
+def features(text: str | None) -> tuple[np.ndarray, int] | None:
+    """(a vector of length 1, letters and spaces), or None for a text without letters."""
     x = letters(text) if text else np.zeros(0, np.uint32)
     if len(x) < 3:
         return None
     two = x[:-1] * np.uint32(0x9E3779B1) ^ x[1:] * np.uint32(0x85EBCA6B)
     three = two[:-1] * np.uint32(0xC2B2AE35) ^ x[2:] * np.uint32(0x27D4EB2F)
     at = np.concatenate([(two ^ two >> 15) * np.uint32(0x2C1B3C6D) >> 20, (three ^ three >> 15) * np.uint32(0x297A2D39) >> 20])
-    return np.sqrt(np.bincount(at, minlength=DIM) / len(at)).astype(np.float32)
+    return np.sqrt(np.bincount(at, minlength=DIM) / len(at)).astype(np.float32), len(x) - 2
 
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30, seed: int = 0) -> np.ndarray:
-    """Weights (bias last) of a linear SVM with squared hinge loss, by dual coordinate descent; classes weigh the same."""
+    """Weights (bias last) of a linear SVM with squared hinge loss, by dual coordinate descent; classes weigh the same. Rows of x are used as they stand: there is no copy."""
     rng = np.random.default_rng(seed)
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
     weight = np.where(y > 0, len(y) / 2 / max((y > 0).sum(), 1), len(y) / 2 / max((y < 0).sum(), 1))
-    diag, q = 0.5 / (c * weight), (x * x).sum(axis=1)
-    w, a = np.zeros(x.shape[1]), np.zeros(len(x))
+    diag, q = 0.5 / (c * weight), np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1
+    w, bias, a = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(x))
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(x)):
-            new = max(a[i] - (y[i] * (w @ x[i]) - 1 + diag[i] * a[i]) / (q[i] + diag[i]), 0.0)
+            new = max(a[i] - (y[i] * (float(w @ x[i]) + bias) - 1 + diag[i] * a[i]) / (q[i] + diag[i]), 0.0)
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                step = float((new - a[i]) * y[i])
+                w += np.float32(step) * x[i]
+                bias += step
                 moved = max(moved, abs(new - a[i]))
                 a[i] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, np.float32(bias))
+
+
+def likeness(cosine: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What tells a text of a language: its likeness to the mean, more so the longer it is."""
+    size = np.log(np.maximum(n, 2))
+    return np.stack([cosine, size, cosine * size], axis=1)
 
 
 class Model:
-    """Weights of all machines in one matrix."""
+    """Weights of all machines in one matrix; means of the languages."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
         self.langs = sorted(set(langs))
+        self.typical, self.least = None, 0.0
         own = np.array([self.langs.index(v) for v in langs], int)
         fam = [FAMILY.get(v.lower().split("-")[0], v) for v in self.langs]
         self.families = sorted(set(fam))
@@ -112,8 +126,28 @@ class Model:
             m = (own == a) | (own == b)
             ws.append(svm(x[m], np.where(own[m] == a, 1.0, -1.0)))
         self.w = np.array(ws, np.float32).reshape(-1, DIM + 1)
-
-    def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
+        mean = np.array([x[own == k].mean(axis=0) for k in range(len(self.langs))], np.float32).reshape(-1, DIM)
+        self.mean = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
+
+    def calibrate(self, x: np.ndarray, n: np.ndarray, langs: list[str | None], whole: np.ndarray) -> None:
+        """Fits the probability of being in a language, and the threshold, on rows kept apart (whole: not cuts); lang None: junk."""
+        if not self.langs or not len(x):
+            return
+        like = x @ self.mean.T
+        own = np.array([self.langs.index(v) if v in self.langs else -1 for v in langs])
+        good = own >= 0
+        inside = like[good, own[good]]
+        like[good, own[good]] = -1
+        others = np.ones(len(x), bool) if len(self.langs) > 1 else ~good
+        z = likeness(np.concatenate([inside, like[others].max(axis=1)]), np.concatenate([n[good], n[others]]))
+        y = np.concatenate([np.ones(len(inside)), np.zeros(others.sum())])
+        if not 0 < y.mean() < 1:
+            return
+        self.typical = newton(z, y, np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y), 1e-2)
+        right = [s for (v, s), lang in zip(self.predict(x[whole], n[whole]), np.array(langs, object)[whole], strict=True) if v == lang]
+        self.least = min(0.1, float(np.quantile(right, 0.01))) if right else 0.0
+
+    def predict(self, x: np.ndarray, letters: np.ndarray) -> list[tuple[str, float]]:
         if not self.langs:
             return [("und", 0.0)] * len(x)
         s = x @ self.w[:, :DIM].T + self.w[:, DIM]
@@ -134,6 +168,9 @@ class Model:
             narrow[:, a], narrow[:, b] = np.minimum(narrow[:, a], m), np.minimum(narrow[:, b], -m)
         best = votes.argmax(axis=1)
         sure = sure / (1 + np.exp(-3 * np.minimum(narrow[rows, best], 50)))
+        if self.typical is not None:
+            z = likeness(np.einsum("ij,ij->i", x, self.mean[best]), letters)
+            sure = sure * sigmoid(z @ self.typical[:-1] + self.typical[-1])
         return [(self.langs[b], float(p)) for b, p in zip(best, sure, strict=True)]
 
 
@@ -150,26 +187,62 @@ def fit(docs: DataFrame, per_lang: int = 800, total: int = 16_000) -> Model:
     most = max(1, min(per_lang, total // len(counts)))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.3 * most / n + 20 / n))])
     some = own.withColumn("o", F.xxhash64("doc_id", "text")).filter(F.pmod("o", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).dropDuplicates(["doc_id", "o"])
-    schema = pa.schema([("lang", pa.string()), ("o", pa.int64()), ("x", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("o", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("x", pa.binary())])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(((v, o, f.astype(np.float16).tobytes()) for b in it for v, o, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) if (f := features(t)) is not None), schema)
-
-    got = some.select("lang", "o", "text").mapInArrow(rows, "lang string, o long, x binary").toArrow()
-    seen: dict[str, int] = {}
-    xs, langs = [], []
-    for o, v, x in sorted(zip(got["o"].to_pylist(), got["lang"].to_pylist(), got["x"].to_pylist(), strict=True), key=lambda r: (r[0] % (1 << 20), r[0], r[1])):
-        if seen.get(v, 0) < most:
-            seen[v] = seen.get(v, 0) + 1
-            xs.append(np.frombuffer(x, np.float16))
-            langs.append(v)
-    return Model(np.array(xs, np.float32).reshape(-1, DIM), langs)
+        def out() -> Iterator[tuple]:
+            for b in it:
+                for v, o, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                    for kind, text in enumerate(variants(t, o)):
+                        if (f := features(text)) is not None:
+                            yield v, o, kind, f[1], f[0].astype(np.float16).tobytes()
+
+        yield from batches(out(), schema)
+
+    def train(it: Iterator[pa.RecordBatch]) -> Model:
+        seen: dict[str, int] = {}
+        sets: tuple = ([], [], [], []), ([], [], [], [])  # to learn from, kept apart: vectors, letters, languages, whole
+        held = None
+        for b in it:
+            for v, o, kind, n, x in zip(*(b.column(c).to_pylist() for c in ("lang", "o", "kind", "n", "x")), strict=True):
+                if kind == 0:
+                    if seen.get(v, 0) >= most:
+                        continue
+                    seen[v] = seen.get(v, 0) + 1
+                    held = o if seen[v] % 4 == 0 else None
+                elif held != o:
+                    continue  # cuts and junk are made of rows kept apart alone
+                own = sets[held is not None]
+                for known, value in zip(own, (np.frombuffer(x, np.float16), n, None if kind == 2 else v, kind == 0), strict=True):
+                    known.append(value)
+        matrix = lambda own: np.array(own[0], np.float32).reshape(-1, DIM)
+        if len(set(sets[0][2])) < len(seen):  # so few rows of some language that those kept apart are needed
+            for part, more in zip(*sets, strict=True):
+                part += [x for x, own in zip(more, sets[1][3], strict=True) if own]
+        model = Model(matrix(sets[0]), sets[0][2])
+        model.calibrate(matrix(sets[1]), np.array(sets[1][1]), sets[1][2], np.array(sets[1][3], bool))
+        return model
+
+    made = some.select("lang", "o", "text").mapInArrow(rows, "lang string, o long, kind int, n long, x binary")
+    return in_one_task(made.withColumn("place", F.pmod("o", F.lit(1 << 20))), ["place", "o", "lang", "kind"], train)
+
+
+def variants(text: str, seed: int) -> Iterator[str]:
+    """A text, a short cut of it, and (of some) such a cut, or the whole, with its letters shuffled."""
+    yield text
+    rng = np.random.default_rng(seed % 2**32)
+    n = int(np.exp(rng.uniform(1, 6)))
+    at = int(rng.integers(0, max(len(text) - n, 0) + 1))
+    yield text[at : at + n]
+    junk = text[:20_000] if rng.random() < 0.5 else text[at : at + n]
+    yield "".join(np.array([*junk], object)[rng.permutation(len(junk))])
 
 
 def predictions(model: Model, texts: list[str | None], block: int = 512) -> Iterator[tuple[str, float]]:
     for at in range(0, len(texts), block):
         fs = [features(t) for t in texts[at : at + block]]
-        known = iter(model.predict(np.stack(own)) if (own := [f for f in fs if f is not None]) else [])
+        own = [f for f in fs if f is not None]
+        known = iter(model.predict(np.stack([x for x, _ in own]), np.array([n for _, n in own])) if own else [])
         for f in fs:
             yield ("und", 0.0) if f is None else next(known)
 
@@ -186,9 +259,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return cols.mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, model: Model, least: float = 0.1) -> DataFrame:
-    """The rows, all columns, whose text has a language with a score of at least `least`."""
+def keep(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
+    """The rows, all columns, whose text has a language with a score of at least `least`, or the fitted threshold."""
     known = docs.sparkSession.sparkContext.broadcast(model)
+    least = model.least if least is None else least
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

@@ -13,9 +13,12 @@ A score is the product of both targets' probabilities. Either target rejects: qu
 0.35 (which keeps nearly all good ones), or a probability of not being toxic below that
 which all but 1 % of the kept-apart good documents reach.
 
-Samples: up to `per_stratum` labelled rows of each (quality, toxic), and a pool of about
-`pool` others, those lowest by a hash of the id; rows weigh as their stratum does in all
-labels. That bound is the only sampling: every document is scored, from its whole text.
+Labelled rows: up to `per_stratum` of each (quality, toxic), those lowest by a hash of the
+id; rows weigh as their stratum does in all labels. That bound is the only sampling. The
+unlabelled rows are all others: each round looks for its surest ones in another part of
+them, dealt by a hash, so that the rounds go through the whole table, and every document
+is scored, from its whole text. Views are computed once, into a table; one task trains
+on the bounded sample, and the driver sees models alone.
 
 Defined cases: null or empty text has neither words nor lines and is scored as such; null
 labels, labels without a document and null ids are not learned from; several labels of
@@ -33,10 +36,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batches
+from .common import batches, in_one_task, newton, sigmoid, written
 
 WORDS, BINS, NUMBERS = 1 << 17, 12, 26
 SYMBOLS = np.zeros(128, bool)
@@ -45,43 +50,51 @@ STRIP = re.compile(r"^\W+|\W+$")
 
 
 def text_view(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed words, values)."""
+    """(hashed words, counts)."""
     if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.uint16)
     h = pd.util.hash_array(np.array(words, dtype=object), categorize=len(words) > 200)
     at, n = np.unique((h >> np.uint64(47)).astype(np.int32), return_counts=True)
-    v = np.sqrt(n).astype(np.float32)
-    return at, v / np.sqrt(np.dot(v, v))
+    return at, np.minimum(n, 65535).astype(np.uint16)
 
 
-def meta_view(text: str, words: list[str], lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+def meta_view(text: str, words: list[str], counts: np.ndarray, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
     """Numbers of the record and the layout."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     low = np.bincount(raw, minlength=256).astype(np.float64)
     lines = [x for x in text.split("\n") if x.strip()]
     n, total = max(len(words), 1), max(len(raw), 1)
-    lengths = np.array([len(w) for w in words] or [0], np.float64)
-    counts = np.unique(pd.util.hash_array(np.array(words, dtype=object), categorize=False), return_counts=True)[1] if words else np.zeros(1)
+    lengths = np.array([*map(len, words)] or [0], np.float64)
     upper = low[65:91].sum()
     letters = upper + low[97:123].sum() + low[128:].sum() / 2
-    per_line = np.array([len(x) for x in lines] or [0], np.float64)
+    per_line = np.array([*map(len, lines)] or [0], np.float64)
     return np.array([
         np.log1p(n_chars if n_chars is not None else len(text)), np.log1p(len(words)), np.log1p(len(lines)), lengths.mean(), lengths.std(), lengths.max(), per_line.mean(), per_line.std(),
         upper / max(letters, 1), low[48:58].sum() / total, low[33:127][SYMBOLS[33:127]].sum() / n, low[ord("!")] / n, low[ord("|")] / n, low[ord(".")] / n, low[ord(",")] / n, low[ord("*")] / n, low[ord("#")] / n,
-        low[128:].sum() / total, len(counts) / n, counts.max() / n, 1 - len(set(lines)) / max(len(lines), 1), max(Counter(lines).values(), default=0) / max(len(lines), 1),
+        low[128:].sum() / total, len(counts) / n, counts.max(initial=0) / n, 1 - len(set(lines)) / max(len(lines), 1), max(Counter(lines).values(), default=0) / max(len(lines), 1),
         low[10] / n, low[32] / total, zlib.crc32((lang or "").encode()) % 64, zlib.crc32((source or "").encode()) % 64,
-    ])
+    ], np.float32)
 
 
 def views(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashed words, their counts, numbers)."""
     text = text or ""
     words = text.split()
-    at, v = text_view([STRIP.sub("", w) or w for w in text.lower().split()] if words else [])
-    return at, v, meta_view(text, words, lang, source, n_chars)
+    at, n = text_view([STRIP.sub("", w) or w for w in text.lower().split()] if words else [])
+    return at, n, meta_view(text, words, n, lang, source, n_chars)
 
 
-def sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+def text_rows(at: list[bytes], n: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashed words, values: square roots of counts, length 1) of each text."""
+    out = []
+    for a, c in zip(at, n, strict=True):
+        v = np.sqrt(np.frombuffer(c, np.uint16).astype(np.float32))
+        out.append((np.frombuffer(a, np.int32), v / np.float32(max(np.sqrt(np.dot(v, v)), 1e-9))))
+    return out
+
+
+def numbers(meta: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(meta), np.float32).reshape(-1, NUMBERS).astype(np.float64)
 
 
 class Sparse:
@@ -129,63 +142,43 @@ class Binned:
         return [(r, one) for r in at]
 
 
-def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3) -> np.ndarray:
-    """Logistic regression of few columns (bias last)."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = sigmoid(x @ w)
-        g = x.T @ (weight * (p - y)) + l2 * w
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + l2 * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+Picked = list[tuple[int, float, tuple, np.ndarray]]  # view that learns, label, text row, numbers
 
 
 class CoTrained:
-    """Two views, calibrated and combined."""
+    """Two views, trained on labelled rows and on those that the other view has picked; calibrated and combined."""
 
-    def __init__(self, texts: list, metas: np.ndarray, y: np.ndarray, weight: np.ndarray, pool_texts: list, pool_metas: np.ndarray, rounds: int = 4, surest: int = 60, words: tuple[float, float] = (1e-6, 4.0)):
+    def __init__(self, texts: list, metas: np.ndarray, y: np.ndarray, weight: np.ndarray, picked: Picked = (), words: tuple[float, float] = (1e-6, 4.0)):
         self.ready = len(y) >= 8 and 0 < y.mean() < 1
         if not self.ready:
             return
         self.bins = Binned(metas)
-        m, pm = self.bins.rows(metas), self.bins.rows(pool_metas) if len(pool_metas) else []
+        m = self.bins.rows(metas)
         test = np.arange(len(y)) % 4 == 3  # kept apart for calibration
         if len(set(y[test])) < 2 or len(set(y[~test])) < 2:
             test = np.zeros(len(y), bool)
         train = np.flatnonzero(~test)
         sets = [([texts[i] for i in train], y[train].tolist(), weight[train].tolist()), ([m[i] for i in train], y[train].tolist(), weight[train].tolist())]
-        free = np.ones(len(pm), bool)
-        make = lambda: (Sparse(WORDS, *words, 14), Sparse(int(self.bins.base[-1]), 1e-5, 1.0, 25))
-        for r in range(rounds + 1):
-            self.text, self.meta = (c.fit(rows, np.array(ys, float), np.array(ws)) for c, (rows, ys, ws) in zip(make(), sets, strict=True))
-            if r == rounds or free.sum() < 4 * surest:
-                break
-            left = np.flatnonzero(free)
-            for teacher, rows, (own, ys, ws), give in ((self.text, pool_texts, sets[1], pm), (self.meta, pm, sets[0], pool_texts)):
-                z = teacher.logit([rows[i] for i in left])
-                order = np.argsort(z, kind="stable")
-                for i, label in [(i, 0.0) for i in order[:surest] if z[i] < -1] + [(i, 1.0) for i in order[-surest:] if z[i] > 1]:
-                    own.append(give[left[i]])
-                    ys.append(label)
-                    ws.append(float(np.mean(weight)) / 2)
-                    free[left[i]] = False
+        for view, label, text, meta in picked:
+            rows, ys, ws = sets[view]
+            rows.append(text if view == 0 else self.bins.rows(meta[None])[0])
+            ys.append(label)
+            ws.append(float(np.mean(weight)) / 2)
+        makes = Sparse(WORDS, *words, 14), Sparse(int(self.bins.base[-1]), 1e-5, 1.0, 25)
+        self.text, self.meta = (c.fit(rows, np.array(ys, float), np.array(ws)) for c, (rows, ys, ws) in zip(makes, sets, strict=True))
         self.held = held = np.flatnonzero(test) if test.any() else np.arange(len(y))
-        z = self.logits([texts[i] for i in held], [m[i] for i in held])
+        z = self.logits([texts[i] for i in held], metas[held])
         self.platt = [newton(z[:, k : k + 1], y[held], weight[held]) for k in (0, 1)]
         self.both = newton(z, y[held], weight[held])
 
-    def logits(self, texts: list, metas: list) -> np.ndarray:
-        return np.stack([self.text.logit(texts), self.meta.logit(metas)], axis=1)
+    def logits(self, texts: list, metas: np.ndarray) -> np.ndarray:
+        return np.stack([self.text.logit(texts), self.meta.logit(self.bins.rows(metas))], axis=1)
 
     def score(self, texts: list, metas: np.ndarray) -> np.ndarray:
         """(text view, metadata view, both): probabilities of good."""
-        if not self.ready:
+        if not self.ready or not texts:
             return np.full((len(texts), 3), 0.5)
-        z = self.logits(texts, self.bins.rows(metas))
+        z = self.logits(texts, metas)
         one = [sigmoid(z[:, k] * p[0] + p[1]) for k, p in enumerate(self.platt)]
         return np.stack([*one, sigmoid(z @ self.both[:2] + self.both[2])], axis=1)
 
@@ -193,9 +186,9 @@ class CoTrained:
 class Judge:
     """Co-trained targets: quality 1, and not toxic, which rarer words decide (a slower, more regular text view)."""
 
-    def __init__(self, texts: list, metas: np.ndarray, fine: np.ndarray, clean: np.ndarray, weight: np.ndarray, pool_texts: list, pool_metas: np.ndarray, **params):
-        self.fine = CoTrained(texts, metas, fine, weight, pool_texts, pool_metas, **params)
-        self.clean = CoTrained(texts, metas, clean, weight, pool_texts, pool_metas, words=(1e-4, 1.0), **params)
+    def __init__(self, texts: list, metas: np.ndarray, fine: np.ndarray, clean: np.ndarray, weight: np.ndarray, picked: tuple[Picked, Picked] = ((), ())):
+        self.fine = CoTrained(texts, metas, fine, weight, picked[0])
+        self.clean = CoTrained(texts, metas, clean, weight, picked[1], words=(1e-4, 1.0))
         self.least_clean = 0.0
         if self.clean.ready:
             held = [i for i in self.clean.held if fine[i] and clean[i]]
@@ -216,85 +209,144 @@ class Judge:
 
 
 COLS = ("text", "lang", "source", "n_chars")
+VIEWS = ("at", "n", "meta")
 
 
 def record(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), *[F.col(c).cast("long" if c == "n_chars" else "string") for c in COLS])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_stratum: int = 2500, pool: int = 3000, **params) -> Judge:
-    docs = record(docs)
+def prepared(docs: DataFrame, whole: bool) -> DataFrame:
+    """A table of the documents' views: struct v(doc_id, o, at, n, meta), beside all columns of docs if whole; o: hash of id and text."""
+    rows = record(docs).columns
+    apart = whole and isinstance(docs.schema["text"].dataType, T.StringType)  # the text is in d, and need not go to Python twice
+    own = [c for c in rows if not (apart and c == "text")]
+    given = docs.select(F.struct(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("o"), *[F.col(c).cast("long" if c in ("doc_id", "n_chars") else "string").alias(c) for c in own]).alias("v"), *([F.struct(*docs.columns).alias("d")] if whole else []))
+    kind = pa.struct([("doc_id", pa.int64()), ("o", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("meta", pa.binary())])
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in it:
+            for k in range(0, big.num_rows, 500):
+                b = big.slice(k, 500)
+                v = pa.RecordBatch.from_struct_array(b.column("v"))
+                text = pc.struct_field(b.column("d"), "text") if apart else v.column("text")
+                made = [[x.tobytes() for x in views(*row)] for row in zip(text.to_pylist(), *(v.column(c).to_pylist() for c in COLS[1:]), strict=True)]
+                cols = [v.column("doc_id"), v.column("o"), *(pa.array([x[i] for x in made], pa.binary()) for i in range(3))]
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(cols, fields=list(kind)), *(b.column(c) for c in b.schema.names[1:])], names=b.schema.names)
+
+    out = T.StructType([T.StructField(f.name, T.LongType() if f.type == pa.int64() else T.BinaryType()) for f in kind])
+    return written(given.mapInArrow(work, T.StructType([T.StructField("v", out), *given.schema.fields[1:]])), "views")
+
+
+def surest(part: DataFrame, model: Judge, most: int) -> DataFrame:
+    """Of a part of the table the `most` surest texts by each (target, view, label): list, at, n, meta. Each task sends its own surest only; equal texts count once."""
+    known = part.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("list", pa.int32()), ("z", pa.float64()), ("o", pa.int64()), *[(c, pa.binary()) for c in VIEWS]])
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, dict[tuple, tuple]] = {k: {} for k in range(8)}
+        targets = [t for t in (known.value.fine, known.value.clean)]
+        for b in it:
+            o, at, n, meta = (b.column(c).to_pylist() for c in ("o", *VIEWS))
+            texts, metas = text_rows(at, n), numbers(meta)
+            for t, target in enumerate(targets):
+                if not target.ready:
+                    continue
+                z = target.logits(texts, metas)
+                for view in (0, 1):
+                    order = np.argsort(z[:, view], kind="stable")
+                    for label, some in ((0, order[: 4 * most]), (1, order[::-1][: 4 * most])):
+                        own = best[4 * t + 2 * view + label]
+                        for i in some.tolist():
+                            if abs(z[i, view]) > 1 and (z[i, view] > 0) == bool(label):
+                                own.setdefault((at[i], n[i]), (-abs(float(z[i, view])), o[i], at[i], n[i], meta[i]))
+                        if len(own) > most:
+                            best[4 * t + 2 * view + label] = dict(sorted(own.items(), key=lambda x: x[1][:2])[:most])
+        yield from batches(((k, *row) for k, own in best.items() for row in own.values()), schema)
+
+    found = part.select("v.o", *[f"v.{c}" for c in VIEWS]).mapInArrow(work, "list int, z double, o long, at binary, n binary, meta binary")
+    found = found.withColumn("same", F.xxhash64("at", "n")).dropDuplicates(["list", "same"])
+    for keys in (["list", F.pmod("same", F.lit(64))], ["list"]):  # first within parts of a list
+        found = found.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("z", "o"))).filter(F.col("k") <= most)
+    return found.select("list", "o", *VIEWS)
+
+
+def fit(table: DataFrame, labels: DataFrame, per_stratum: int = 2500, rounds: int = 4, most: int = 60) -> Judge:
+    """table: of prepared(). The broadcast sample has four strata of about 1.3 per_stratum ids each at most."""
     own = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.col("toxic").cast("int")).dropna(subset=["doc_id", "quality"])
-    own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
-    counts = {(r.quality, r.toxic): r.n for r in own.groupBy("quality", "toxic").agg(F.count("*").alias("n")).collect()}
+    own = own.groupBy("doc_id").agg((F.min("quality") == 1).cast("int").alias("q"), (F.coalesce(F.max("toxic"), F.lit(0)) != 0).cast("int").alias("t"))
+    counts = {(r.q, r.t): r.n for r in own.groupBy("q", "t").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     share = F.lit(0.0)
     for (q, t), n in counts.items():
-        share = F.when((F.col("quality") == q) & (F.col("toxic") == t), min(1.0, (1.3 * per_stratum + 20) / n)).otherwise(share)
-    picked = own.filter(place < share * (1 << 20))  # about 1.3 per_stratum rows of each stratum at most
-    total = docs.count()
-    flagged = docs.join(F.broadcast(picked), "doc_id", "left").filter(F.col("quality").isNotNull() | (place < min(1.0, pool / max(total, 1)) * (1 << 20)))
-    flagged = flagged.withColumn("o", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "o"])
-    schema = pa.schema([("o", pa.int64()), ("q", pa.int32()), ("t", pa.int32()), ("at", pa.binary()), ("v", pa.binary()), ("meta", pa.binary())])
-
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[tuple]:
-            for b in it:
-                for o, q, t, *row in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
-                    at, v, meta = views(*row)
-                    yield o, q, t, at.tobytes(), v.tobytes(), meta.tobytes()
-
-        yield from batches(out(), schema)
-
-    got = flagged.select("o", "quality", "toxic", *COLS).mapInArrow(rows, "o long, q int, t int, at binary, v binary, meta binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["o"], r["at"]))
-    seen: dict[tuple, int] = {}
-    sample = []
-    for r in got:
-        k = (r["q"], r["t"])
-        if r["q"] is not None and seen.get(k, 0) < per_stratum:
-            seen[k] = seen.get(k, 0) + 1
-            sample.append(r)
-    rest = [r for r in got if r["q"] is None][: 2 * pool]
-    text = lambda rs: [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rs]
-    meta = lambda rs: np.array([np.frombuffer(r["meta"]) for r in rs]).reshape(len(rs), NUMBERS)
-    weight = np.array([counts[r["q"], r["t"]] / seen[r["q"], r["t"]] for r in sample])
-    fine, clean = np.array([float(r["q"] == 1) for r in sample]), np.array([float(not r["t"]) for r in sample])
-    return Judge(text(sample), meta(sample), fine, clean, weight, text(rest), meta(rest), **params)
-
-
-def scores(model: Judge, batch: pa.RecordBatch, block: int = 512) -> np.ndarray:
-    cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in COLS]
+        share = F.when((F.col("q") == q) & (F.col("t") == t), min(1.0, (1.3 * per_stratum + 20) / n)).otherwise(share)
+    picked = own.filter(place < share * (1 << 20))
+    rows = table.select("v.doc_id", "v.o", *[f"v.{c}" for c in VIEWS]).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "o"])
+    columns = [F.lit(-1).alias("list"), "q", "t", "o", *VIEWS]
+    sample = written(rows.select(*columns), "sample")
+    empty = F.lit(None).cast("int")
+
+    def train(it: Iterator[pa.RecordBatch]) -> Judge:
+        seen: dict[tuple, int] = {}
+        kept, given = [], ([], [])
+        for b in it:
+            for k, q, t, at, n, meta in zip(*(b.column(c).to_pylist() for c in ("list", "q", "t", *VIEWS)), strict=True):
+                if k >= 0:  # target, teacher and label are the list's bits
+                    given[k >> 2].append((1 - (k >> 1 & 1), float(k & 1), text_rows([at], [n])[0], numbers([meta])[0]))
+                elif seen.get((q, t), 0) < per_stratum:
+                    seen[q, t] = seen.get((q, t), 0) + 1
+                    kept.append((q, t, at, n, meta))
+        weight = np.array([counts[q, t] / seen[q, t] for q, t, *_ in kept])
+        fine, clean = np.array([float(r[0]) for r in kept]), np.array([1.0 - r[1] for r in kept])
+        return Judge(text_rows([r[2] for r in kept], [r[3] for r in kept]), numbers([r[4] for r in kept]), fine, clean, weight, given)
+
+    learned = sample
+    for r in range(rounds + 1):
+        model = in_one_task(learned, ["list", "o", "at"], train)
+        if r == rounds or not (model.fine.ready or model.clean.ready):
+            return model
+        part = table.join(F.broadcast(own_ids(picked)), F.col("v.doc_id") == F.col("labelled"), "left_anti").filter(F.pmod("v.o", F.lit(rounds)) == r)
+        more = surest(part, model, most).select("list", empty.alias("q"), empty.alias("t"), "o", *VIEWS)
+        learned = learned.unionByName(written(more, "picked"))
+
+
+def own_ids(picked: DataFrame) -> DataFrame:
+    return picked.select(F.col("doc_id").alias("labelled"))
+
+
+def scores(model: Judge, v: pa.RecordBatch, block: int = 2000) -> np.ndarray:
+    at, n, meta = (v.column(c).to_pylist() for c in VIEWS)
     out = [np.zeros((0, 5))]
-    for k in range(0, batch.num_rows, block):
-        vs = [views(*row) for row in zip(*(c[k : k + block] for c in cols), strict=True)]
-        out.append(model.score([(a, v) for a, v, _ in vs], np.array([m for _, _, m in vs])))
+    for k in range(0, len(at), block):
+        out.append(model.score(text_rows(at[k : k + block], n[k : k + block]), numbers(meta[k : k + block])))
     return np.concatenate(out)
 
 
-def classify(docs: DataFrame, model: Judge, least: float = 0.35) -> DataFrame:
-    """docs -> doc_id, text_score, meta_score, score, accepted."""
-    known = docs.sparkSession.sparkContext.broadcast(model)
+def classify(table: DataFrame, model: Judge, least: float = 0.35) -> DataFrame:
+    """A table of prepared() -> doc_id, text_score, meta_score, score, accepted."""
+    known = table.sparkSession.sparkContext.broadcast(model)
 
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             s = scores(known.value, b)
             yield pa.record_batch([b.column(0), *[pa.array(s[:, k], pa.float64()) for k in range(3)], pa.array(known.value.accepted(s, least), pa.bool_())], names=["doc_id", "text_score", "meta_score", "score", "accepted"])
 
-    return record(docs).mapInArrow(rows, "doc_id long, text_score double, meta_score double, score double, accepted boolean")
+    return table.select("v.doc_id", *[f"v.{c}" for c in VIEWS]).mapInArrow(work, "doc_id long, text_score double, meta_score double, score double, accepted boolean")
 
 
-def keep(docs: DataFrame, model: Judge, least: float = 0.35) -> DataFrame:
-    """The accepted rows, all columns."""
-    known = docs.sparkSession.sparkContext.broadcast(model)
+def keep(docs: DataFrame, labels: DataFrame, least: float = 0.35, **params) -> DataFrame:
+    """The accepted rows of docs, all columns."""
+    table = prepared(docs, True)
+    known = docs.sparkSession.sparkContext.broadcast(fit(table, labels, **params))
 
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield b.filter(pa.array(known.value.accepted(scores(known.value, b), least), pa.bool_()))
+            ok = known.value.accepted(scores(known.value, pa.RecordBatch.from_struct_array(b.column("v"))), least)
+            yield b.select(["d"]).filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return table.mapInArrow(work, T.StructType([table.schema["d"]])).select("d.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return classify(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    table = prepared(spark.read.parquet(f"{sf_dir}/documents.parquet"), False)
+    return classify(table, fit(table, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quire.llm import langid, lm, quality
 
 SOUNDS = {"en": "th and ing er wh ou", "de": "sch ung ver ei ch ü", "fr": "eau oi qu é ai tion", "es": "ción ll ñ rr que os"}
@@ -62,14 +64,15 @@ def test_language_defined_cases(spark, docs):
 
 def test_quality(spark, docs):
     labels = docs.filter("doc_id % 3 > 0").select("doc_id", "quality", "toxic")
-    m = quality.fit(docs.select(*quality.COLS, "doc_id"), labels, per_stratum=150, pool=200)
-    got = {r.doc_id: r for r in quality.classify(docs, m).collect()}
+    table = quality.prepared(docs.select(*quality.COLS, "doc_id"), False)
+    m = quality.fit(table, labels, per_stratum=150)
+    got = {r.doc_id: r for r in quality.classify(table, m).collect()}
     unseen = [r for r in docs.collect() if r.doc_id % 3 == 0]
     good = [got[r.doc_id].accepted for r in unseen if r.quality and not r.toxic]
     bad = [got[r.doc_id].accepted for r in unseen if not r.quality]
     toxic = [got[r.doc_id].accepted for r in unseen if r.toxic]
     assert np.mean(good) > 0.9 and np.mean(bad) < 0.2 and np.mean(toxic) < 0.5
-    kept = quality.keep(docs, m)
+    kept = quality.keep(docs, labels, per_stratum=150)
     assert kept.columns == docs.columns and kept.count() == sum(r.accepted for r in got.values())
 
 
@@ -85,27 +88,54 @@ def test_quality_rejects_toxic(spark):
             words = [w + rng.choice(["***", "$$$"]) for w in words]
         rows.append((i, " ".join(words), "en", "s", 900, int(i % 8 != 3), int(i % 8 == 7)))
     docs = spark.createDataFrame(rows, COLS + ", quality int, toxic int")
-    m = quality.fit(docs, docs.filter("doc_id % 2 = 0 or doc_id % 16 in (7, 3)").select("doc_id", "quality", "toxic"), pool=200, rounds=1)
-    got = {r.doc_id: r.accepted for r in quality.classify(docs, m).collect()}
+    table = quality.prepared(docs, False)
+    m = quality.fit(table, docs.filter("doc_id % 2 = 0 or doc_id % 16 in (7, 3)").select("doc_id", "quality", "toxic"), rounds=1)
+    got = {r.doc_id: r.accepted for r in quality.classify(table, m).collect()}
     assert np.mean([got[i] for i in range(1500) if i % 16 == 15]) < 0.3  # unseen toxic ones
     assert np.mean([got[i] for i in range(1500) if i % 16 in (1, 5, 9, 13)]) > 0.95  # unseen good ones
-    assert quality.fit(docs.filter("quality = 1"), docs.filter("quality = 1"), rounds=1).clean.ready  # toxic labels alone are learned from
+    assert quality.fit(quality.prepared(docs.filter("quality = 1"), False), docs.filter("quality = 1"), rounds=1).clean.ready  # toxic labels alone are learned from
 
 
 def test_quality_counts_repeats_of_all_lines():
     late = "\n".join([f"line {k}" for k in range(60)] + ["again"] * 30)
     early = "\n".join(["again"] * 30 + [f"line {k}" for k in range(60)])
-    one, other = (quality.meta_view(t, t.split(), "en", "s", len(t)) for t in (late, early))
-    assert one[21] == other[21] == 30 / 90
+    one, other = (quality.views(t, "en", "s", len(t))[2] for t in (late, early))
+    assert one[21] == other[21] == np.float32(30 / 90)
+
+
+def brute_surest(table, model, most):
+    """All rows scored, lists sorted in full."""
+    rows, out = {(r.v.at, r.v.n): r.v for r in sorted(table.collect(), key=lambda r: -r.v.o)}, {}
+    for t, target in enumerate((model.fine, model.clean)):
+        z = target.logits(quality.text_rows([bytes(v.at) for v in rows.values()], [bytes(v.n) for v in rows.values()]), quality.numbers([bytes(v.meta) for v in rows.values()]))
+        for view in (0, 1):
+            for label in (0, 1):
+                sure = sorted((-abs(x), v.o) for x, v in zip(z[:, view], rows.values(), strict=True) if abs(x) > 1 and (x > 0) == bool(label))
+                out[4 * t + 2 * view + label] = {o for _, o in sure[:most]}
+    return out
+
+
+def test_quality_searches_all_unlabelled_rows(spark, docs):
+    table = quality.prepared(docs, False)
+    m = quality.fit(table, docs.filter("doc_id % 3 > 0").select("doc_id", "quality", "toxic"), per_stratum=150, rounds=0)
+    got = {}
+    for r in quality.surest(table.repartition(7), m, 9).collect():
+        got.setdefault(r.list, set()).add(r.o)
+    assert got == {k: v for k, v in brute_surest(table, m, 9).items() if v}
 
 
 def test_quality_defined_cases(spark, docs):
     odd = spark.createDataFrame(ODD, COLS)
     labels = docs.select("doc_id", "quality", "toxic")
-    assert quality.classify(odd, quality.fit(docs, labels, per_stratum=60, pool=60, rounds=1)).count() == 5
-    none = quality.fit(odd, labels.limit(0))
-    assert [(r.score, r.accepted) for r in quality.classify(odd, none).collect()] == [(0.5, True)] * 5
-    assert quality.classify(odd.limit(0), none).count() == 0
+    table = quality.prepared(odd, False)
+    assert quality.classify(table, quality.fit(quality.prepared(docs, False), labels, per_stratum=60, rounds=1)).count() == 5
+    none = quality.fit(table, labels.limit(0))
+    assert [(r.score, r.accepted) for r in quality.classify(table, none).collect()] == [(0.5, True)] * 5
+    assert quality.classify(quality.prepared(odd.limit(0), False), none).count() == 0
+    several = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1, 0), (0, None, None), (10**9, 1, 0), (1, 0, None)], "doc_id long, quality int, toxic int"))
+    clashing = odd.withColumns({"v": F.lit(1), "d": F.lit("x"), "o": F.lit(2.5), "at": F.lit(None).cast("string"), "list": F.lit(0)})
+    assert quality.keep(clashing, several, rounds=1).columns == clashing.columns  # ties and repeated labels, no row of theirs here
+    assert quality.keep(clashing, several, rounds=1).count() == 5
 
 
 def test_base_scores_against_counting(spark, docs):
@@ -119,10 +149,10 @@ def test_base_scores_against_counting(spark, docs):
     n, v = sum(c.values()), len(c)
     want = sorted((str(d), held(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)), 6)) for d, t in rows)
     for top in (3, 1 << 20):  # few frequent words, so that most are joined; all of them
-        got = lm.scores(df, public_tokenizers.path("byte_bpe_50k.json"), 50256, top=top).collect()
+        got = lm.scores(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, top=top).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 for r in got)
-    assert lm.scores(df.limit(0), public_tokenizers.path("byte_bpe_50k.json"), 50256).count() == 0
+    assert lm.scores(df.limit(0), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
 def naive_logprob(m: lm.Attention, ids: list[int]) -> float:
@@ -135,17 +165,92 @@ def naive_logprob(m: lm.Attention, ids: list[int]) -> float:
         a = np.exp([q[-1] @ k[j] / np.sqrt(lm.D) + m.R[len(k) - 1 - j] for j in range(len(k))])
         h = np.concatenate([e[-1], (a / a.sum()) @ v @ m.Wo])
         z = np.exp(np.maximum(h @ m.W1 + m.b1, 0) @ m.W2 + m.b2)
-        total += np.log10(z / z.sum() @ m.Q[target])
+        w = z / z.sum()
+        one = two = mixed = w[: lm.K] @ m.Q[target] / w[: lm.K].sum()
+        if m.next:
+            before = x[t - 1] if t else lm.NONE
+            share, left = after(m.next.plain, (x[t],), target)
+            one = two = share + left * mixed
+            if before != lm.NONE:
+                share, left = after(m.next.plain, (before, x[t]), target)
+                two = share + left * one
+        total += np.log10(w[: lm.K] @ m.Q[target] + w[lm.K] * one + w[lm.K + 1] * two)
     return total
 
 
+def after(plain, context, y):
+    """Discounted share of y after a context and what is left over, by plain dictionaries."""
+    kept, totals = plain
+    if context not in totals or not any(k[:-1] == context for k in kept):
+        return 0.0, 1.0
+    own = {k[-1]: c for k, c in kept.items() if k[:-1] == context}
+    return max(own.get(y, 0) - lm.CUT, 0) / totals[context], 1 - sum(c - lm.CUT for c in own.values()) / totals[context]
+
+
+def counted(docs, end, vocab):
+    """Successors from counting, with their plain dictionaries; triples from 2 on."""
+    c = Counter()
+    for d in docs:
+        x = [end, *d.tolist(), end]
+        c.update(zip(x, x[1:], strict=False))
+        c.update(zip(x, x[1:], x[2:], strict=False))
+    totals = Counter()
+    for k, n in c.items():
+        totals[k[:-1]] += n
+    kept = {k: n for k, n in c.items() if len(k) == 2 or n > 1}
+    key = lambda k: int(lm.triple(*(np.array([v]) for v in ((lm.NONE, *k) if len(k) == 2 else k)))[0])
+    last = lambda k: key((*k, 0)) >> 21
+    s = lm.Successors(vocab, np.array([key(k) for k in kept]), np.array([*kept.values()]), np.array([last(k) for k in totals]), np.array([*totals.values()]))
+    s.plain = kept, totals
+    return s
+
+
 def test_attention_against_plain_loop():
     rng = np.random.default_rng(0)
     docs = [rng.integers(0, 90, rng.integers(0, 70)) for _ in range(12)] + [np.zeros(0, int)]
-    m = lm.Attention(100, 99).fit(docs, steps=30, chunk=256)
-    got = m.score(docs, chunk=64)
-    assert np.allclose(got, [naive_logprob(m, d.tolist()) for d in docs], rtol=1e-4)
-    assert np.allclose(m.Q.sum(axis=0), 1, atol=1e-4)  # each component is a distribution
+    for known in (None, counted(docs, 99, 100)):
+        m = lm.Attention(100, 99)
+        m.next = known
+        m.fit(docs, steps=30, chunk=256)
+        got = m.score(docs, chunk=64)
+        assert np.allclose(got, [naive_logprob(m, d.tolist()) for d in docs], rtol=1e-4)
+        assert np.allclose(m.Q.sum(axis=0), 1, atol=1e-4)  # each component is a distribution
+    # and so are the successors: over all tokens the experts give 1
+    every = np.arange(100)
+    for a, b in ((5, 7), (lm.NONE, 99), (int(docs[0][0]), int(docs[0][1]))):
+        p = np.full((100, lm.K + 2), 1 / (lm.K + 2), np.float32)
+        assert np.allclose(m.experts(np.full(100, a), np.full(100, b), every, p).sum(axis=0), 1, atol=1e-4)
+
+
+def test_successors_against_counting(spark, docs):
+    import public_tokenizers
+
+    enc = lm.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = [enc.encode([lm.lower(r.text)])[0] for r in docs.limit(40).collect()] + [b""]
+    table = spark.createDataFrame([(bool(k % 5 == 0), bytearray(x)) for k, x in enumerate(ids)], "held_out boolean, ids binary").repartition(3)
+    own = [np.frombuffer(x, enc.dtype) for k, x in enumerate(ids) if k % 5]
+    plain = counted(own, enc.end, enc.size)
+    got = lm.successors(table, enc.size, enc.dtype, enc.end, 1 << 19, 1 << 20)
+    few = lm.successors(table, enc.size, enc.dtype, enc.end, 50, 20)  # what is not kept is left over
+    flat = np.concatenate([np.concatenate([[enc.end], d, [enc.end]]) for d in own]).astype(np.int64)
+    a, b, y = flat[:-2], flat[1:-1], flat[2:]
+    for known in (plain, got, few):
+        share, left, _ = known.of_pair(b, y)
+        share3, left3 = known.of_triple(a, b, y, known.pairs(a << 21 | b))
+        if known is plain:
+            want = share, left, share3, left3
+        elif known is got:
+            assert all(np.allclose(x, z, atol=1e-6) for x, z in zip((share, left, share3, left3), want, strict=True))
+    assert len(few.pairs.h) <= 50 and len(few.triples.h) <= 20 and (left >= want[1] - 1e-6).all()
+
+
+def test_every_training_document_gives_a_run():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 90, n) for n in (0, 1, 23, 24, 500, 5000)]
+    for share in (1 / 16, 1.0):
+        for d, (i, j) in zip(docs, lm.runs_of(docs, share), strict=True):
+            assert 0 <= i < j <= len(d) + 1 and i % lm.S == 0
+            assert share < 1 or (i, j) == (0, len(d) + 1)
 
 
 def test_attention_learns_its_context():
@@ -157,3 +262,27 @@ def test_attention_learns_its_context():
     u = np.log10(np.bincount(y, minlength=10) / len(y) + 1e-9)
     base = sum(u[np.append(d, 9)].sum() for d in docs[160:])
     assert m.score(docs[160:]).sum() > base + 0.15 * n
+
+
+def test_language_rejects_what_was_not_learned(spark, docs):
+    m = langid.fit(docs.filter("lang <> 'fr'"), per_lang=150)
+    rng = random.Random(4)
+    junk = [(k, "".join(rng.choice("qxzjkvwpybgm") if rng.random() < 0.8 else " " for _ in range(400))) for k in range(40)]
+    repeated = [(100 + k, f"{w} " * 300) for k, w in enumerate(("xerc", "mubq", "ozzi"))]
+    odd = spark.createDataFrame(junk + repeated, "doc_id long, text string")
+    assert langid.keep(odd, m).count() <= 4
+    french, known = docs.filter("lang = 'fr'"), docs.filter("lang <> 'fr'")
+    assert langid.keep(french, m).count() < 0.3 * french.count() and langid.keep(known, m).count() > 0.97 * known.count()
+
+
+def test_svm_against_plain_solver():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((80, 6)).astype(np.float32)
+    y = np.where(x @ np.arange(6) + rng.standard_normal(80) > 0, 1.0, -1.0)
+    w = langid.svm(x, y, c=1.0, epochs=400)
+    weight = np.where(y > 0, 40 / (y > 0).sum(), 40 / (y < 0).sum())
+    best, at = np.zeros(7), np.hstack([x, np.ones((80, 1))])
+    for _ in range(20_000):  # gradient steps on the same objective
+        slack = np.maximum(0, 1 - y * (at @ best))
+        best -= 2e-3 * (best - 2 * at.T @ (weight * slack * y))
+    assert np.allclose(w, best, atol=0.02)
