@@ -11,9 +11,12 @@ edits and span. Whatever is within the budget is found; nothing beyond it is.
 The benchmark is handed to the tasks in blocks of bounded size (all of it, as a rule),
 each against all documents; there is no join and no shuffle.
 
-Defined cases: items shorter than `least` characters (also null ones) prove nothing and
-are not searched for; k is lowered where the lemma would ask for no shared q-gram; null or
-empty texts have no hit; null doc_ids and repeated rows are rows of their own; empty
+The lemma asks for at least one shared q-gram only of long enough items: those of 40
+characters or more are sought with q = 8, of 4 to 39 with q = 4, of 1 to 3 with q = 1, so that
+each item has its whole edit budget. An item of fewer than `least` characters is common
+as part of words, and counts only where it stands as whole words.
+
+Defined cases: items that are null or blank are found nowhere; null or empty texts have no hit; null doc_ids and repeated rows are rows of their own; empty
 tables on either side give no hits; more columns are ignored, or kept by `clean`.
 """
 
@@ -60,13 +63,31 @@ def grams(code: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 class Benchmark:
-    """The q-grams of a block of items, for lookups."""
+    """A block of items, sought by q-grams of as many characters as their lengths allow."""
+
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, least: int = LEAST):
+        own = [(i, c) for i, t in items if t and len(c := normal(t.strip())[0])]
+        by_q: dict[int, list] = {}
+        for i, c in own:
+            q = next(q for q in (Q, Q // 2, 1) if len(c) >= q and len(c) - q + 1 - int(len(c) * rate) * q > 0)
+            by_q.setdefault(q, []).append((i, c))
+        self.parts = [Grams(part, q, rate, least) for q, part in by_q.items()]
+
+    def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """(item_id, start, end, edits) of the items' occurrences in a text; of overlapping ones of an item the best."""
+        if not text or not self.parts:
+            return []
+        code, where = normal(text)
+        return [(i, int(where[s]), int(where[e - 1]) + 1, d) for part in self.parts for i, s, e, d in part.search(code)]
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE, least: int = LEAST):
-        own = [(i, c) for i, t in items if t and len(c := normal(t.strip())[0]) >= least]
-        self.ids, self.codes, self.q = [i for i, _ in own], [c for _, c in own], q
+
+class Grams:
+    """The q-grams of items, for lookups."""
+
+    def __init__(self, own: list[tuple[int, np.ndarray]], q: int, rate: float, least: int):
+        self.ids, self.codes, self.q, self.least = [i for i, _ in own], [c for _, c in own], q, least
         self.m = np.array([len(c) for c in self.codes], np.int64)
-        self.k = np.minimum((self.m * rate).astype(np.int64), (self.m - q) // q)
+        self.k = (self.m * rate).astype(np.int64)
         self.need = self.m - q + 1 - self.k * q
         self.cell = 2 * self.k + 1
         all_ = [grams(c, q) for c in self.codes]
@@ -124,17 +145,20 @@ class Benchmark:
                 out.append((item, max(start, 0), min(begin + m + x, len(code)), edits))
         return out
 
-    def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, edits) of the items' occurrences in a text; of overlapping ones of an item the best."""
-        if not text or not len(self.keys):
-            return []
-        code, where = normal(text)
+    def alone(self, code: np.ndarray, start: int, end: int) -> bool:
+        """Does a place begin and end where words do?"""
+        inner = lambda k: 0 <= k < len(code) and chr(code[k]).isalnum()
+        return not (inner(start - 1) and inner(start)) and not (inner(end - 1) and inner(end))
+
+    def search(self, code: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item_id, start, end, edits), places in the normal text."""
         found = self.align(code, self.regions(code))
+        found = [f for f in found if self.m[f[0]] >= self.least or self.alone(code, f[1], f[2])]
         out: list[tuple[int, int, int, int]] = []
         for item, start, end, edits in sorted(found, key=lambda f: (f[0], f[3], f[1])):
             if all(o[0] != item or end <= o[1] or start >= o[2] for o in out):
                 out.append((item, start, end, edits))
-        return [(self.ids[i], int(where[s]), int(where[e - 1]) + 1, d) for i, s, e, d in out if e > s]
+        return [(self.ids[i], s, e, d) for i, s, e, d in out if e > s]
 
 
 def blocks(benchmark: DataFrame, block_chars: int = 4_000_000) -> Iterator[list[tuple[int, str]]]:

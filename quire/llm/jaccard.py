@@ -14,7 +14,9 @@ component there. A pair that several leaves hold is counted in the first of them
 alone, which the nodes' lists of leaves tell. Leaves with equal members are compared once.
 
 How many runs found each pair estimates the share of pairs that no run found (Chao's
-estimator); runs are added until the estimated recall reaches the target.
+estimator), apart for nodes of few, some and many links, so that large groups don't speak
+for small ones; runs are added until each estimate reaches the target. Should the most
+runs fall short of it, a warning tells the estimates.
 
 Defined cases: words are what white space separates, lower-cased; a text of fewer than
 five words is one shingle; texts without words (null, empty, blank) equal each other;
@@ -24,6 +26,7 @@ rows are copies; an empty table gives no rows; more columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from functools import partial, reduce
 
@@ -334,7 +337,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, split_over: int = 256, block: int = 1024, depth: int = 8, runs: tuple[int, ...] = (12, 24, 40)) -> DataFrame:
+def recalls(found: DataFrame) -> dict[str, float]:
+    """Estimated recall of pairs whose left node has few (up to 3), some (up to 31) or many links."""
+    sums = ("links", "found", "once", "twice")
+    by = found.groupBy("key").agg(*[F.sum(c).alias(c) for c in sums])
+    kind = F.when(F.col("links") <= 3, "few").when(F.col("links") <= 31, "some").otherwise("many")
+    rows = by.groupBy(kind.alias("kind")).agg(*[F.sum(c).alias(c) for c in sums]).collect()
+    return {r.kind: r.found / (r.found + r.once * r.once / (2 * max(r.twice, 1))) for r in rows if r.found}
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, split_over: int = 256, block: int = 1024, depth: int = 8, runs: tuple[int, ...] = (12, 24, 40, 56)) -> DataFrame:
     """docs(doc_id, text) -> doc_id, h, class_id, n_links, n_copies, keeper.
 
     class_id: smallest doc_id of the class; n_links: other distinct sets at the threshold
@@ -347,10 +359,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     nodes = written(nodes.select("key", F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"), "copies", "n", "sig"), "nodes")
     for r in runs:
         found = search(docs, nodes.select("key", "doc_id", "h", "n", "sig").filter("n > 0"), threshold, r, split_over, block, depth)
-        f = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("found", "once", "twice")]).first()
-        missed = f.once * f.once / (2 * max(f.twice, 1))
-        if f.found >= recall * (f.found + missed):
+        estimates = recalls(found)
+        if all(x >= recall for x in estimates.values()):
             break
+    else:
+        warnings.warn(f"estimated recall {estimates} by number of links, after {runs[-1]} runs; the target is {recall}", stacklevel=2)
     label = components(found.select("key", "hook"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     node = nodes.select("key", "doc_id", "h", "copies").join(label, "key", "left").join(links, "key", "left")

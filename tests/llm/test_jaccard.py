@@ -76,3 +76,11 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 102)], "key long, hook long")
     got = {r.key: r.label for r in J.components(edges).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_recall_is_told_by_number_of_links(spark):
+    from quire.llm import jaccard
+
+    rows = [(b"a", 1, b"a", 1, 0, 0), (b"b", 2, b"a", 2, 2, 0), (b"c", 90, b"c", 50, 0, 10), (b"c", 10, b"c", 50, 0, 10)]
+    got = jaccard.recalls(spark.createDataFrame(rows, "key binary, links long, hook binary, found long, once long, twice long"))
+    assert got == {"few": 3 / 5, "many": 1.0}

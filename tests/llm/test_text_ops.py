@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quire.llm import decontaminate as D
@@ -22,9 +23,9 @@ def test_article_text():
 
 def test_cut_off_and_broken_pages():
     assert W.main_text("<article><h1>A &am</h1><p>b &amp")[0] == "A &am\nb &"
-    assert W.main_text(None) == W.main_text("") == ("", [], [])
+    assert W.main_text(None) == W.main_text("") == ("", [], [], [])
     assert W.main_text("<nav>only</nav>")[0] == ""
-    assert W.main_text("plain < text")[:2] == (None, ["plain < text"])
+    assert W.main_text("plain < text")[:3] == (None, ["plain < text"], [False])
     W.main_text("<b>" * 3000 + "x" + "</p>" * 3000 + "<a href='" + "y" * 1000)
 
 
@@ -180,3 +181,52 @@ def test_packed_lengths_are_token_ids(spark, tmp_path):
     out = P.op9_best_fit_packing(spark, str(tmp_path)).collect()
     assert {d: sum(r.length for r in out if r.doc_id == d) for d in want} == want
     assert all(r.bin_offset + r.length <= r.bin_size for r in out if r.bin_id is not None)
+
+
+def test_short_items_have_their_whole_budget():
+    items = [(1, "ab"), (2, "Kiesel"), (3, "a quick brown fox"), (4, "thirty nine characters long, all of it!"), (5, "  "), (6, None)]
+    bench = D.Benchmark(items)
+    found = lambda t: sorted({h[0] for h in bench.search(t)})
+    assert found("so ab is there") == [1] and found("cabs") == [] and found("Kieselstein") == [] and found("der kiesel.") == [2]
+    assert found("x a quick brwn fox y") == [3] and found("a quick brwn fx") == []  # one edit, not two
+    assert found("Thirty nine charakters long, al of it!") == [4] and found("") == []
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<article><div class="entry-header"><h1>Head</h1></div><p>body</p></article>', "Head\nbody"), ('<article><header><div><h1>Head</h1></div><p>by me</p></header><p>body</p></article>', "Head\nbody"),
+    ('<article><p>a</p><div class="related-work">b</div><div class="notice-of-intent">c</div><div class="related-posts">d</div><div class="comment-list">e</div></article>', "a\nb\nc"),
+    ('<article><p>a <button>Go</button>b <select><option>x</option></select><span class="ad">Buy now</span><svg><text>s</text></svg> c</p></article>', "a b c"),
+    ("<header><h1>Site</h1></header><article>t</article>", "t"),
+])
+def test_names_and_inline_boilerplate(html, text):
+    assert W.main_text(html)[0] == text
+
+
+def test_the_array_decides_between_containers(spark):
+    note = "this very long note of the house is found on each of all its many pages"
+    pages = [(k, f"http://h.org/{k}", f"<main><h1>Title number {k}</h1><p>{note}</p><article><p>text {k} of this page alone</p></article></main>") for k in range(6)]
+    pages += [(100 + k, "http://c.org/x", f"<p>{note} and {'one more page' if k else 'one more leaf'}</p>") for k in range(2)]
+    got = {r.page_id: r.text for r in W.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), chunk=2).collect()}
+    assert all(got[k] == f"Title number {k}\ntext {k} of this page alone" for k in range(6))
+    assert got[100].startswith(note) and got[101].startswith(note)  # copies of each other keep their text
+
+
+def brute_runs(streams, run):
+    """Every run of tokens, by slices."""
+    seen = {}
+    for page, s in enumerate(streams):
+        for k in range(len(s) - run + 1):
+            seen.setdefault(tuple(s[k : k + run].tolist()), set()).add(page)
+    return sum(len(v) > 1 for v in seen.values())
+
+
+def test_shared_runs_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    shared = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 30))) for _ in range(6)]
+    texts = [" ".join(rng.choice(shared) if rng.random() < 0.4 else rng.choice(words) for _ in range(30)) for _ in range(25)]
+    pdf = pd.DataFrame({"host": "h", "page": range(25), "rest": [[t] for t in texts]})
+    got = W.chunk_runs(pdf)
+    assert int((got.lo < got.hi).sum()) == brute_runs([W.token_hashes(t) for t in texts], W.RUN)
