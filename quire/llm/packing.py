@@ -105,10 +105,7 @@ def token_counts(docs: DataFrame, file: str | None = None) -> DataFrame:
         enc = encoder(file)
         for b in it:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            n: list[int] = []
-            for at in range(0, len(texts), 500):
-                part = texts[at : at + 500]
-                n += [len(ids) // enc.dtype.itemsize + 1 if t.strip(" \t\n\x0b\f\r") else 0 for t, ids in zip(part, enc.encode(part), strict=True)]
+            n = [len(ids) // enc.dtype.itemsize + 1 if t.strip(" \t\n\x0b\f\r") else 0 for t, ids in zip(texts, enc.encode(texts), strict=True)]
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_tokens long")

@@ -12,13 +12,15 @@ A shard file, for documents in ascending order:
 A reader fetches the table from the file's end, and then only the frames it wants.
 
 Text is encoded with the tokenizers library. As this encodes each piece between a
-space and the next on its own, equal pieces are encoded once and kept in a bounded
-table; texts in which a space stands elsewhere than between words (double spaces, odd
+space and the next on its own, equal pieces of a block of texts are looked up once, and
+their ids kept in a table of two generations (the older is dropped when the younger is
+full); texts in which a space stands elsewhere than between words (double spaces, odd
 white space) go through the library whole, so that ids are always the library's own.
 
-Documents are dealt to shards by ranges of doc_id, so that the order of shards and
-frames is that of doc_id; equal doc_ids stay in one range and are ordered by text.
-Defined cases: null text is empty and has the end id alone; null doc_id comes first;
+Documents are dealt to shards by ranges of doc_id and the text's hash, so that the order
+of shards and frames is that of doc_id, and a doc_id that very many rows share is spread
+over several. The shards' token totals, one row a file, are added up in one window.
+Defined cases: repeated rows are documents of their own; null text is empty and has the end id alone; null doc_id comes first;
 an empty table gives no rows; more columns are ignored.
 """
 
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -40,13 +43,38 @@ from pyspark.sql import functions as F
 from .common import batches, fresh_path, pieces_by_size, read_binary, write_binary
 
 INDEX, TABLE, MAGIC, NULL = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, -(2**63)
-KEPT = 900_000
+KEPT, BLOCK = 250_000, 8_000_000
 #: Pieces on which the library might see other bounds than the space before them: white space after the space, or white space on which engines differ.
 ODD = re.compile(r"\A(?:\s|\Z)|[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]|<\|")
 
+#: The same of pieces joined by spaces: one that is empty or begins with white space.
+SPACED = re.compile(r" (?:\s|\Z)")
+
+
+class Kept:
+    """Ids of pieces: up to KEPT recent ones and as many older; what is found among the older is recent again."""
+
+    def __init__(self, most: int = KEPT):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, pieces: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """(ids of each, places of those without)."""
+        out, lack = [*map(self.young.get, pieces)], []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            if (ids := self.old.get(pieces[k])) is None:
+                lack.append(k)
+            else:
+                out[k] = self.young[pieces[k]] = ids
+        return out, lack
+
+    def add(self, new: dict[str, bytes]) -> None:
+        self.young.update(new)
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
 
 class Encoder:
-    """Token ids of texts by a tokenizers file; keeps the ids of up to KEPT pieces."""
+    """Token ids of texts by a tokenizers file."""
 
     def __init__(self, file: str):
         import os
@@ -59,7 +87,7 @@ class Encoder:
         self.size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 65536 else np.dtype("<u4")
         self.width = np.array([len(self.tok.id_to_token(k) or "") for k in range(self.size)])  # a byte-level vocabulary writes one character a byte
-        self.kept: dict[str, bytes] = {}  # ids of a space and the piece
+        self.inner, self.first = Kept(), Kept()  # ids of a space and the piece; of a text's first piece
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,27 +99,74 @@ class Encoder:
             part = pieces[at : at + n]
             text = " " + " ".join(part)
             ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            lengths = np.fromiter(map(len, part), np.int64, n if len(part) == n else len(part)) if text.isascii() else np.array([len(p.encode()) for p in part])
-            cuts = ((np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(lengths + 1), side="left") + 1) * w).tolist()
-            packed = ids.tobytes()
+            ends = np.cumsum(np.array([len(p) for p in part] if text.isascii() else [len(p.encode()) for p in part]) + 1)
+            token_ends = np.cumsum(self.width[ids])
+            last = np.searchsorted(token_ends, ends, side="left")
+            if not len(token_ends) or token_ends[-1] != ends[-1] or (token_ends[last] != ends).any():
+                yield from zip(part, self.raw([" " + p for p in part]), strict=True)  # a token reaches over a piece's end
+                continue
+            cuts, packed = ((last + 1) * w).tolist(), ids.tobytes()
             yield from zip(part, [packed[i:j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True)
 
+    def known(self, pieces: list[str], table: Kept, encode) -> tuple[list[bytes], list[int]]:
+        """(packed ids of distinct pieces, places of odd ones, which have none)."""
+        found, lack = table.get(pieces)
+        odd = []
+        if lack:
+            names = [pieces[k] for k in lack]
+            text = " ".join(["", *names])
+            if SPACED.search(text) or ODD.search(text, 1):
+                odd = [k for k in lack if ODD.search(pieces[k])]
+                lack = [k for k in lack if not ODD.search(pieces[k])]
+                names = [pieces[k] for k in lack]
+            new = list(encode(names))
+            for k, (_, ids) in zip(lack, new, strict=True):
+                found[k] = ids
+            for k in odd:
+                found[k] = b""
+            table.add(dict(new))
+        return found, odd
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at, flat = cut.offsets.to_numpy(), cut.flatten()
+        begins = np.zeros(len(flat), bool)
+        begins[at[:-1]] = True
+        inner, first = (flat.filter(pa.array(m)).dictionary_encode() for m in (~begins, begins))
+        ids, odd = self.known(inner.dictionary.to_pylist(), self.inner, self.joined)
+        n = len(ids)
+        more, strange = self.known(first.dictionary.to_pylist(), self.first, lambda ps: zip(ps, self.raw(ps), strict=True))
+        ids += more
+        piece = np.empty(len(flat), np.int64)
+        piece[~begins], piece[begins] = inner.indices.to_numpy(), first.indices.to_numpy().astype(np.int64) + n
+        whole = []
+        if odd or strange:
+            bad = np.zeros(len(ids), bool)
+            bad[[*odd, *(k + n for k in strange)]] = True
+            whole = np.flatnonzero(np.logical_or.reduceat(bad[piece], at[:-1]))
+        sizes = np.array([*map(len, ids)]) // self.dtype.itemsize
+        # the pieces' ids, gathered into one array of the block's
+        own = sizes[piece]
+        ends = np.cumsum(own)
+        where = np.repeat(((np.cumsum(sizes) - sizes)[piece] - (ends - own)).astype(np.int32), own)
+        where += np.arange(ends[-1], dtype=np.int32)
+        packed = np.frombuffer(b"".join(ids), self.dtype)[where].tobytes()
+        cuts = (np.concatenate([[0], ends[at[1:] - 1]]) * self.dtype.itemsize).tolist()
+        out = [packed[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        for k, x in zip(whole, self.raw([texts[k] for k in whole]) if len(whole) else (), strict=True):
+            out[k] = x
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        get = self.kept.get
-        cut = [t.split(" ") for t in texts]
-        found = [[*map(get, ps[1:])] for ps in cut]
-        lack = [k for k, f in enumerate(found) if None in f]
-        new = {p for k in lack for p, ids in zip(cut[k][1:], found[k], strict=True) if ids is None}
-        self.kept.update(self.joined([p for p in new if not ODD.search(p)]))
-        for k in lack:
-            found[k] = [*map(get, cut[k][1:])]
-        whole = [k for k, (ps, f) in enumerate(zip(cut, found, strict=True)) if None in f or ODD.search(ps[0])]
-        alone = dict(zip(whole, self.raw([texts[k] for k in whole]), strict=True))
-        first = self.raw([ps[0] for ps in cut])
-        return [alone[k] if k in alone else first[k] + b"".join(found[k]) for k in range(len(texts))]
+        out: list[bytes] = []
+        at = size = 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size > BLOCK or k == len(texts) - 1:
+                out += self.block(texts[at : k + 1])
+                at, size = k + 1, 0
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -151,9 +226,9 @@ class Shard:
 
 def write_tokens(docs: DataFrame, path: str, file: str, end_id: int, shard_bytes: int = 24 << 20) -> None:
     """docs(doc_id, text) -> shard files of about `shard_bytes` of text each, in ascending doc_id order."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n
-    parts = docs.repartitionByRange(pieces_by_size(size, shard_bytes), "doc_id").sortWithinPartitions("doc_id", "text")
+    parts = docs.repartitionByRange(pieces_by_size(size, shard_bytes), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(file)
@@ -161,8 +236,7 @@ def write_tokens(docs: DataFrame, path: str, file: str, end_id: int, shard_bytes
         held = []
         for batch in it:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 500):
-                held += zip((NULL if d is None else d for d in batch.column(0)[at : at + 500].to_pylist()), (x + end for x in enc.encode(texts[at : at + 500])), strict=True)
+            held += zip((NULL if d is None else d for d in batch.column(0).to_pylist()), (x + end for x in enc.encode(texts)), strict=True)
         if held:
             yield pa.record_batch([pa.array([shard(TaskContext.get().partitionId(), held, enc.dtype.itemsize)], pa.binary())], names=["blob"])
 
