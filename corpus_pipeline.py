@@ -1,4 +1,10 @@
-"""The documents' way to training sequences, stage by stage; each reads what the one before has written."""
+"""The documents' way to training sequences, stage by stage; each reads what the one before has written.
+
+Defined cases: null or empty texts have no language and go at the second stage at the latest;
+null ids are kept like any other row; of repeated rows one stays (third stage); empty tables of
+documents, labels or benchmark give no rows, no rejection and no leak; columns beside those
+of documents go along through all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
