@@ -39,3 +39,24 @@ def test_stages(spark, tmp_path):
     assert ids[4] == ids[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, at).collect()} == ids[4]
     shutil.rmtree(at)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null ids, texts and labels; repeated rows; clashing column names; then empty tables."""
+    at, cols = str(tmp_path), "doc_id long, text string, lang string, source string, n_chars long, v int, d string, o long, _h int, h long, key string, class_id long"
+    extra = (1, "x", 2, 3, 4, "k", 5)
+    rows = [(None, "the one text of a null id that stands here and there", "en", None, None, *extra), (1, None, "en", "s", 0, *extra), (2, "", None, "s", 0, *extra), (3, "again and again the same row of words", "en", "s", 9, *extra), (3, "again and again the same row of words", "en", "s", 9, *extra)]
+    rows += [(10 + k, f"some words of the document number {k} and of no other one {k * k} here", "en", "s", 50, *extra) for k in range(12)]
+    for name, data, schema in (("documents", rows, cols), ("labels", [(None, 1, 0), (3, None, None), (10, 1, 0), (10, 1, 0)], "doc_id long, quality int, toxic int"), ("benchmark", [(1, None), (None, ""), (2, "no such item")], "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(f"{at}/{name}.parquet")
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, at)
+        assert docs.columns == [c.split()[0] for c in cols.split(", ")]
+    left = [r.doc_id for r in docs.collect()]
+    assert left.count(3) == 1 and 1 not in left and 2 not in left and None in left
+    assert {r.doc_id for r in corpus_pipeline.run(spark, at).collect()} == set(left)
+    for name in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{at}/{name}.parquet")
+        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{at}/e/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{at}/e").count() == 0
