@@ -5,7 +5,8 @@ A node's sampled tokens are its MinHash values (coordinate, value). Each run spl
 nodes by one token; buckets of up to `split_over` nodes are leaves. Larger ones are
 split again by tokens drawn by the path so far, 1.25 = 1 / 0.8 of them on average, until
 they are small, or dense (a child keeps most of its parent: their members are alike and
-splitting doesn't help), or `depth` is reached.
+splitting doesn't help), or `depth` is reached. Paths of more than a fixed share of all
+rows, of which there can be few, have their counts broadcast, so their rows stay apart.
 
 Leaves are compared by brute force with the exact sets. A leaf of more than a block's
 nodes is dealt to pairs of blocks, so no task holds it whole and no pair is left out.
@@ -16,7 +17,8 @@ alone, which the nodes' lists of leaves tell. Leaves with equal members are comp
 How many runs found each pair estimates the share of pairs that no run found (Chao's
 estimator), apart for nodes of few, some and many links, so that large groups don't speak
 for small ones; runs are added until each estimate reaches the target. Should the most
-runs fall short of it, a warning tells the estimates.
+runs fall short of it, buckets are searched once more without splitting, in so many runs
+that a pair at the threshold shares no bucket with a probability of 1e-12: slower, but nothing is left out.
 
 Defined cases: words are what white space separates, lower-cased; a text of fewer than
 five words is one shingle; texts without words (null, empty, blank) equal each other;
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import batches, mix64, path_of, remove, written
 
 SHINGLE, COORDS, SLOTS = 5, 64, 1 << 22
+HOT = 10_000  # paths of more than 1 / HOT of all rows are hot: fewer than HOT of them
 _rng = np.random.default_rng(20240229)
 MUL = _rng.integers(0, 2**31, COORDS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _rng.integers(0, 2**32, COORDS).astype(np.uint32)
@@ -94,10 +97,22 @@ def child(path: Column, coord: Column, value: Column, run: Column) -> Column:
     return F.xxhash64(path, coord, value).bitwiseAND(F.lit(-256)).bitwiseOR(run.cast("long"))
 
 
-def sized(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with several nodes, with m (nodes), n (largest set) and the members' fingerprint. Counts are summed map-side."""
+def hot(total: int) -> Column:
+    """Of paths with m rows out of `total`, those that hold more than their share."""
+    return F.col("m") > max(64, total // HOT)
+
+
+def sized(rows: DataFrame, total: int) -> DataFrame:
+    """Rows of buckets with several nodes, with m (nodes), n (largest set) and the members' fingerprint.
+
+    Counts are summed map-side; those of hot paths, 2 * HOT at most, go to the rows, all others meet by path.
+    total: at least half of the rows.
+    """
     stats = rows.groupBy("path").agg(F.count("*").alias("m"), F.max("n").alias("top"), F.bit_xor(F.xxhash64("key")).alias("f1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("f2"))
-    return rows.join(stats.filter("m > 1"), "path")
+    stats = written(stats.filter("m > 1"), "buckets")
+    few = F.broadcast(stats.filter(hot(total)))
+    rest = rows.join(few.select("path"), "path", "left_anti").join(stats.filter(~hot(total)), "path")
+    return rows.join(few, "path").unionByName(rest)
 
 
 def leaves(nodes: DataFrame, runs: int, split_over: int, depth: int, dense: float = 0.7) -> DataFrame:
@@ -105,21 +120,22 @@ def leaves(nodes: DataFrame, runs: int, split_over: int, depth: int, dense: floa
     run = F.explode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), F.get("sig", r).alias("v"))))
     first = nodes.select("key", "n", run.alias("x"))
     first = first.select("key", "n", child(F.lit(0).cast("long"), F.col("x.run"), F.col("x.v"), F.col("x.run")).alias("path"))
-    top = written(sized(first), "paths")
-    out = [top.filter(F.col("m") <= split_over)]
+    top = written(sized(first, nodes.count() * runs), "paths")
+    out = [top.filter((F.col("m") <= split_over) | F.lit(depth == 0))]
     big = top.filter(F.col("m") > split_over).join(nodes.select("key", "sig"), "key")
     for level in range(depth):
         big = written(big, "paths")
-        if big.isEmpty():
+        size = big.count()
+        if not size:
             break
         pick = lambda k: (F.lit(runs) + F.pmod(F.xxhash64("path", F.lit(k)), F.lit(COORDS - runs))).cast("int")  # noqa: B023, E731
         coords = F.when(F.pmod(F.xxhash64("path", F.lit(7)), F.lit(4)) == 0, F.array(pick(1), pick(2))).otherwise(F.array(pick(1)))
         kids = big.select("key", "n", "sig", F.col("m").alias("was"), "path", F.explode(F.array_distinct(coords)).alias("c"))
         kids = kids.select("key", "n", "sig", "was", child(F.col("path"), F.col("c"), F.get("sig", F.col("c")), F.col("path").bitwiseAND(F.lit(255))).alias("path"))
-        kids = written(sized(kids), "paths")
+        kids = written(sized(kids, size), "paths")  # a row has one or two
         done = (F.col("m") <= split_over) | (F.col("m") >= dense * F.col("was")) | F.lit(level == depth - 1)
         out.append(kids.filter(done).drop("sig", "was"))
-        big = kids.filter(~done).drop("was", "m", "top", "f1", "f2").join(kids.select("path", "m").distinct(), "path")
+        big = kids.filter(~done).select("key", "n", "sig", "path", "m")
     return reduce(DataFrame.unionByName, [x.select("key", "path", "m", "top", "f1", "f2") for x in out])
 
 
@@ -296,7 +312,10 @@ def search(docs: DataFrame, nodes: DataFrame, threshold: float, runs: int, split
     leaf = written(leaves(nodes, runs, split_over, depth), "leaves")
     buckets = leaf.groupBy("path").agg(F.first("m").alias("m"), F.first("top").alias("top"), F.first("f1").alias("f1"), F.first("f2").alias("f2"))
     canon = buckets.groupBy("m", "f1", "f2").agg(F.min("path").alias("canon"))
-    named = written(leaf.join(canon, ["m", "f1", "f2"]).select("key", "path", "canon", "m", "top"), "leaves")
+    canon = written(buckets.join(canon, ["m", "f1", "f2"]).select("path", "m", "canon"), "buckets")
+    leaf, few = leaf.select("key", "path", "m", "top"), hot(leaf.count())
+    named = leaf.filter(~few).join(canon.filter(~few).drop("m"), "path").unionByName(leaf.filter(few).join(F.broadcast(canon.filter(few).drop("m")), "path"))
+    named = written(named.select("key", "path", "canon", "m", "top"), "leaves")
     lists = named.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("canon", "path"))).alias("l"))  # a node's leaves: some for each run
     lists = lists.select("key", F.col("l.path").alias("paths"), F.col("l.canon").alias("canons"))
     # blocks of bounded rows and bytes; each node goes to all pairs that its block is in
@@ -357,13 +376,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     row = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
     nodes = sketch.groupBy("key").agg(F.min(row).alias("r"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = written(nodes.select("key", F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"), "copies", "n", "sig"), "nodes")
+    own = nodes.select("key", "doc_id", "h", "n", "sig").filter("n > 0")
     for r in runs:
-        found = search(docs, nodes.select("key", "doc_id", "h", "n", "sig").filter("n > 0"), threshold, r, split_over, block, depth)
+        found = search(docs, own, threshold, r, split_over, block, depth)
         estimates = recalls(found)
         if all(x >= recall for x in estimates.values()):
             break
     else:
-        warnings.warn(f"estimated recall {estimates} by number of links, after {runs[-1]} runs; the target is {recall}", stacklevel=2)
+        warnings.warn(f"estimated recall {estimates} by number of links, after {runs[-1]} runs; buckets are now compared unsplit", stacklevel=2)
+        unsplit = min(COORDS, int(np.ceil(np.log(1e-12) / np.log(1 - threshold)))) if threshold < 1 else 1
+        found = search(docs, own, threshold, unsplit, split_over, block, 0)
     label = components(found.select("key", "hook"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     node = nodes.select("key", "doc_id", "h", "copies").join(label, "key", "left").join(links, "key", "left")

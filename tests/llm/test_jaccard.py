@@ -62,6 +62,21 @@ def test_against_all_pairs(spark, split_over, block):
     assert sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got), key=str) == brute(rows)
 
 
+def test_short_of_the_target_buckets_are_compared_unsplit(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    with pytest.warns(UserWarning, match="unsplit"):
+        got = J.near_duplicates(df, split_over=4, block=30, recall=1.1, runs=(1,)).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got), key=str) == brute(rows)
+
+
+def test_hot_paths_keep_their_counts(spark):
+    rows = [(bytes([i % 250, i // 250]), 5, 7 if i < 300 else i // 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "key binary, n int, path long")
+    got = J.sized(df, 600)
+    assert got.count() == 600 and {(r.path, r.m) for r in got.select("path", "m").collect()} == {(7, 300)} | {(k, 2) for k in range(150, 300)}
+
+
 def test_one_of_each(spark):
     df = spark.createDataFrame([(3, "a b c d e f", 1), (2, "A b c  d e f", 2), (2, "A b c  d e f", 2), (5, "other words here", 3), (None, "other words here", 4)], "doc_id long, text string, h long").withColumn("_h", F.col("h"))
     assert sorted((r.doc_id, r.h) for r in J.one_of_each(df).collect()) == [(2, 2), (5, 3)]
