@@ -118,3 +118,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def pieces_by_size(total: int, each: int, least: int = 1) -> int:
     """How many parts of about `each` hold `total`."""
     return max(least, -(-int(total or 0) // each))
+
+
+def integer_vectors(vectors: DataFrame, scale: int, offset: int, most: int, keep: list[str]) -> tuple[DataFrame, int]:
+    """vectors(embedding, ...) -> the columns `keep` and x, floor(scale * c) + offset of each entry as 32-bit integers one after another; and the number of entries.
+
+    Rows whose vector is null or holds null, NaN or infinite entries go, and so do those of another
+    length than most rows have (of equally common lengths the larger stays). Integers beyond `most` either way stop there.
+    """
+    finite = F.col("embedding").isNotNull() & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    own = vectors.select(*keep, F.col("embedding").cast("array<double>").alias("embedding")).filter(finite)
+    usual = own.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    dim = usual.d if usual else 0
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            v = b.column(len(keep)).flatten().to_numpy(zero_copy_only=False).reshape(len(b), dim)
+            with np.errstate(over="ignore"):
+                x = np.clip(np.floor(v * scale) + offset, -most, most).astype("<i4")
+            ends = np.arange(len(b) + 1, dtype=np.int32) * (4 * dim)
+            packed = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends), pa.py_buffer(x.tobytes())])
+            yield pa.record_batch([*(b.column(k) for k in range(len(keep))), packed], names=[*keep, "x"])
+
+    kinds = dict(own.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keep), "x binary"])
+    return own.filter(F.size("embedding") == dim).select(*keep, "embedding").mapInArrow(pack, schema), dim
+
+
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """The rows' packed 32-bit integers as 64-bit ones."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(len(column), dim).astype(np.int64)

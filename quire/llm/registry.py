@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, for __spark_entry__.py."""
 
-from . import decontaminate, html, jaccard, langid, lm, ogg, packing, quality, sharding, tokens, warc
+from . import codes, decontaminate, html, jaccard, langid, lm, ogg, packing, quality, sharding, tokens, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,7 +13,9 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality": quality.op10_quality,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_vector_codes": codes.op12_vector_codes,
     "op13_sharding": sharding.op13_sharding,
 }
 
-ORACLES = {"op1_warc": warc.SQL, "op13_sharding": sharding.SQL}
+ORACLES = {"op1_warc": warc.SQL, "op12_vector_codes": codes.SQL, "op13_sharding": sharding.SQL}
