@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The middle dots, and the one they become.
+#: The middle dots, and the one they become when titles are cleaned.
 DOTS, DOT = "･·ㆍ", "･"
+#: Fixed value: the one they become when titles are normalised.
+PLAIN_DOT = "·"
 #: Tax acts in citations.
 ACTS = "소득|조특|법인|부가가치|상속|증여"
 SPLIT_MARKS = f"-{DOTS}"
@@ -14,6 +18,11 @@ SPLIT_MARKS = f"-{DOTS}"
 BLANK = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where the value is evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.btrim(col, F.lit(BLANK))
@@ -39,7 +48,7 @@ def squeeze(col: Column) -> Column:
 
 def normalize_title(col: Column) -> Column:
     """One middle dot, single spaces, lower case."""
-    return F.lower(squeeze(F.translate(col, "·ㆍ", DOT * 2)))
+    return F.lower(squeeze(F.translate(col, DOTS, PLAIN_DOT * 3)))
 
 
 def chained(col: Column, rules: list[tuple[str, str]]) -> Column:

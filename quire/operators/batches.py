@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import ranges, running
+
 
 def ordered_join(order: list[str], value: str, sep: str) -> Column:
     """Texts of a group in the order of some columns, joined."""
@@ -12,9 +14,9 @@ def ordered_join(order: list[str], value: str, sep: str) -> Column:
 
 
 def merge_batches(els: DataFrame) -> DataFrame:
-    """M1: els(doc_id, batch_no, status, pos, ...) -> those of completed batches, numbered from 0 in each document."""
-    w = Window.partitionBy("doc_id").orderBy("batch_no", "pos")
-    return els.filter("status = 'completed'").withColumn("id", (F.row_number().over(w) - 1).cast("long"))
+    """M1: els(doc_id, batch_no, status, pos, ...) -> those of completed batches, numbered from 0 in each document. A range is a part of a batch."""
+    done = running(els.filter("status = 'completed'"), ["batch_no", "pos"], [F.col("batch_no").cast("long"), ranges()], sums={"id": F.lit(1)})
+    return done.withColumn("id", F.col("id") - 1)
 
 
 def merge_batch_content(batches: DataFrame) -> DataFrame:

@@ -13,12 +13,6 @@ LEADER = r"(?U)\s*[.·･]{2,}\s*\d+\s*$"
 NUMBER = r"(?U)^(?:\d+\.)?\s*"
 
 
-def first_titles(titles: DataFrame, key: Column, name: str) -> DataFrame:
-    """key -> number and text of its first title."""
-    keyed = titles.select(key.alias(name), F.struct("title_no", "title").alias("_t"))
-    return keyed.groupBy(name).agg(F.min("_t").alias(f"{name}_t"))
-
-
 def around_marks(words: Column) -> Column:
     """Of each word that holds a mark: the first one with up to REACH characters on either side."""
     return F.filter(F.transform(words, lambda w: F.regexp_extract(w, rf"([^{X.SPLIT_MARKS}]{{0,{REACH}}}[{X.SPLIT_MARKS}][^{X.SPLIT_MARKS}]{{0,{REACH}}})", 1)), lambda p: p != "")
@@ -78,11 +72,17 @@ def match_titles_fuzzy(lines: DataFrame, titles: DataFrame, threshold: float = 0
 
 
 def match_titles_exact(lines: DataFrame, titles: DataFrame) -> DataFrame:
-    """Adds title_no and title: equal when normalised, else when both lose a leading number of one or two digits (or 0 before) and the space after it."""
-    key = lambda c: X.normalize_title(c)
-    bare = lambda c: F.regexp_replace(X.normalize_title(c), r"(?U)^0?\d{1,2}\s+", "")
-    own, known = lines.withColumns({"_a": key(F.col("text")), "_b": bare(F.col("text"))}), titles.filter(key(F.col("title")) != "")
-    out = own.join(first_titles(known, key(F.col("title")), "_a"), "_a", "left").join(first_titles(known, bare(F.col("title")), "_b"), "_b", "left")
+    """Adds title_no and title: equal when normalised, else when both lose a leading number of one or two digits (or 0 before) and the space after it.
+
+    Titles of one normalised form are one title: it stands where the first does, and the last gives its text. Of
+    several forms that are equal without their numbers, the one that stands first is taken.
+    """
+    bare = lambda c: F.regexp_replace(c, r"(?U)^0?\d{1,2}\s+", "")
+    forms = titles.withColumn("_a", X.normalize_title(F.col("title"))).filter("_a <> ''")
+    forms = forms.groupBy("_a").agg(F.struct(F.min("title_no").alias("title_no"), F.max_by("title", "title_no").alias("title")).alias("_a_t"))
+    loose = forms.groupBy(bare(F.col("_a")).alias("_b")).agg(F.min_by("_a_t", "_a_t.title_no").alias("_b_t"))
+    own = lines.withColumn("_a", X.normalize_title(F.col("text"))).withColumn("_b", bare(F.col("_a")))
+    out = own.join(forms, "_a", "left").join(loose, "_b", "left")
     hit = F.coalesce("_a_t", "_b_t")
     return out.withColumns({"title_no": hit["title_no"], "title": hit["title"]}).select(*lines.columns, "title_no", "title")
 

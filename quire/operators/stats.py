@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import ranges, running
+
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -45,9 +47,8 @@ def layout_statistics(els: DataFrame) -> DataFrame:
 
 
 def sections(els: DataFrame, flag: str = "type = 'heading'") -> DataFrame:
-    """els in document order, with the number of the section that a heading opened; 0 before the first."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return els.withColumn("section", F.sum(F.when(F.expr(flag), 1).otherwise(0)).over(w))
+    """els with the number of the section that a heading opened, by position; 0 before the first."""
+    return running(els, ["pos"], [ranges()], sums={"section": F.when(F.expr(flag), 1)})
 
 
 def section_lengths(els: DataFrame) -> DataFrame:

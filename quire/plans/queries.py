@@ -45,11 +45,7 @@ def squeeze(x: str) -> str:
 
 
 def normal(x: str) -> str:
-    return f"lower({squeeze(f"translate({x}, '·ㆍ', '･･')")})"
-
-
-def bare(x: str) -> str:
-    return rf"regexp_replace({normal(x)}, '^0?\d{{1,2}}\s+', '')"
+    return f"lower({squeeze(f"replace(replace({x}, chr(65381), chr(183)), chr(12685), chr(183))")})"
 
 
 def clean(x: str) -> str:
@@ -129,8 +125,11 @@ def io5_embeddings(s, d):
     return v.select(F.col("metadata").cast("long").alias("vec_id"), "content", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("squared"))
 
 
-TOC_LINE = r"'^[-\s>]*([^.]+(?:\.[^.]+)*?)(?:\.\.|\.\.\.+\s*|\s\s\s+|[.·]\s+|\s+>+\s+)(\d+)\s*$'"
-TOC_SQL = rf"""toc AS (SELECT * FROM (SELECT doc_id, pos, {strip(f"regexp_extract(tx, {TOC_LINE}, 1)")} AS title, TRY_CAST(nullif(regexp_extract(tx, {TOC_LINE}, 2), '') AS BIGINT) AS target_page, x FROM (SELECT doc_id, pos, x, page, {strip('text')} AS tx FROM n) WHERE page BETWEEN 1 AND 2 AND length(tx) >= 3) WHERE target_page IS NOT NULL AND title <> '')"""
+TOC_SQL = rf"""toc0 AS (SELECT doc_id, pos, x, regexp_extract(tx, '[0-9]+$') AS num, regexp_replace(tx, '[0-9]+$', '') AS head FROM (SELECT doc_id, pos, x, page, {strip('text')} AS tx FROM n) WHERE page BETWEEN 1 AND 2 AND length(tx) >= 3),
+toc1 AS (SELECT *, CASE WHEN regexp_matches(head, '\.\.\.\s*$') THEN regexp_replace(head, '\.+\s*$', '') WHEN regexp_matches(head, '\.\.$') THEN regexp_replace(head, '..$', '') WHEN regexp_matches(head, '\.\.\s+$') OR ends_with(head, '.') THEN NULL WHEN regexp_matches(head, '\.\s+$') THEN regexp_replace(head, '\.\s+$', '')
+ WHEN regexp_matches(head, '\s\s\s$') THEN regexp_replace(head, '...$', '') WHEN regexp_matches(head, '·\s+$') THEN regexp_replace(head, '·\s+$', '') WHEN regexp_matches(head, '\s>+\s+$') THEN regexp_replace(head, '\s>+\s+$', '') END AS z FROM toc0 WHERE num <> ''),
+toc2 AS (SELECT *, CASE WHEN regexp_matches(z, '^[-\s>]*(\..*)?$') THEN regexp_extract(z, '[-\s>]?(\..*)?$') ELSE regexp_extract(z, '^[-\s>]*(.*)$', 1) END AS r FROM toc1 WHERE z IS NOT NULL),
+toc AS (SELECT doc_id, pos, {strip('r')} AS title, TRY_CAST(num AS BIGINT) AS target_page, x FROM toc2 WHERE NOT contains(r, '..') AND left(r, 1) <> '.' AND right(r, 1) <> '.' AND {strip('r')} <> '' AND TRY_CAST(num AS BIGINT) IS NOT NULL)"""
 
 
 @query(f"WITH {B.N}, {TOC_SQL} SELECT doc_id, title || ' (page ' || target_page || ')' AS line FROM toc")
@@ -412,11 +411,12 @@ def j2_titles_fuzzy(s, d):
     return match.match_titles_fuzzy(more.select("doc_id", "pos", "text"), marked(B.titles(s, d), "title")).filter("title_no is not null").select("doc_id", "pos", "title_no", "rung")
 
 
-JT = f"""u AS (SELECT doc_id, pos, {TITLED} AS text FROM e), ta AS (SELECT key, min(title_no) AS no FROM (SELECT {normal('title')} AS key, title_no FROM t) WHERE key <> '' GROUP BY key), tb AS (SELECT key, min(title_no) AS no FROM (SELECT {bare('title')} AS key, title_no FROM t) WHERE key <> '' GROUP BY key),
-j AS (SELECT u.*, coalesce(ta.no, tb.no) AS title_no FROM u LEFT JOIN ta ON {normal('u.text')} = ta.key LEFT JOIN tb ON {bare('u.text')} = tb.key)"""
+BARE = lambda x: rf"regexp_replace({x}, '^0?\d{{1,2}}\s+', '')"
+JT = f"""u AS (SELECT doc_id, pos, {TITLED} AS text FROM e), ta AS (SELECT key, min(title_no) AS no, max_by(title, title_no) AS title FROM (SELECT {normal('title')} AS key, title_no, title FROM t) WHERE key <> '' GROUP BY key), tb AS (SELECT {BARE('key')} AS key, min(no) AS no, min_by(title, no) AS title FROM ta GROUP BY 1),
+j AS (SELECT u.*, coalesce(ta.no, tb.no) AS title_no, CASE WHEN ta.no IS NOT NULL THEN ta.title ELSE tb.title END AS title FROM u LEFT JOIN ta ON {normal('u.text')} = ta.key LEFT JOIN tb ON {BARE(normal('u.text'))} = tb.key)"""
 
 
-@query(f"WITH {B.E}, {B.T}, {JT} SELECT doc_id, pos, title_no, title FROM j JOIN t USING (title_no)")
+@query(f"WITH {B.E}, {B.T}, {JT} SELECT doc_id, pos, title_no, title FROM j WHERE title_no IS NOT NULL")
 def j3_titles_exact(s, d):
     return match.match_titles_exact(titled(s, d), B.titles(s, d)).filter("title_no is not null").select("doc_id", "pos", "title_no", "title")
 
@@ -605,26 +605,34 @@ def x14_detect_sections(s, d):
 # sequences
 
 
-@query(f"""WITH {B.E}, {B.T}, {JT}, s AS (SELECT *, count(title_no) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM j), a AS (SELECT doc_id, section, min_by(text, pos) AS text, min(pos) + 1 AS line_number, min_by(title_no, pos) AS title_no, coalesce(string_agg(CASE WHEN title_no IS NULL THEN text END, chr(10) ORDER BY pos), '') AS content FROM s WHERE section > 0 GROUP BY doc_id, section)
+@query(f"""WITH {B.E}, {B.T}, {JT}, s AS (SELECT *, count(title_no) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM j), a AS (SELECT doc_id, section, min_by(text, pos) AS text, min(pos) + 1 AS line_number, min_by(title, pos) AS title, coalesce(string_agg(CASE WHEN title_no IS NULL THEN text END, chr(10) ORDER BY pos), '') AS content FROM s WHERE section > 0 GROUP BY doc_id, section)
 SELECT doc_id, section, a.text, title AS original_title, line_number, content, nullif(regexp_extract(a.text, {quoted(X.CITATION)}), '') AS law_reference, nullif(regexp_extract(a.text, {quoted(X.EFFECTIVE)}), '') AS application_date,
- count(*) OVER (PARTITION BY doc_id) AS total_count FROM a JOIN t USING (title_no)""")
+ count(*) OVER (PARTITION BY doc_id) AS total_count FROM a""")
 def t1_sections_by_title(s, d):
     return sequence.sectionize_by_title(titled(s, d), B.titles(s, d))
 
 
 LEVEL = "CASE " + " ".join(f"WHEN regexp_matches(text, {quoted(p)}) THEN {n}" for p, n in classify.LEVELS) + " ELSE 1 END"
 NH = f"nh AS (SELECT *, least({LEVEL}, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC)) AS level FROM n WHERE type = 'heading')"
-UP = lambda n: f"last_value(CASE WHEN level < {n} THEN id END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, y, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-TREE = f"tr AS (SELECT *, CASE level WHEN 2 THEN {UP(2)} WHEN 3 THEN {UP(3)} WHEN 4 THEN {UP(4)} END AS parent_id FROM nh)"
+def tree(headings: str) -> str:
+    """tr: headings(doc_id, id, page, y, level, ...) with parent_id, depth and path, by recursion from the roots."""
+    return f"""no AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, y, id) AS rn FROM {headings}),
+    up AS (SELECT a.doc_id, a.rn, max(b.rn) AS prn FROM no a LEFT JOIN no b ON a.doc_id = b.doc_id AND b.rn < a.rn AND b.level < a.level GROUP BY ALL),
+    st AS (SELECT no.*, prn FROM no JOIN up USING (doc_id, rn)), tr AS (SELECT *, NULL::BIGINT AS parent_id, 0 AS depth, id::VARCHAR AS path FROM st WHERE prn IS NULL
+     UNION ALL SELECT st.*, tr.id, tr.depth + 1, tr.path || '/' || st.id FROM st JOIN tr ON st.doc_id = tr.doc_id AND st.prn = tr.rn)"""
+
+
+DEEPER = "level + pos % 4 * (pos % 3)"
 
 
 def n_headings(s, d):
     return sequence.heading_levels(sequence.select_headings(B.numbered(s, d)))
 
 
-@query(f"WITH {B.N}, {NH}, {TREE} SELECT doc_id, id, level, parent_id FROM tr")
+@query(f"WITH RECURSIVE {B.N}, {NH}, dh AS (SELECT * REPLACE ({DEEPER} AS level) FROM nh), {tree('dh')} SELECT doc_id, id, level::INT AS level, parent_id, depth, path FROM tr")
 def t2_heading_hierarchy(s, d):
-    return sequence.heading_hierarchy(n_headings(s, d)).select("doc_id", "id", "level", "parent_id")
+    """Levels up to 10."""
+    return sequence.heading_hierarchy(n_headings(s, d).withColumn("level", F.expr(DEEPER).cast("int"))).select("doc_id", "id", "level", "parent_id", "depth", "path")
 
 
 FORMS = "(" + " OR ".join(f"regexp_matches(text, {quoted(p)})" for p in classify.HEADING_FORMS) + ")"
@@ -644,8 +652,8 @@ def t4_heading_levels(s, d):
     return n_headings(s, d).select("doc_id", "id", "level")
 
 
-@query(f"""WITH {B.N}, {NH}, {TREE}, dp AS (SELECT a.*, (a.parent_id IS NOT NULL)::INT + (b.parent_id IS NOT NULL)::INT + (c.parent_id IS NOT NULL)::INT AS depth FROM tr a LEFT JOIN tr b ON a.doc_id = b.doc_id AND a.parent_id = b.id LEFT JOIN tr c ON b.doc_id = c.doc_id AND b.parent_id = c.id)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, y, id) AS line_no, repeat(' ', 4 * depth) || CASE WHEN length(text) > 30 THEN substr(text, 1, 30) || '...' ELSE text END || ' (' || page || ')' AS line FROM dp""")
+@query(f"""WITH RECURSIVE {B.N}, {NH}, {tree('nh')}
+SELECT doc_id, rn AS line_no, repeat(' ', 4 * depth) || CASE WHEN length(text) > 30 THEN substr(text, 1, 30) || '...' ELSE text END || ' (' || page || ')' AS line FROM tr""")
 def t5_toc_outline(s, d):
     return sequence.toc_outline(sequence.heading_hierarchy(n_headings(s, d)))
 

@@ -35,7 +35,7 @@ def test_clean_title(spark, raw, want):
 
 
 def test_normalize_title(spark):
-    assert run(spark, X.normalize_title, ["  가ㆍ나·다  A  b ", None]) == ["가･나･다 a b", None]
+    assert run(spark, X.normalize_title, ["  가\u318d나\uff65다  A  b ", None]) == ["가\u00b7나\u00b7다 a b", None]
 
 
 def test_content_precedence(spark):

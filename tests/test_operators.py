@@ -93,6 +93,15 @@ def test_exact_titles(spark):
     assert rows(match.match_titles_exact(df, t), "pos", "title_no") == [(0, 0), (1, 2), (2, None), (3, None), (4, None), (5, None), (6, 2)]
 
 
+def test_equal_titles_stand_first_and_read_last(spark):
+    t = titles(spark, "a\uff65b", "A\uff65B", "other", "A\u00b7b", "01 c", "2 C", "01 C", "c")
+    df = spark.createDataFrame([("d", 0, "A\u00b7B"), ("d", 1, "09 c"), ("d", 2, "2 c"), ("d", 3, "C")], "doc_id string, pos int, text string")
+    got = rows(match.match_titles_exact(df, t), "pos", "title_no", "title")
+    assert got == [(0, 0, "A\u00b7b"), (1, 4, "01 C"), (2, 5, "2 C"), (3, 7, "c")]
+    s = rows(sequence.sectionize_by_title(df, t), "line_number", "original_title")
+    assert s[:2] == [(1, "A\u00b7b"), (2, "01 C")]
+
+
 def test_fuzzy_titles(spark):
     t = titles(spark, "alpha beta-gamma·delta epsilon", "Single", "tax credit", "3. numbered title", "red-hot")
     texts = ["ALPHA beta-gamma·delta epsilon", "on alpha beta-gammas·for delta epsilon too", "single", "singles", "credit granted against tax law", "alpha beta-gamma", "7. numbered title ..... 9", "a red-hotel"]

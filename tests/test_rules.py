@@ -90,7 +90,11 @@ def test_two_dots_lead_to_a_page(spark):
     assert not one(spark, "second∙∙ 5", X.ends_in_page_number) and one(spark, "a .. 4 ", X.ends_in_page_number)
 
 
-@pytest.mark.parametrize("line, want", [("Title ..... 12", ("Title", 12)), ("- Title....5", ("Title", 5)), ("Title.. 5", None), ("Title    7", ("Title", 7)), ("a > b > 9", ("a > b", 9)), ("Title · 3", ("Title", 3)), ("No page", None), ("A.b ... 4", ("A.b", 4)), ("Title\u3000\u3000\u3000 8", ("Title", 8))])
+@pytest.mark.parametrize("line, want", [
+    ("Title ..... 12", ("Title", 12)), ("- Title....5", ("Title", 5)), ("Title.. 5", None), ("Title    7", ("Title", 7)), ("a > b > 9", ("a > b", 9)), ("Title · 3", ("Title", 3)), ("No page", None), ("A.b ... 4", ("A.b", 4)), ("Title\u3000\u3000\u3000 8", ("Title", 8)),
+    ("Title .. 5", None), ("Title ..5", ("Title", 5)), ("Title. 5", ("Title", 5)), ("Title.5", None), ("a..b ... 5", None), ("... 5", None), ("- .net ... 5", (".net", 5)), ("-.net ... 5", ("-.net", 5)), (".net ... 5", None), ("a· 5", ("a", 5)),
+    ("a ·   5", ("a ·", 5)), ("a.· 5", None), ("a.  > 5", ("a.", 5)), ("a. > 5", None), ("->... 5", (">", 5)), ("a .... 12 ", ("a", 12)), ("Title 99999999999999999999", None), ("a  5", None),
+])
 def test_toc_lines(spark, line, want):
     df = spark.createDataFrame([(1, 0, 1, line, 0.1)], "doc_id int, pos int, page int, text string, x double")
     got = [(r.title, r.target_page) for r in classify.extract_toc_entries(df, 1, 2).collect()]
