@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..operators import batches, blocks, classify, context, match, sequence, stats, vectors
+from ..operators import batches, blocks, classify, context, match, offsets, sequence, stats, vectors
 from ..sources import io
 from . import bindings as B
 
@@ -591,15 +592,28 @@ def x12_top_words_by_document(s, d):
     return P.top_words_by_document(B.table(s, d, "documents"))
 
 
-@query()
+def spots_sql(pack: dict[str, list[str]], docs: str, flags: str = "") -> str:
+    """Matches with offsets: a match starts where the gaps up to it and the matches before it end."""
+    one = "SELECT doc_id, '{f}' AS family, {n} AS pattern_no, regexp_extract_all(text, {p}) AS m, regexp_split_to_array(text, {p}) AS gap FROM {docs}"
+    found = " UNION ALL ".join(one.format(f=f, n=n, p=quoted(flags + p), docs=docs) for f, ps in pack.items() for n, p in enumerate(ps))
+    size = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)::INT"
+    rows = f"SELECT doc_id, family, pattern_no, unnest(list_transform(range(len(m)), lambda k: {{'k': k, 'text': m[k + 1], 'start': {size('gap[1:k + 1]')} + {size('m[1:k]')}}})) AS u FROM ({found})"
+    return f'SELECT doc_id, family, pattern_no, u.k::INT AS seq, u.text, u.start, u.start + length(u.text)::INT AS "end" FROM ({rows})'
+
+
+@query(f"WITH {KL} {spots_sql(P.ELEMENTS, 'kd')}")
 def x13_extract_elements(s, d):
-    return blocks.extract_elements(k_docs(s, d, "\n"))
+    return offsets.extract_elements(k_docs(s, d, "\n"))
 
 
-@query()
+MORE = "상품 안내\n금리 안내\n계약 기간\n부 칙\n제1조 (당사자)"
+TYPED = f"kt AS (SELECT doc_id, text || chr(10) || '{MORE}' AS text FROM kd), ty AS (SELECT *, {BEST} AS b FROM (SELECT doc_id, text, {SCORES} FROM kt)), tt AS MATERIALIZED (SELECT doc_id, text, CASE WHEN b < 3 THEN '{P.OTHER_TYPE}' " + " ".join(f"WHEN s{i} = b THEN '{t}'" for i, t in enumerate(P.TYPES)) + " END AS doc_type FROM ty)"
+
+
+@query(f"WITH {KL}, {TYPED} " + " UNION ALL ".join(f"({spots_sql(pack, f'(SELECT * FROM tt WHERE doc_type = {quoted(t)})', '(?m)')})" for t, pack in P.SECTIONS.items()))
 def x14_detect_sections(s, d):
-    docs = k_docs(s, d, "\n").withColumn("text", F.concat("text", F.lit("\n상품 안내\n금리 안내\n계약 기간\n부 칙\n제1조 (당사자)")))
-    return blocks.detect_sections(docs, P.detect_document_type(docs))
+    docs = k_docs(s, d, "\n").withColumn("text", F.concat("text", F.lit("\n" + MORE)))
+    return offsets.detect_sections(docs, P.detect_document_type(docs))
 
 
 # sequences
@@ -685,12 +699,37 @@ def g_blocks(s, d):
     return with_titles(s, d).withColumns({"id": F.col("pos"), "seq": F.col("pos")})
 
 
-@query()
+def of(alias: str, condition: str) -> str:
+    """A condition on a block's columns, for the block of that alias."""
+    return re.sub(r"\b(text|size|body|font)\b", rf"{alias}.\1", condition)
+
+
+ACROSS = "least(r.x2, o.x2) - greatest(r.x1, o.x1)"
+GOES_ON = f"({ACROSS} >= 0 AND {ACROSS} >= 0.5::DOUBLE * (r.x2 - r.x1) AND o.y1 - r.y2 >= 0 AND o.y1 - r.y2 <= 1.8::DOUBLE * greatest(r.size, o.size) * 0.01::DOUBLE AND NOT {of('r', COMPLETE('text'))} AND NOT ({of('r', TB)}) AND NOT ({of('o', TB)}))"
+RELATED = rf"""(least(r.y2, o.y2) > greatest(r.y1, o.y1) AND {ACROSS} > 0 AND ((starts_with(trim(o.text), '(') AND r.is_title) OR regexp_matches(trim(o.text), '^\((소득|조특|법인|부가가치|상속|증여)(법|령)\s+제\d+조') OR starts_with(trim(o.text), '적용시기') OR starts_with(trim(o.text), '<적용시기') OR (r.font = o.font AND abs(r.size - o.size) < 5 AND r.is_title = o.is_title)))"""
+
+
+def fold_sql(name: str, blocks: str, joins: str, sep: str) -> str:
+    """name: blocks(doc_id, page, i from 1 on a page, ...) folded one by one; a row for each fold."""
+    return f"""{name}_r AS (SELECT *, 1 AS grp FROM {blocks} WHERE i = 1 UNION ALL SELECT doc_id, page, i, CASE WHEN j THEN no ELSE ono END, CASE WHEN j THEN text || sep || otext ELSE otext END, CASE WHEN j THEN least(x1, ox1) ELSE ox1 END, CASE WHEN j THEN least(y1, oy1) ELSE oy1 END, CASE WHEN j THEN greatest(x2, ox2) ELSE ox2 END, CASE WHEN j THEN greatest(y2, oy2) ELSE oy2 END,
+     CASE WHEN j THEN size ELSE osize END, CASE WHEN j THEN font ELSE ofont END, CASE WHEN j THEN body ELSE obody END, CASE WHEN j THEN is_title ELSE otitle END, CASE WHEN j THEN ids || ',' || oids ELSE oids END, CASE WHEN j THEN grp ELSE grp + 1 END
+     FROM (SELECT r.* EXCLUDE (i), o.i, o.no AS ono, o.text AS otext, o.x1 AS ox1, o.y1 AS oy1, o.x2 AS ox2, o.y2 AS oy2, o.size AS osize, o.font AS ofont, o.body AS obody, o.is_title AS otitle, o.ids AS oids, {joins} AS j, {sep} AS sep FROM {name}_r r JOIN {blocks} o ON o.doc_id = r.doc_id AND o.page = r.page AND o.i = r.i + 1)),
+    {name} AS (SELECT * EXCLUDE (i) FROM {name}_r QUALIFY row_number() OVER (PARTITION BY doc_id, page, grp ORDER BY i DESC) = 1)"""
+
+
+def folds_sql(y2: str, overlapping: bool) -> str:
+    given = f"ob AS MATERIALIZED (SELECT g.doc_id, page, row_number() OVER (PARTITION BY g.doc_id, page ORDER BY y1, x1, pos) AS i, 0::BIGINT AS no, text, x1, y1, x2, {y2} AS y2, size, font, body, {TB} AS is_title, pos::VARCHAR AS ids FROM g JOIN bs ON g.doc_id = bs.doc_id)"
+    numbers = "nb AS MATERIALIZED (SELECT doc_id, page, grp::BIGINT AS i, row_number() OVER (PARTITION BY doc_id ORDER BY page, grp) AS no, text, x1, y1, x2, y2, size, font, body, is_title, ids FROM fa)"
+    second = ", " + fold_sql("fb", "nb", RELATED, "CASE WHEN starts_with(trim(o.text), '(') THEN ' ' ELSE chr(10) END") if overlapping else ""
+    return f"WITH RECURSIVE {B.G}, {BODY}, {given}, {fold_sql('fa', 'ob', GOES_ON, chr(39) + ' ' + chr(39))}, {numbers}{second} SELECT doc_id, page, 'm' || no AS id, text, ids AS merged FROM {'fb' if overlapping else 'nb'}"
+
+
+@query(folds_sql("y2", False))
 def t9_merge_adjacent(s, d):
     return blocks.merge_blocks(g_blocks(s, d), gap=0.01).select("doc_id", "page", "id", "text", F.array_join("merged_ids", ",").alias("merged"))
 
 
-@query()
+@query(folds_sql("y2 + CASE WHEN pos % 5 = 0 THEN 0.08::DOUBLE ELSE 0 END", True))
 def t10_merge_overlapping(s, d):
     tall = g_blocks(s, d).withColumn("y2", F.col("y2") + F.when(F.col("pos") % 5 == 0, 0.08).otherwise(0.0))  # some reach into the next line
     return blocks.merge_blocks(tall, gap=0.01, overlapping=True).select("doc_id", "page", "id", "text", F.array_join("merged_ids", ",").alias("merged"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators import batches, blocks, classify, context, match, sequence, stats, vectors
+from quire.operators import batches, blocks, classify, context, match, offsets, sequence, stats, vectors
 from quire.sources import io
 
 
@@ -250,9 +250,25 @@ def test_folds_against_plain_lists(spark, overlapping):
 
 def test_offsets(spark):
     docs = spark.createDataFrame([(1, "가 제3조 1,000원"), (2, None)], "doc_id long, text string")
-    assert rows(blocks.extract_elements(docs, ["법률_참조", "금액_표시"]), "family", "text", "start", "end") == [("금액_표시", "1,000원", 6, 12), ("법률_참조", "제3조", 2, 5)]
+    assert rows(offsets.extract_elements(docs, ["법률_참조", "금액_표시"]), "family", "text", "start", "end") == [("금액_표시", "1,000원", 6, 12), ("법률_참조", "제3조", 2, 5)]
     toc = spark.createDataFrame([(1, "1. first\n2. second")], "doc_id long, text string")
-    assert rows(blocks.extract_elements(toc, ["목차_항목"]), "text", "start") == [("1. f", 0)]  # at the text's begin alone
+    assert rows(offsets.extract_elements(toc, ["목차_항목"]), "text", "start") == [("1. f", 0)]  # at the text's begin alone
+
+
+def test_long_pages_fold_in_one_pass(spark):
+    """A page of 20,000 blocks becomes one; its text is joined once."""
+    b = [block(k, "x" * 50, 2 * k, 2 * k + 1) for k in range(20_000)]
+    df = spark.createDataFrame([(1, 1, *r[2:]) for r in b], SCHEMA)
+    (r,) = blocks.merge_blocks(df).collect()
+    assert len(r.text) == 20_000 * 51 - 1 and len(r.merged_ids) == 20_000
+
+
+def test_growing_texts():
+    g = blocks.Growing("  ")
+    for p in (" ", "4", " ", ".", "  "):
+        g.add(p)
+    assert g.end() == " ." and g.begin(150) == "4 ." and str(g) == "   4 .  " and g.end().endswith(" .")
+    assert g.begin(150) == "4 ." and g.begin(1).startswith("4") and blocks.Growing(" ").end() == "" and blocks.Growing("").begin(3) == ""
 
 
 def test_vectors(spark):
