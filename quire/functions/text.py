@@ -79,10 +79,16 @@ def strip_number(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)^(?!\d{4}년)\d+\.?\s*", "")
 
 
+#: What a text must hold for any of the rules to change it: most texts pass few of them.
+IF_YEAR, IF_END, IF_DOT, IF_DATE = r"\d", r"\d|\.{3}", rf"[{DOTS}∙\ue000]", r"\d\s*[월일]"
+
+
 def clean_title(col: Column) -> Column:
     """Marker, leading number, years, page number, middle dots, dates, spaces, empty brackets."""
     col = strip_number(F.regexp_replace(col, r"(?U)^>>>>\s*", ""))
-    col = chained(col, YEARS + PAGE_ENDS + MIDDLE_DOTS + DATES)
+    where = lambda needed, rules: lambda c: F.when(c.rlike(f"(?U){needed}"), chained(c, rules)).otherwise(c)
+    for needed, rules in ((IF_YEAR, YEARS), (IF_END, PAGE_ENDS), (IF_DOT, MIDDLE_DOTS), (IF_DATE, DATES)):
+        col = bound(col, where(needed, rules))
     return strip(chained(col, [(r"\s+", " "), (r"\(\s*\)", "")]))
 
 

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections import Counter
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 
@@ -30,45 +39,141 @@ def all_around_marks(text: Column) -> Column:
     return F.flatten(F.transform(F.array(cut), around))  # the one-element array binds the cut
 
 
-def title_hits(lines: DataFrame, titles: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """lines(doc_id, pos, text), titles(title_no, title) -> doc_id, pos, title_no, title, rung of the lines that match: the first title by any rung.
+def cleaned(df: DataFrame, text: str) -> DataFrame:
+    """Adds _k1, _k2, _k3: the cleaned text in lower case, without leader and page, without number; and _ws: the words of the last. A text that nothing is left of has none."""
+    df = df.withColumn("_k1", F.nullif(F.lower(X.clean_title(F.col(text))), F.lit("")))
+    df = df.withColumn("_k2", F.regexp_replace("_k1", LEADER, ""))
+    df = df.withColumn("_k3", F.regexp_replace("_k2", NUMBER, ""))
+    return df.withColumn("_ws", F.when(F.col("_k3").rlike(f"[{X.SPLIT_MARKS}]"), X.split_title_words(F.col("_k3"))))
 
-    Rungs, on cleaned text in lower case: 1 equal; 2 equal without leader and page; 3 equal
-    without number; 4 a title of several words (cut at hyphens and middle dots) of which
-    `threshold` are parts of the line's words. A title of several words has one that holds a
-    mark, and a line that matches holds it too: so candidates of rung 4 meet on the characters
-    around a mark, and are then verified. All rungs are one equi-join on (rung, key), and each text is cleaned once.
+
+class TitleWords:
+    """Titles of several words, found in a line's words.
+
+    A line holds enough of a title's n words only if it holds one of any n - need + 1 of them: so a title is filed under that
+    many of its rarest, told by the number of titles that have a word. One automaton finds the words of all titles in a line's.
     """
-    entry = lambda rung, key, words: F.struct(F.lit(rung).alias("rung"), key.alias("key"), words.alias("words"))
-    none = F.lit(None).cast("array<string>")
-    sides = []
-    for df, text in ((lines.select("doc_id", "pos", "text"), "text"), (titles.select("title_no", "title"), "title")):
-        # a text that nothing is left of has no keys
-        df = df.withColumn("_k1", F.nullif(F.lower(X.clean_title(F.col(text))), F.lit("")))
-        df = df.withColumn("_k2", F.regexp_replace("_k1", LEADER, ""))
-        df = df.withColumn("_k3", F.regexp_replace("_k2", NUMBER, ""))
-        sides.append(df.withColumn("_ws", X.split_title_words(F.col("_k3"))))
-    equal = F.array(*[entry(k, F.col(f"_k{k}"), none) for k in (1, 2, 3)])
-    pieces = F.when(F.col("_k3").rlike(f"[{X.SPLIT_MARKS}]"), F.transform(all_around_marks(F.col("_k3")), lambda p: entry(4, p, F.col("_ws"))))
-    own = sides[0].select("doc_id", "pos", F.explode(F.concat(equal, F.coalesce(pieces, F.array().cast(pieces_type())))).alias("e")).select("doc_id", "pos", "e.*").filter("key is not null")
-    main = F.filter("_ws", lambda w: F.length(w) > 1)
-    wanted = F.when(F.size("_ws") > 1, F.transform(F.array_distinct(around_marks(main)), lambda p: entry(4, p, main)))
-    known = sides[1].select("title_no", "title", F.explode(F.concat(equal, F.coalesce(wanted, F.array().cast(pieces_type())))).alias("e")).select("title_no", "title", "e.rung", "e.key", F.col("e.words").alias("main")).filter("key is not null")
-    # of titles with an equal key the first is enough, but those of several words are told apart by the others
-    known = known.groupBy("rung", "key", "main").agg(F.min(F.struct("title_no", "title")).alias("t"))
-    got = F.size(F.filter("main", lambda w: F.exists("words", lambda t: F.contains(t, w))))
-    hits = own.join(known, ["rung", "key"]).filter((F.col("rung") < 4) | (got >= F.size("main") * threshold))
-    best = hits.groupBy("doc_id", "pos").agg(F.min(F.struct("t.title_no", "rung", "t.title")).alias("m"))
-    return best.select("doc_id", "pos", "m.title_no", "m.title", "m.rung")
 
+    def __init__(self, titles: list[tuple[Any, list[str]]], threshold: float):
+        """titles: (what stands for the title, its words), in the order in which they are preferred."""
+        import ahocorasick
+
+        self.shown = [t for t, _ in titles]
+        held = Counter(w for _, words in titles for w in set(words))
+        number = {w: k for k, w in enumerate(held)}
+        self.words = [[number[w] for w in words] for _, words in titles]
+        self.need = [next(m for m in range(len(words) + 1) if m >= len(words) * threshold) for _, words in titles]
+        self.filed: dict[int, list[int]] = {}
+        for k, (_, words) in enumerate(titles):
+            count, left = Counter(words), len(words) - self.need[k] + 1
+            for w in sorted(count, key=lambda w: (held[w], -len(w), w)):
+                if left <= 0:
+                    break
+                self.filed.setdefault(number[w], []).append(k)
+                left -= count[w]
+        self.automaton = ahocorasick.Automaton()
+        for w, k in number.items():
+            self.automaton.add_word(w, k)
+        self.automaton.make_automaton()
+
+    def first(self, words: list[str]) -> Any:
+        """The first title that the words match, or None."""
+        found = {k for w in words for _, k in self.automaton.iter(w)}
+        best = len(self.words)
+        for k in found:
+            for t in self.filed.get(k, ()):
+                if t >= best:
+                    break
+                if sum(w in found for w in self.words[t]) >= self.need[t]:
+                    best = t
+        return self.shown[best] if best < len(self.words) else None
+
+
+READY: dict[str, TitleWords] = {}
+
+
+def title_words(key: str, sent: Broadcast) -> TitleWords:
+    """The titles sent under that key; a worker makes the automaton once."""
+    if key not in READY:
+        READY.clear()
+        READY[key] = TitleWords(*sent.value)
+    return READY[key]
+
+
+def by_automaton(lines: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
+    """Adds _h4 to lines(_ws, ...) where titles(_t, main) are few enough to be sent to all tasks."""
+    rows = sorted(((tuple(r["_t"]), list(r.main)) for r in titles.collect()), key=lambda r: r[0])
+    kind = titles.schema["_t"].dataType
+    if not rows:
+        return lines.withColumn("_h4", F.lit(None).cast(kind))
+    sent, key, arrow = lines.sparkSession.sparkContext.broadcast((rows, threshold)), uuid.uuid4().hex, to_arrow_type(kind)
+    at = lines.columns.index("_ws")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        titles = title_words(key, sent)
+        for b in it:
+            hits = [titles.first(w) if w else None for w in b.column(at).to_pylist()]
+            cells = [dict(zip(("title_no", "title"), h, strict=True)) if h else None for h in hits]
+            yield pa.record_batch([*b.columns, pa.array(cells, arrow)], names=[*b.schema.names, "_h4"])
+
+    return lines.mapInArrow(run, T.StructType([*lines.schema.fields, T.StructField("_h4", kind)]))
+
+
+def by_marks(lines: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
+    """Adds _h4 to lines(_id, _k3, _ws, ...) for any number of titles(_t, main): an equi-join.
+
+    A title of several words has one that holds a mark, and a line that matches holds it too: they meet on the characters around a mark
+    of the title's rarest such words, as many as TitleWords files it under, and are then verified.
+    """
+    mark = f"[{X.SPLIT_MARKS}]"
+    enough = F.ceil(F.size("main") * threshold)
+    words = titles.select("_t", "main", (F.size("main") - enough + 1).alias("_most"), F.explode(F.filter(F.array_distinct("main"), lambda w: w.rlike(mark))).alias("w"))
+    held = words.groupBy("w").agg(F.count("*").alias("_held"))
+    rank = F.row_number().over(Window.partitionBy("_t", "main").orderBy("_held", F.desc(F.length("w")), "w"))
+    filed = words.join(held, "w").withColumn("_rank", rank).filter("_rank <= _most")
+    filed = filed.select("_t", "main", F.explode(around_marks(F.array("w"))).alias("key")).distinct()
+    keys = lines.filter("_ws is not null").select("_id", "_ws", F.explode(all_around_marks(F.col("_k3"))).alias("key"))
+    got = F.size(F.filter("main", lambda w: F.exists("_ws", lambda t: F.contains(t, w))))
+    hits = keys.join(filed, "key").filter(got >= F.size("main") * threshold).groupBy("_id").agg(F.min("_t").alias("_h4"))
+    return lines.join(hits, "_id", "left")
+
+
+#: Titles, and characters of theirs, that are sent to all tasks at most; beyond, lines and titles are joined.
+MOST_TITLES, MOST_CHARS = 200_000, 20_000_000
 
-def pieces_type() -> str:
-    return "array<struct<rung: int, key: string, words: array<string>>>"
 
+def with_hits(lines: DataFrame, text: str, titles: DataFrame, threshold: float = 0.7, shown: str = "title", most_titles: int = MOST_TITLES) -> DataFrame:
+    """Adds _hit(title_no, rung, title) to lines(doc_id, pos, ...): the first of titles(title_no, title) that a line's text matches by any rung; null if none does.
 
-def match_titles_fuzzy(lines: DataFrame, titles: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Adds title_no, title and rung of title_hits() to lines(doc_id, pos, text, ...), null where none matches."""
-    return lines.join(title_hits(lines.select("doc_id", "pos", "text"), titles, threshold), ["doc_id", "pos"], "left").select(*lines.columns, "title_no", "title", "rung")
+    Rungs, on cleaned text in lower case: 1 equal; 2 equal without leader and page; 3 equal
+    without number; 4 a title of several words (cut at hyphens and middle dots) of which
+    `threshold` are parts of the line's words. Each text is cleaned once, and where titles are few enough, lines are not shuffled.
+    shown: the column that the hit's title is taken from. threshold: over a half, so that a match takes a word with a mark, and a line without any mark has none.
+    """
+    if threshold <= 0.5:
+        raise ValueError("the threshold must be over 0.5")
+    known = cleaned(titles.select("title_no", "title", F.col(shown).alias("_shown")), "title").withColumn("_t", F.struct("title_no", F.col("_shown").alias("title")))
+    main = F.filter("_ws", lambda w: F.length(w) > 1)
+    # of titles of the same words the first is enough
+    several = known.filter((F.size("_ws") > 1) & (F.size(main) > 0)).groupBy(F.array_sort(main).alias("main")).agg(F.min("_t").alias("_t"))
+    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("title") + F.length("_shown")), F.lit(0)).alias("chars")).first()
+    few = size.n <= most_titles and size.chars <= MOST_CHARS
+    own = cleaned(lines, text)
+    if few:
+        own = by_automaton(own, several, threshold)
+    else:
+        own = by_marks(own.withColumn("_id", F.struct("doc_id", "pos")), several, threshold).drop("_id")
+    for k in (1, 2, 3):
+        equal = known.groupBy(F.col(f"_k{k}").alias(f"_q{k}")).agg(F.min("_t").alias(f"_h{k}"))
+        own = own.join(F.broadcast(equal) if few else equal, F.col(f"_k{k}") == F.col(f"_q{k}"), "left")
+    hit = F.least(*[F.when(F.col(f"_h{k}").isNotNull(), F.struct(F.col(f"_h{k}.title_no").alias("title_no"), F.lit(k).alias("rung"), F.col(f"_h{k}.title").alias("title"))) for k in (1, 2, 3, 4)])
+    return own.select(*lines.columns, hit.alias("_hit"))
+
+
+def match_titles_fuzzy(lines: DataFrame, titles: DataFrame, threshold: float = 0.7, most_titles: int = MOST_TITLES) -> DataFrame:
+    """Adds title_no, title and rung of the first title that matches (see with_hits()) to lines(doc_id, pos, text, ...), null where none does."""
+    out = with_hits(lines, "text", titles, threshold, most_titles=most_titles)
+    return out.withColumns({c: F.col(f"_hit.{c}") for c in ("title_no", "title", "rung")}).drop("_hit")
 
 
 def match_titles_exact(lines: DataFrame, titles: DataFrame) -> DataFrame:

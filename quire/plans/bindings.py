@@ -14,9 +14,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer parts than there are cores, as a small file is, dealt to all of them; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """E."""
-    out = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    out = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     out = out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.trim("text").alias("text")).filter("text <> ''")
     kind = F.when(F.length("text").between(3, 40), "heading").otherwise("paragraph")
     return out.select("doc_id", "pos", F.col("pos").alias("id"), F.expr("pos div 10 + 1").alias("page"), "text", kind.alias("type"), F.lit(None).cast("string").alias("markdown"), F.lit(None).cast("string").alias("category"))
