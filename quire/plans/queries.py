@@ -91,11 +91,29 @@ def io1_parsed_documents(s, d):
     return parsed(s, d).select("doc_id", "pos", "id", "page", "type", "text")
 
 
-@query(f"WITH {B.E} SELECT type, count(*) AS n, sum(length(text))::BIGINT AS chars FROM e GROUP BY type")
+@query("SELECT CASE WHEN doc_id % 5 = 0 THEN 'malformed' WHEN doc_id % 7 = 0 THEN 'no elements' ELSE 'good' END AS outcome, doc_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN len(list_filter(string_split(text, chr(10)), lambda t: trim(t) <> '')) END AS elements FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0 OR len(list_filter(string_split(text, chr(10)), lambda t: trim(t) <> '')) > 0")
+def io1_quarantine(s, d):
+    """E as parse JSON, a document a line; every fifth is cut off, every seventh has no list of elements."""
+    el = F.struct(F.col("pos").alias("id"), "page", "type", F.struct("text").alias("content"))
+    docs = B.lines(s, d).groupBy("doc_id").agg(F.collect_list(el).alias("elements"))
+    docs = B.table(s, d, "documents").select("doc_id").join(docs, "doc_id", "left")
+    k, line = F.col("doc_id"), F.to_json(F.struct(F.col("doc_id").cast("string").alias("api"), F.when(F.col("doc_id") % 7 != 0, F.col("elements")).alias("elements")))
+    path = io.scratch(s, "parsed")
+    docs.filter((k % 5 == 0) | (k % 7 == 0) | F.col("elements").isNotNull()).select(F.when(k % 5 == 0, F.concat(F.substring(line, 1, 8), k)).otherwise(line).alias("value")).write.text(path)
+    out = io.land_parsed_documents(s, path, io.scratch(s, "landed"), multi_line=False, key="api")
+    good = out.good.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("elements")).select(F.lit("good").alias("outcome"), "doc_id", "elements")
+    # of what is cut off nothing but the raw text tells the document: its number ends it
+    number = F.coalesce(F.col("doc_id"), F.substring("raw", 9, 20)).cast("long")
+    return good.unionByName(out.quarantined.select(F.col("reason").alias("outcome"), number.alias("doc_id"), F.lit(None).cast("long").alias("elements")))
+
+
+@query(f"WITH {B.E} SELECT doc_id, pos, CASE WHEN type = 'heading' AND doc_id % 2 = 0 THEN '! ' || text ELSE text END AS text, type FROM e WHERE type <> 'heading' OR doc_id % 2 = 0")
 def io4_write_elements(s, d):
-    path = io.scratch(s, "elements")
-    io.write_elements(B.lines(s, d), path, "parquet", ["type"])
-    return s.read.parquet(path).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    """All lines by type; then one type's folder again, of every second document and marked: the other stays."""
+    path, e = io.scratch(s, "elements"), B.lines(s, d).select("doc_id", "pos", "text", "type")
+    io.write_elements(e, path, "parquet", ["type"])
+    io.write_elements(e.filter("type = 'heading' and doc_id % 2 = 0").withColumn("text", F.concat(F.lit("! "), "text")), path, "parquet", ["type"])
+    return s.read.parquet(path)
 
 
 @query(f"WITH {B.E} SELECT doc_id, pos + 1 AS line_number, text FROM e")
@@ -107,13 +125,15 @@ PROPS = r"""CASE WHEN event_id % 7 = 0 THEN '{"broken' WHEN event_id % 5 = 0 THE
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id END AS own, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'a' || chr(92) || 's' || chr(92) || 'sb' || chr(10) WHEN event_id % 3 = 0 THEN NULL ELSE 'fine' END AS note,
- (event_id % 7 <> 0 AND (event_id % 5 = 0 OR event_id % 3 <> 0)) AS ok FROM events""")
+ (event_id % 7 <> 0 AND (event_id % 5 = 0 OR event_id % 3 <> 0)) AS ok, event_id % 7 <> 0 AND event_id % 5 = 0 AS repaired, CASE WHEN event_id % 7 = 0 THEN 'malformed' WHEN event_id % 5 <> 0 AND event_id % 3 = 0 THEN 'missing note' END AS reason FROM events""")
 def io3_tolerant_json(s, d):
+    """Good rows and those set aside, of one pass."""
     k = F.col("event_id")
     raw = F.when(k % 7 == 0, '{"broken').when(k % 5 == 0, F.concat(F.lit('{"note":"a\\s\\sb\\n","own":'), k, F.lit("}"))).when(k % 3 == 0, F.concat(F.lit('{"own":'), k, F.lit("}"))).otherwise(F.concat(F.lit('{"note":"fine","own":'), k, F.lit("}")))
     schema = T.StructType([T.StructField("note", T.StringType()), T.StructField("own", T.LongType())])
-    out = io.read_json_tolerant(B.table(s, d, "events").select("event_id", raw.alias("raw")), "raw", schema, ["note", "own"])
-    return out.select("event_id", "parsed.own", "parsed.note", "ok")
+    out = io.land_json_tolerant(B.table(s, d, "events").select("event_id", raw.alias("raw")), "raw", schema, ["note", "own"], io.scratch(s, "json"))
+    shown = lambda df, reason: df.select("event_id", "parsed.own", "parsed.note", reason.isNull().alias("ok"), "repaired", reason.alias("reason"))
+    return shown(out.good, F.lit(None).cast("string")).unionByName(shown(out.quarantined, F.col("reason")))
 
 
 @query("SELECT vec_id, 'vector ' || vec_id AS content, len(embedding) AS dim, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS squared FROM embeddings")

@@ -26,6 +26,46 @@ def test_parsed_documents_and_lines(spark, tmp_path):
     assert [(r.line_number, r.text) for r in io.read_text_lines(spark, str(tmp_path / "t")).orderBy("line_number").collect()] == [(1, "a"), (3, "b")]
 
 
+def test_bad_files_are_set_aside(spark, tmp_path):
+    whole = json.dumps({"elements": [{"id": 1, "content": {"text": "x"}}, {"id": 2}]})
+    files = {"good": whole, "cut": whole[:-9], "empty": "{}", "none": json.dumps({"elements": []}), "wrong": json.dumps({"elements": "x"}), "list": "[" + whole + "]", "blank": ""}
+    (tmp_path / "in").mkdir()
+    for name, text in files.items():
+        (tmp_path / "in" / f"{name}.json").write_text(text)
+    out = io.land_parsed_documents(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    name = lambda r: r.rsplit("/", 1)[-1].split(".")[0]
+    assert sorted((name(r.doc_id), r.pos, r.id) for r in out.good.collect()) == [("good", 0, 1), ("good", 1, 2), ("list", 0, 1), ("list", 1, 2)]
+    bad = {name(r.source): (r.reason, r.raw) for r in out.quarantined.collect()}
+    assert {k: v[0] for k, v in bad.items()} == {"cut": "malformed", "wrong": "malformed", "empty": "no elements"} | ({"blank": bad["blank"][0]} if "blank" in bad else {})
+    assert bad["cut"][1] == files["cut"] and sum(out.counts.values()) == 3 + len(bad) and out.counts["quarantined"] == len(bad)
+    again = io.land_parsed_documents(spark, str(tmp_path / "in"), str(tmp_path / "out"))  # a rerun leaves the same
+    assert again.counts == out.counts and again.good.count() == 4
+
+
+def test_bad_lines_are_set_aside(spark, tmp_path):
+    raw = ['{"a":"x","b":1}', r'{"a":"x\sy","b":1}', '{"a":', '{"a":"x"}', None, " ", "{}", r'{"a":"\s', "[1]"]
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, raw string").repartition(3)
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.LongType())])
+    out = io.land_json_tolerant(df, "raw", schema, ["a", "b"], str(tmp_path / "out"))
+    assert rows(out.good, "i", "parsed.a", "repaired") == [(0, "x", False), (1, r"x\sy", True)]
+    assert rows(out.quarantined, "i", "reason") == [(2, "malformed"), (3, "missing b"), (4, "empty"), (5, "empty"), (6, "missing a, b"), (7, "malformed"), (8, "malformed")]
+    assert out.counts == {"good": 2, "quarantined": 7} and {r.i: r.raw for r in out.quarantined.collect()}[2] == '{"a":'
+    none = io.land_json_tolerant(df.filter("i > 99"), "raw", schema, [], str(tmp_path / "none"))
+    assert none.good.count() == none.quarantined.count() == 0 and none.counts == {"good": 0, "quarantined": 0}
+
+
+def test_a_rewrite_replaces_its_own_folders(spark, tmp_path):
+    at = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "a", "t"), (2, "b", "u"), (3, "c", "v"), (4, "d", None)], "id long, text string, family string")
+    io.write_elements(df, at, "parquet", ["family"])
+    for _ in range(2):  # a retry changes nothing more
+        io.write_elements(spark.createDataFrame([(5, "e", "u"), (6, "f", "w")], df.schema), at, "parquet", ["family"])
+        assert rows(spark.read.parquet(at), "id", "text", "family") == [(1, "a", "t"), (3, "c", "v"), (4, "d", None), (5, "e", "u"), (6, "f", "w")]
+    io.write_elements(df.drop("family"), str(tmp_path / "w"))
+    io.write_elements(df.drop("family").filter("id = 1"), str(tmp_path / "w"))
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 1
+
+
 def test_tolerant_json(spark):
     raw = ['{"a":"x","b":1}', r'{"a":"x\sy","b":1}', r'{"a":"\s\s","b":1}', r'{"a":"q\n\"","b":1}', '{"a":', '{"a":"x"}', None]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")
