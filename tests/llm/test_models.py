@@ -286,3 +286,16 @@ def test_svm_against_plain_solver():
         slack = np.maximum(0, 1 - y * (at @ best))
         best -= 2e-3 * (best - 2 * at.T @ (weight * slack * y))
     assert np.allclose(w, best, atol=0.02)
+
+
+def test_runs_cut_out_of_documents_train_alike():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(3, 400, n).astype("<u2") for n in (0, 1, 15, 16, 40, 333, 2000)]
+    for share in (1 / 64, 1 / 3, 1.0):
+        runs = lm.runs_of(docs, share)
+        small = [lm.cut(d, r) for d, r in zip(docs, runs, strict=True)]
+        model = lm.Attention(400, 2)
+        whole, cut = model.stream(docs, runs), model.stream([d for d, _ in small], [r for _, r in small])
+        assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+        assert share == 1 or sum(len(d) for d, _ in small) < sum(len(d) for d in docs)
+        assert [np.append(d, 2)[i:j].tolist() for d, (i, j) in zip(docs, runs, strict=True)] == [np.append(d, 2)[i:j].tolist() for d, (i, j) in small]
