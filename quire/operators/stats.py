@@ -82,11 +82,11 @@ def font_statistics(spans: DataFrame) -> DataFrame:
     return by.groupBy("doc_id").agg(F.round(F.sum(F.col("size") * F.col("n")) / F.sum("n"), 6).alias("mean_size"), median.alias("median_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.max("body").alias("body_size"), title.alias("title_sizes"))
 
 
-def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, exact: bool = False, few: int = 1000) -> DataFrame:
     """A row for each column: type, nulls, distinct values, rows.
 
-    Distinct values are estimated in one pass over the table. Exact ones are counted column by
-    column: each reads that column alone, and sums up equal values before the shuffle.
+    One scan gives a sketch of each column; a second one counts, as sets, those that have few distinct values by it, and `exact` tells
+    which these are. With `exact`, all are counted column by column: each reads that column alone, and sums up equal values before the shuffle.
     """
     if exact:
         out = None
@@ -98,10 +98,33 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
             one = one.select(F.lit(name).alias("column"), F.lit(kind).alias("type"), "nulls", "distinct_values", "rows")
             out = one if out is None else out.unionByName(one)
         return out
-    aggs = [c for k, name in enumerate(df.columns) for c in (F.count_if(F.col(f"`{name}`").isNull()).alias(f"n{k}"), F.approx_count_distinct(f"`{name}`").alias(f"d{k}"))]
-    one = df.agg(F.count("*").alias("rows"), *aggs)
-    rows = [F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.col(f"n{k}").alias("nulls"), F.col(f"d{k}").alias("distinct_values"), F.col("rows")) for k, (n, t) in enumerate(df.dtypes)]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    told = {r.column: r for r in sketched_profile(column_sketches(df)).collect()}  # a row for each column
+    few_ = [c for c, r in told.items() if r.distinct_values <= 1.2 * few]
+    sets = df.agg(*[F.size(F.collect_set(f"`{c}`")).cast("long").alias(f"d{k}") for k, c in enumerate(few_)]).first() if few_ else ()
+    counted = {c: n for c, n in zip(few_, sets, strict=True) if n <= few}
+    rows = [(r.column, r.type, r.nulls, counted.get(c, r.distinct_values), r.rows, c in counted) for c, r in told.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, type string, nulls long, distinct_values long, rows long, exact boolean")
+
+
+def column_sketches(df: DataFrame, by: list[str] | None = None, lg_k: int = 12) -> DataFrame:
+    """S10 in parts: for each column, of each group if asked for: type, rows, nulls and a sketch of its distinct values, as bytes that can be kept and merged. One scan for all columns."""
+    by = by or []
+    kinds = [(n, t) for n, t in df.dtypes if n not in by]
+    value = lambda n: F.when(F.col(f"`{n}`").isNotNull(), F.xxhash64(f"`{n}`"))
+    aggs = [c for k, (n, _) in enumerate(kinds) for c in (F.count_if(F.col(f"`{n}`").isNull()).alias(f"_n{k}"), F.hll_sketch_agg(value(n), F.lit(lg_k)).alias(f"_s{k}"))]
+    one = df.groupBy(*by).agg(F.count("*").alias("_rows"), *aggs)
+    rows = [F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.col("_rows").alias("rows"), F.col(f"_n{k}").alias("nulls"), F.col(f"_s{k}").alias("sketch")) for k, (n, t) in enumerate(kinds)]
+    return one.select(*by, F.explode(F.array(*rows)).alias("_r")).select(*by, "_r.*")
+
+
+def merge_sketches(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Sketches of parts of a table -> those of the whole, or of larger groups."""
+    return sketches.groupBy(*(by or []), "column", "type").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_profile(sketches: DataFrame) -> DataFrame:
+    """Sketches with the number of distinct values that each stands for."""
+    return sketches.withColumn("distinct_values", F.hll_sketch_estimate("sketch")).drop("sketch")
 
 
 def head_sample(df: DataFrame, n: int = 5) -> DataFrame:

@@ -524,6 +524,16 @@ def s10_column_profile(s, d):
     return out.select("table_name", "column", kind.alias("type"), "nulls", "distinct_values", "rows")
 
 
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS \"column\", count_if({c} IS NULL) AS nulls, CASE WHEN count(DISTINCT {c}) <= 1000 THEN count(DISTINCT {c}) END AS distinct_values, count(*) AS rows FROM {t}" for t, cs in COLUMNS.items() for c in cs.split()))
+def s10_column_sketches(s, d):
+    """Two scans a table; distinct values where they are few."""
+    out = None
+    for t in COLUMNS:
+        own = stats.column_profile(B.table(s, d, t)).withColumn("table_name", F.lit(t))
+        out = own if out is None else out.unionByName(own)
+    return out.select("table_name", "column", "nulls", F.when(F.col("exact"), F.col("distinct_values")).alias("distinct_values"), "rows")
+
+
 @query(f"WITH {B.G}, {RB} SELECT doc_id, side, y, page, pos, pages, y_rel FROM rb")
 def s11_repeating_blocks(s, d):
     return stats.repeating_blocks(B.geometry(s, d)).select("doc_id", "side", "y", "page", "pos", "pages", "y_rel")

@@ -9,7 +9,6 @@ from quire.plans.queries import SQL, Q
 
 DATA = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = ["s3_basic_statistics", "j1_page_context", "c8_classify_blocks", "x2_extract_patterns", "t2_heading_hierarchy", "v3_cosine_topk", "r2_metadata_context", "p4_clean_title"]
 
 
 def test_registered():
@@ -18,7 +17,7 @@ def test_registered():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", FEW)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()

@@ -167,6 +167,20 @@ def test_statistics(spark):
     assert rows(stats.page_word_counts(els), "*") == [(1, 0, 2), (1, 2, 0), (2, 1, 0)]
 
 
+def test_sketches_of_days_are_those_of_the_whole(spark):
+    df = spark.range(40_000).selectExpr("id % 7 as day", "id", "id % 3000 as v", "if(id % 5 = 0, null, cast(id % 9 as string)) as w", "array(id % 11) as a").repartition(6)
+    days = stats.column_sketches(df, ["day"])
+    assert days.count() == 28 and {r.rows for r in days.filter("day = 0").collect()} == {5715}
+    whole, merged = ({r.column: r for r in stats.sketched_profile(x).collect()} for x in (stats.column_sketches(df.drop("day")), stats.merge_sketches(days)))
+    for c, n in {"id": 40_000, "v": 3000, "w": 9, "a": 11}.items():
+        assert abs(merged[c].distinct_values - n) <= 0.06 * n and abs(whole[c].distinct_values - n) <= 0.06 * n
+        assert (merged[c].rows, merged[c].nulls, merged[c].type) == (whole[c].rows, whole[c].nulls, whole[c].type)
+    got = {r.column: (r.nulls, r.distinct_values, r.exact) for r in stats.column_profile(df, few=9).collect()}
+    assert got["w"] == (8000, 9, True) and got["day"] == (0, 7, True) and not got["a"][2] and not got["v"][2]
+    empty = stats.column_profile(df.filter("id < 0")).collect()
+    assert {(r.rows, r.nulls, r.distinct_values, r.exact) for r in empty} == {(0, 0, 0, True)}
+
+
 def test_fonts(spark):
     spans = spark.createDataFrame([(1, s) for s in [10.0] * 4 + [12.0] * 3 + [9.0] * 2 + [30.0]], "doc_id int, size double")
     r = stats.font_statistics(spans).first()

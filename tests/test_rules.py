@@ -145,7 +145,7 @@ def test_section_paragraphs_count_by_type(spark):
 def test_profile_of_columns(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", None), (None, None, 0.5)], "`a.b` long, s string, x double")
     want = [("a.b", "bigint", 1, 2, 3), ("s", "string", 1, 1, 3), ("x", "double", 2, 1, 3)]
-    assert sorted(tuple(r) for r in stats.column_profile(df, exact=True).collect()) == want == sorted(tuple(r) for r in stats.column_profile(df).collect())
+    assert sorted(tuple(r) for r in stats.column_profile(df, exact=True).collect()) == want == sorted(tuple(r) for r in stats.column_profile(df).drop("exact").collect())
     assert stats.column_profile(df.limit(0), exact=True).count() == 3 and stats.head_sample(df, 2).count() == 2
 
 
