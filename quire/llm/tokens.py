@@ -83,7 +83,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
-        self.tok.encode_special_tokens = True
+        self.special = sorted({t.content for t in self.tok.get_added_tokens_decoder().values() if t.special})
+        self.tok.encode_special_tokens = True  # pieces are plain text; a text that names a special token is encoded whole, by the plain call
         self.size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 65536 else np.dtype("<u4")
         self.width = np.array([len(self.tok.id_to_token(k) or "") for k in range(self.size)])  # a byte-level vocabulary writes one character a byte
@@ -166,6 +167,14 @@ class Encoder:
             if size > BLOCK or k == len(texts) - 1:
                 out += self.block(texts[at : k + 1])
                 at, size = k + 1, 0
+        named = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        if named:
+            self.tok.encode_special_tokens = False
+            try:
+                for k, x in zip(named, self.raw([texts[k] for k in named]), strict=True):
+                    out[k] = x
+            finally:
+                self.tok.encode_special_tokens = True
         return out
 
 
