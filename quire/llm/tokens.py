@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import batches, fresh_path, pieces_by_size, read_binary, write_binary
 
 INDEX, TABLE, MAGIC, NULL = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, -(2**63)
-KEPT, BLOCK = 250_000, 8_000_000
+KEPT, BLOCK, ROWS = 250_000, 8_000_000, 3000  # ROWS: texts held as Python strings at once
 #: Pieces on which the library might see other bounds than the space before them: white space after the space, or white space on which engines differ.
 ODD = re.compile(r"\A(?:\s|\Z)|[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]|<\|")
 
@@ -244,8 +244,12 @@ def write_tokens(docs: DataFrame, path: str, file: str, end_id: int, shard_bytes
         end = np.array([end_id], enc.dtype).tobytes()
         held = []
         for batch in it:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            held += zip((NULL if d is None else d for d in batch.column(0).to_pylist()), (x + end for x in enc.encode(texts)), strict=True)
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                texts = ["" if t is None else t for t in part.column(1).to_pylist()]
+                held += zip((NULL if d is None else d for d in part.column(0).to_pylist()), (x + end for x in enc.encode(texts)), strict=True)
+                del part, texts
+                pa.default_memory_pool().release_unused()
         if held:
             yield pa.record_batch([pa.array([shard(TaskContext.get().partitionId(), held, enc.dtype.itemsize)], pa.binary())], names=["blob"])
 
