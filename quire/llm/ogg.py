@@ -7,8 +7,8 @@ samples, with granule positions that count samples; and `meta`, a header packet
 comment packet with the unpadded length. The reader knows nothing of the writer: it
 finds pages, verifies their CRC-32 (polynomial 0x04C11DB7, most significant bit first),
 checks page sequence numbers, splits pages' data into packets by lacing values (255 goes
-on, also into the next page), separates streams by serial number and dates packets by
-granule positions.
+on, also into the next page), separates streams by serial number and dates each packet by
+its page's granule position and the lengths of the packets after it on the page.
 
 Serial numbers come from the content, so equal texts have equal media.
 Defined cases: null or empty text is 64 zero bytes; repeated rows stay; a null doc_id
@@ -20,7 +20,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +109,7 @@ def read_pages(data: bytes) -> Iterator[tuple[int, int, int, int, bytes, bytes]]
 
 
 def demultiplex(data: bytes) -> dict[int, list[tuple[bytes, int | None]]]:
-    """Serial number -> (packet, granule position: of the page, for the last packet that ends on it)."""
+    """Serial number -> (packet, granule position: of the page, for the last packet that ends on it; dated() tells those between)."""
     streams: dict[int, list[tuple[bytes, int | None]]] = {}
     parts: dict[int, list[bytes]] = {}
     seqs: dict[int, int] = {}
@@ -139,6 +140,30 @@ def demultiplex(data: bytes) -> dict[int, list[tuple[bytes, int | None]]]:
     return streams
 
 
+def dated(packets: list[tuple[bytes, int | None]], length: Callable[[bytes], int], rate: int) -> list[tuple[float, float]]:
+    """(start, end) in seconds of each packet of a stream whose packets' lengths in samples are known.
+
+    A page's granule position is that of the end of its last packet; those before it on the page lie before that by the
+    lengths of what follows them. A position that disagrees with the packets since the one before is a fault; only the
+    stream's last may lie before their sum, which cuts its packet short.
+    """
+    out: list[tuple[float, float]] = []
+    at, first = 0, 0
+    for k, (_, granule) in enumerate(packets):
+        if granule is None:
+            continue
+        sizes = [length(p) for p, _ in packets[first : k + 1]]
+        ends = [*accumulate(sizes, initial=at)]
+        if granule > ends[-1] or granule < (ends[-2] if k == len(packets) - 1 else ends[-1]):
+            raise OggError(f"packet {k}: granule position {granule} after {ends[-1]} samples")
+        ends[-1] = granule
+        out += [(a / rate, b / rate) for a, b in pairwise(ends)]
+        at, first = granule, k + 1
+    if first < len(packets):
+        raise OggError("a last packet without a granule position")
+    return out
+
+
 def decode(media: bytes) -> tuple[bytes, int, dict]:
     """(payload, unpadded length, facts) of an Ogg file made of a pcm and a meta stream, told apart by their headers."""
     streams = demultiplex(media)
@@ -147,9 +172,10 @@ def decode(media: bytes) -> tuple[bytes, int, dict]:
     _, rate, bits = struct.unpack("<HIB", pcm[0][0][4:11])
     payload = b"".join(p for p, _ in pcm[1:])
     samples = pcm[-1][1]
+    times = dated(pcm[1:], len, rate)
     if bits != 8 or samples != len(payload):
         raise OggError(f"{len(payload)} samples, granule position {samples}")
-    return payload, int(meta[1][0].removeprefix(b"LENGTH=")), {"packets": len(pcm) - 1, "streams": len(streams), "seconds": samples / rate}
+    return payload, int(meta[1][0].removeprefix(b"LENGTH=")), {"packets": len(pcm) - 1, "streams": len(streams), "seconds": times[-1][1], "times": times}
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:

@@ -150,6 +150,23 @@ def test_ogg_packets_over_pages():
     assert [p for p, _ in ogg.demultiplex(b"".join(pages))[7]] == [p for p, _ in packets]
 
 
+def test_ogg_dates_every_packet():
+    """Packets of known lengths lie one after another; the stream's last may be cut by its granule position."""
+    sizes = [300, 70_000, 5, 0, 4000, 120_000, 7]
+    ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+    packets = [(b"h", 0)] + [(b"a" * n, e) for n, e in zip(sizes, ends)]
+    read = lambda ps: ogg.demultiplex(b"".join(ogg.pages_of(ps, 7)))[7][1:]
+    assert any(g is None for _, g in read(packets))
+    assert ogg.dated(read(packets), len, 1) == [(e - n, e) for n, e in zip(sizes, ends)]
+    cut = [*packets[:-1], (b"a" * 7, ends[-1] - 3)]
+    assert ogg.dated(read(cut), len, 1)[-1] == (ends[-2], ends[-1] - 3)
+    for bad in ([*packets[:-1], (b"a" * 7, ends[-1] + 1)], [(b"h", 0), (b"a" * 61_000, 60_000), (b"b" * 9, 61_009)]):
+        with pytest.raises(ogg.OggError):
+            ogg.dated(read(bad), len, 1)
+    payload, size = ogg.payload_of("x" * 10_000)
+    assert ogg.decode(ogg.encode(payload, size))[2]["times"] == [(0, 4096 / 8000), (4096 / 8000, 8192 / 8000), (8192 / 8000, len(payload) / 8000)]
+
+
 def test_ogg_query(spark):
     df = spark.createDataFrame([(1, "same", "z"), (2, "same", "z"), (None, None, "z"), (4, "", "z")], "doc_id long, text string, media string")
     rows = {r.doc_id: r for r in ogg.from_media(ogg.to_media(df)).collect()}
