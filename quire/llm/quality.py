@@ -52,10 +52,10 @@ STRIP = re.compile(r"^\W+|\W+$")
 def text_view(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashed words, counts)."""
     if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.uint16)
+        return np.zeros(0, np.int32), np.zeros(0, np.uint32)
     h = pd.util.hash_array(np.array(words, dtype=object), categorize=len(words) > 200)
     at, n = np.unique((h >> np.uint64(47)).astype(np.int32), return_counts=True)
-    return at, np.minimum(n, 65535).astype(np.uint16)
+    return at, n.astype(np.uint32)
 
 
 def meta_view(text: str, words: list[str], counts: np.ndarray, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
@@ -88,7 +88,7 @@ def text_rows(at: list[bytes], n: list[bytes]) -> list[tuple[np.ndarray, np.ndar
     """(hashed words, values: square roots of counts, length 1) of each text."""
     out = []
     for a, c in zip(at, n, strict=True):
-        v = np.sqrt(np.frombuffer(c, np.uint16).astype(np.float32))
+        v = np.sqrt(np.frombuffer(c, np.uint32).astype(np.float32))
         out.append((np.frombuffer(a, np.int32), v / np.float32(max(np.sqrt(np.dot(v, v)), 1e-9))))
     return out
 

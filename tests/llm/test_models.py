@@ -96,6 +96,13 @@ def test_quality_rejects_toxic(spark):
     assert quality.fit(quality.prepared(docs.filter("quality = 1"), False), docs.filter("quality = 1"), rounds=1).clean.ready  # toxic labels alone are learned from
 
 
+def test_quality_counts_very_frequent_words():
+    at, n = quality.text_view(["a"] * 70_000 + ["b"])
+    assert sorted(n.tolist()) == [1, 70_000]
+    (_, v), = quality.text_rows([at.tobytes()], [n.tobytes()])
+    assert abs(v.max() / v.min() - 70_000**0.5) < 0.1
+
+
 def test_quality_counts_repeats_of_all_lines():
     late = "\n".join([f"line {k}" for k in range(60)] + ["again"] * 30)
     early = "\n".join(["again"] * 30 + [f"line {k}" for k in range(60)])
