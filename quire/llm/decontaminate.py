@@ -13,8 +13,8 @@ each against all documents; there is no join and no shuffle.
 
 The lemma asks for at least one shared q-gram only of long enough items: those of 40
 characters or more are sought with q = 8, of 4 to 39 with q = 4, of 1 to 3 with q = 1, so that
-each item has its whole edit budget. An item of fewer than `least` characters is common
-as part of words, and counts only where it stands as whole words.
+each item has its whole edit budget. Items of all lengths are found wherever they occur; a flag
+tells whether an occurrence begins and ends where words do, for those who take short items as words only.
 
 Defined cases: items that are null or blank are found nowhere; null or empty texts have no hit; null doc_ids and repeated rows are rows of their own; empty
 tables on either side give no hits; more columns are ignored, or kept by `clean`.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, pieces_by_size
 
-Q, RATE, LEAST = 8, 0.1, 32
+Q, RATE = 8, 0.1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 
@@ -65,13 +65,13 @@ def grams(code: np.ndarray, q: int = Q) -> np.ndarray:
 class Benchmark:
     """A block of items, sought by q-grams of as many characters as their lengths allow."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, least: int = LEAST):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         own = [(i, c) for i, t in items if t and len(c := normal(t.strip())[0])]
         by_q: dict[int, list] = {}
         for i, c in own:
             q = next(q for q in (Q, Q // 2, 1) if len(c) >= q and len(c) - q + 1 - int(len(c) * rate) * q > 0)
             by_q.setdefault(q, []).append((i, c))
-        self.parts = [Grams(part, q, rate, least) for q, part in by_q.items()]
+        self.parts = [Grams(part, q, rate) for q, part in by_q.items()]
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) of the items' occurrences in a text; of overlapping ones of an item the best."""
@@ -84,8 +84,8 @@ class Benchmark:
 class Grams:
     """The q-grams of items, for lookups."""
 
-    def __init__(self, own: list[tuple[int, np.ndarray]], q: int, rate: float, least: int):
-        self.ids, self.codes, self.q, self.least = [i for i, _ in own], [c for _, c in own], q, least
+    def __init__(self, own: list[tuple[int, np.ndarray]], q: int, rate: float):
+        self.ids, self.codes, self.q = [i for i, _ in own], [c for _, c in own], q
         self.m = np.array([len(c) for c in self.codes], np.int64)
         self.k = (self.m * rate).astype(np.int64)
         self.need = self.m - q + 1 - self.k * q
@@ -145,15 +145,9 @@ class Grams:
                 out.append((item, max(start, 0), min(begin + m + x, len(code)), edits))
         return out
 
-    def alone(self, code: np.ndarray, start: int, end: int) -> bool:
-        """Does a place begin and end where words do?"""
-        inner = lambda k: 0 <= k < len(code) and chr(code[k]).isalnum()
-        return not (inner(start - 1) and inner(start)) and not (inner(end - 1) and inner(end))
-
     def search(self, code: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits), places in the normal text."""
         found = self.align(code, self.regions(code))
-        found = [f for f in found if self.m[f[0]] >= self.least or self.alone(code, f[1], f[2])]
         out: list[tuple[int, int, int, int]] = []
         for item, start, end, edits in sorted(found, key=lambda f: (f[0], f[3], f[1])):
             if all(o[0] != item or end <= o[1] or start >= o[2] for o in out):
@@ -161,6 +155,12 @@ class Grams:
         return [(self.ids[i], s, e, d) for i, s, e, d in out if e > s]
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Does a place begin and end where words do?"""
+    inner = lambda k: 0 < k < len(text) and text[k - 1].isalnum() and text[k].isalnum()
+    return not inner(start) and not inner(end)
+
+
 def blocks(benchmark: DataFrame, block_chars: int = 4_000_000) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items in parts of about block_chars characters, one at a time at the driver."""
     items = benchmark.select("item_id", "text").filter("text is not null")
@@ -170,9 +170,9 @@ def blocks(benchmark: DataFrame, block_chars: int = 4_000_000) -> Iterator[list[
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, start_char, end_char, edits of each occurrence."""
+    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, start_char, end_char, edits, whole_words of each occurrence."""
     spark = docs.sparkSession
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("edits", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("edits", pa.int32()), ("whole_words", pa.bool_())])
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
     for items in blocks(benchmark):
@@ -180,23 +180,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def rows(it: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(known.value)
-            yield from batches(((d, *hit) for b in it for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for hit in bench.search(t)), schema)
+            yield from batches(((d, *hit, whole_words(t, *hit[1:3])) for b in it for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for hit in bench.search(t)), schema)
 
-        part = cols.mapInArrow(rows, "doc_id long, item_id long, start_char long, end_char long, edits int")
+        part = cols.mapInArrow(rows, "doc_id long, item_id long, start_char long, end_char long, edits int, whole_words boolean")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows, all columns, in which no item occurs."""
+def clean(docs: DataFrame, benchmark: DataFrame, words: bool = False) -> DataFrame:
+    """The rows, all columns, in which no item occurs; with `words`, none as whole words."""
     spark = docs.sparkSession
+
+    def leaks_into(text: str | None, bench: Benchmark) -> bool:
+        hits = bench.search(text)
+        return any(whole_words(text, s, e) for _, s, e, _ in hits) if words else bool(hits)
+
     for items in blocks(benchmark):
         known = spark.sparkContext.broadcast(items)
 
         def rows(it: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(known.value)
             for b in it:
-                yield b.filter(pa.array([not bench.search(t) for t in b.column("text").to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not leaks_into(t, bench) for t in b.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(rows, docs.schema)
     return docs
