@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 from .common import batches, mix64, written
 
 RUN = 8
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>""", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+STOP = re.compile(r"""[>"']""")
+DIGITS = re.compile(r"&#([0-9]{9,})")
 ATTR = re.compile(r"""([\w:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -74,12 +76,66 @@ def place(tag: str, attrs: str) -> tuple[bool, int]:
     return bad, kind or (1 if names & CONTENT else 0)
 
 
+def decoded(text: str) -> str:
+    """Character references decoded; a number of any length is one, though Python reads short ones only."""
+    if "&" not in text:
+        return text
+    return unescape(DIGITS.sub(lambda m: f"&#{x}" if len(x := m[1].lstrip("0") or "0") < 9 else "&#999999999", text))
+
+
+class Tags:
+    """The tags of a page. Each place is looked at a bounded number of times, however broken the page is."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.ends = html, html.rfind(">"), {}  # ends: for a quote or > outside of quotes, the > that ends its tag, or -1
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at a place: the first > outside of quotes, or, if quotes are left open, the first of all."""
+        path, goal, k = [], -1, at
+        while m := STOP.search(self.html, k):
+            s = m.start()
+            if s in self.ends:
+                goal = self.ends[s]
+                break
+            path.append(s)
+            if m[0] == ">":
+                goal = s
+                break
+            k = self.html.find(m[0], s + 1) + 1
+            if not k:
+                break
+        self.ends.update(dict.fromkeys(path, goal))
+        return goal if goal >= 0 else self.html.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, is an end tag, name, attributes) of the first tag from a place on; comments and declarations have no name."""
+        html = self.html
+        while (b := html.find("<", at)) >= 0:
+            if html.startswith("<!--", b):
+                e = html.find("-->", b + 4)
+                return b, len(html) if e < 0 else e + 3, False, "", ""
+            if b > self.last:  # nothing but a comment can begin where no > follows
+                at = html.find("<!--", b)
+                if at < 0:
+                    return None
+                continue
+            if html.startswith(("<!", "<?"), b):
+                return b, html.find(">", b) + 1, False, "", ""
+            if m := TAG.match(html, b):
+                e = self.end(m.end())
+                return b, e + 1, bool(m[1]), m[2].lower(), html[m.end() : e]
+            at = b + 1
+        return None
+
+
 def blocks(html: str) -> list[tuple[str, bool, int]]:
     """(text, in boilerplate, kind of container) of each block, in page order."""
     out: list[tuple[str, bool, int]] = []
     stack: list[tuple[str, int, int, int]] = []  # element, what holds inside it, and where its text begins if it is inline boilerplate
-    open_: dict[str, int] = {}
+    open_: dict[str, list[int]] = {}  # places on the stack of the open elements of each name
+    open_blocks: list[int] = []  # and of all block elements
     parts: list[str] = []
+    tags = Tags(html)
     bad, kind, at, size = 0, 0, 0, len(html)  # bad: 1 in the header of an article or main part alone, whose headings are text; 2 in other boilerplate
 
     def flush() -> None:
@@ -92,26 +148,28 @@ def blocks(html: str) -> list[tuple[str, bool, int]]:
     def pop() -> None:
         nonlocal bad, kind
         name, _, _, cut = stack.pop()
-        open_[name] -= 1
+        open_[name].pop()
+        if name in BLOCK:
+            open_blocks.pop()
         if cut >= 0:
             del parts[cut:]
         bad, kind = stack[-1][1:3] if stack else (0, 0)
 
     while at < size:
-        m = TAG.search(html, at)
-        if not m:
-            parts.append(unescape(html[at:]))
+        found = tags.next(at)
+        if not found:
+            parts.append(decoded(html[at:]))
             break
-        if m.start() > at:
-            parts.append(unescape(html[at : m.start()]))
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        begin, after, closes, tag, attrs = found
+        if begin > at:
+            parts.append(decoded(html[at:begin]))
+        at = after
         if not tag:
             continue
-        closes = m[1] or m[4]
         if not closes and tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
+            end = re.compile(rf"</{re.escape(tag)}", re.I).search(html, at)
+            at = html.find(">", end.end()) + 1 if end else 0
+            at = at or size
             continue
         if tag in BLOCK:
             flush()
@@ -119,33 +177,27 @@ def blocks(html: str) -> list[tuple[str, bool, int]]:
             parts.append(" ")
         if closes:
             if open_.get(tag):
-                if tag not in BLOCK and any(x[0] in BLOCK for x in stack[-open_size(stack, tag) :]):
+                if tag not in BLOCK and open_blocks and open_blocks[-1] > open_[tag][-1]:
                     continue  # an inline end tag doesn't close blocks
                 flush() if tag in BLOCK else None
                 while stack[-1][0] != tag:
                     pop()
                 pop()
-        elif tag not in VOID and not (m[3] or m[6] or "").rstrip().endswith("/"):
+        elif tag not in VOID and not attrs.rstrip().endswith("/"):
             if tag in BLOCK and open_.get("p") and stack and stack[-1][0] == "p":
                 pop()
-            b, k = place(tag, m[3] or m[6] or "")
+            b, k = place(tag, attrs)
             level = 0 if not b else 1 if tag == "header" and kind >= 2 else 2
             held = 0 if tag in HEADING and bad == 1 else bad
             bad, kind = max(held, level), max(kind, k)
+            open_.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                open_blocks.append(len(stack))
             stack.append((tag, bad, kind, len(parts) if level == 2 and tag not in BLOCK else -1))
-            open_[tag] = open_.get(tag, 0) + 1
     flush()
     return out
 
 
-def open_size(stack: list[tuple], tag: str) -> int:
-    """How many elements are open from the last one named so on."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == tag:
-            return len(stack) - k
-    return 0
-
-
 def main_text(html: str | None) -> tuple[str | None, list[str], list[bool], list[str]]:
     """(main text, if its innermost kind of container is all there is; else null, and the blocks in question with whether that container protects them; all other blocks)."""
     all_ = blocks(html or "")

@@ -1,6 +1,8 @@
 """HTML, decontamination, packing: against brute force and planted cases."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -109,6 +111,16 @@ def test_leak_tables(spark):
     assert D.leaks(docs, bench.limit(0)).count() == 0 and D.clean(docs, bench.limit(0)).count() == 6
 
 
+def test_items_of_all_lengths_inside_words(spark):
+    """One rule below and beyond 32 characters, and a flag for those who want words only."""
+    items = [(1, "the cat sat on mats"), (2, "x" * 31), (3, "z" * 33)]
+    docs = spark.createDataFrame([(1, "Athe cat sat on matsB"), (2, "y" + "x" * 31 + "y"), (3, "y" + "z" * 33 + "y"), (4, "so the cat sat on mats."), (5, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.whole_words) for r in D.leaks(docs, bench).collect()} == {(1, 1, False), (2, 2, False), (3, 3, False), (4, 1, True)}
+    assert [r.doc_id for r in D.clean(docs, bench).collect()] == [5]
+    assert sorted(r.doc_id for r in D.clean(docs, bench, words=True).collect()) == [1, 2, 3, 5]
+
+
 def naive_pack(lengths, caps):
     """Best fit by plain search over all open bins."""
     bins, out = [], [None] * len(lengths)
@@ -187,11 +199,45 @@ def test_short_items_have_their_whole_budget():
     items = [(1, "ab"), (2, "Kiesel"), (3, "a quick brown fox"), (4, "thirty nine characters long, all of it!"), (5, "  "), (6, None)]
     bench = D.Benchmark(items)
     found = lambda t: sorted({h[0] for h in bench.search(t)})
-    assert found("so ab is there") == [1] and found("cabs") == [] and found("Kieselstein") == [] and found("der kiesel.") == [2]
+    assert found("so ab is there") == found("cabs") == [1] and found("Kieselstein") == found("der kiesel.") == [2]
+    alone = lambda t: [D.whole_words(t, s, e) for _, s, e, _ in bench.search(t)]
+    assert alone("so ab is there") == alone("ab") == alone("(Kiesel)") == [True] and alone("cabs") == alone("Kieselstein") == alone("xKiesel") == [False]
     assert found("x a quick brwn fox y") == [3] and found("a quick brwn fx") == []  # one edit, not two
     assert found("Thirty nine charakters long, al of it!") == [4] and found("") == []
 
 
+#: Tags as one expression, which takes time with the square of a broken page.
+PLAIN_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>""", re.S)
+
+
+def test_tags_against_one_expression():
+    rng = random.Random(11)
+    parts = ["<", ">", "<a", "</p", '"', "'", " x=", "<!--", "-->", "<!", "<?", "t", " ", "<B c=\"d\">", "/", "--", "<1"]
+    for _ in range(4000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        tags, at, got = W.Tags(html), 0, []
+        while found := tags.next(at):
+            got.append(found)
+            at = found[1]
+        want = [(m.start(), m.end(), bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in PLAIN_TAG.finditer(html)]
+        assert got == want, html
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a \"'", "<!", "<a ", "</script", "<script></script", "<b><div>", "&#1", "<!--", "<a x='\">"])
+def test_long_broken_pages_take_linear_time(part):
+    html = part * (1_000_000 // len(part))
+    if part == "<b><div>":
+        html = "<b>" + "<div>" * 100_000 + "</b>" * 100_000
+    for page in (html, html + ">", "<p>x</p>" + html):
+        begin = time.process_time()
+        W.main_text(page)
+        assert time.process_time() - begin < 8  # the square would be an hour
+
+
+def test_long_numbers_are_characters():
+    assert W.main_text("<p>a&#" + "1" * 5000 + ";b&#" + "0" * 5000 + "65;</p>")[1] == ["a\ufffdbA"]
+
+
 @pytest.mark.parametrize("html, text", [
     ('<article><div class="entry-header"><h1>Head</h1></div><p>body</p></article>', "Head\nbody"), ('<article><header><div><h1>Head</h1></div><p>by me</p></header><p>body</p></article>', "Head\nbody"),
     ('<article><p>a</p><div class="related-work">b</div><div class="notice-of-intent">c</div><div class="related-posts">d</div><div class="comment-list">e</div></article>', "a\nb\nc"),
