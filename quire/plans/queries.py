@@ -617,6 +617,11 @@ def x12_top_words(s, d):
     return P.top_words(B.table(s, d, "documents"))
 
 
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 20")
+def x12_heavy_words(s, d):
+    return P.heavy_words(B.table(s, d, "documents"))
+
+
 @query("SELECT doc_id, word, n, rank FROM (SELECT doc_id, word, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, word) AS rank FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word FROM documents) GROUP BY doc_id, word) WHERE rank <= 20")
 def x12_top_words_by_document(s, d):
     return P.top_words_by_document(B.table(s, d, "documents"))

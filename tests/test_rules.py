@@ -1,5 +1,7 @@
 """Rules of the reference's operators, with the values that reading its code gives: borders, order of rules, Unicode."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,19 @@ def test_a_failing_row_costs_itself_alone(spark):
 
     df = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "bad", "ccc"])], "id long, content string").coalesce(1)
     assert sorted((r.id, r.embedding) for r in vectors.embed_rows(df, embedder).collect()) == [(0, [1.0]), (2, [3.0])]
+
+
+def test_heavy_words_against_counting(spark, monkeypatch):
+    """Skewed words are named by the summary; equally frequent ones, few words and none are counted whole."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    skewed = [" ".join(vocabulary[min(int(rng.paretovariate(0.9)) - 1, 2999)] for _ in range(200)) for _ in range(150)]
+    docs = lambda texts: spark.createDataFrame([(k % 3, t) for k, t in enumerate(texts)] + [(0, None)], "day long, text string").repartition(5)
+    same = lambda df, **kw: P.heavy_words(df, n=5, **kw).collect() == P.top_words(df, n=5).collect()
+    assert same(docs([" ".join(vocabulary)]), tracked=500) and same(docs(["b a b"])) and same(docs([])) and same(docs(skewed), tracked=500)
+    parts = P.word_summaries(docs(skewed), ["day"], tracked=500)
+    merged = P.merge_word_summaries(parts, tracked=500)
+    assert parts.count() == 3 and merged.first().words == 30_000 and same(docs(skewed), tracked=500, summary=merged)
+    want = P.top_words(docs(skewed), n=5).collect()
+    monkeypatch.setattr(P, "top_words", None)  # the summary alone must do
+    assert P.heavy_words(docs(skewed), n=5, tracked=500).collect() == want
