@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where the session names none, one in the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/steps"
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where the session names none, one in the warehouse. A cluster whose session names none, and whose warehouse is a local folder, is refused."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/steps"
+        if (at.startswith("file:") or "://" not in at) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return at.rstrip("/")
 
 
@@ -37,6 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def steps(name: str) -> str:
+    """A new folder's name for tables that go together: written(df, f"{name}/...") puts them there, and remove_steps takes them all away."""
+    return f"{name}-{uuid.uuid4().hex}"
+
+
+def remove_steps(spark: SparkSession, name: str) -> None:
+    remove(spark, f"{shared_dir(spark)}/{name}")
+
+
 def path_of(df: DataFrame) -> str:
     """The folder of a table made by written()."""
     return df.inputFiles()[0].rsplit("/", 1)[0]

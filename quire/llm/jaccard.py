@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, mix64, path_of, remove, written
+from .common import batches, mix64, path_of, remove, remove_steps, steps, written
 
 SHINGLE, COORDS, SLOTS = 5, 64, 1 << 22
 HOT = 10_000  # paths of more than 1 / HOT of all rows are hot: fewer than HOT of them
@@ -102,29 +102,29 @@ def hot(total: int) -> Column:
     return F.col("m") > max(64, total // HOT)
 
 
-def sized(rows: DataFrame, total: int) -> DataFrame:
+def sized(rows: DataFrame, total: int, at: str = "sized") -> DataFrame:
     """Rows of buckets with several nodes, with m (nodes), n (largest set) and the members' fingerprint.
 
     Counts are summed map-side; those of hot paths, 2 * HOT at most, go to the rows, all others meet by path.
-    total: at least half of the rows.
+    total: at least half of the rows; at: the folder of steps.
     """
     stats = rows.groupBy("path").agg(F.count("*").alias("m"), F.max("n").alias("top"), F.bit_xor(F.xxhash64("key")).alias("f1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("f2"))
-    stats = written(stats.filter("m > 1"), "buckets")
+    stats = written(stats.filter("m > 1"), f"{at}/buckets")
     few = F.broadcast(stats.filter(hot(total)))
     rest = rows.join(few.select("path"), "path", "left_anti").join(stats.filter(~hot(total)), "path")
     return rows.join(few, "path").unionByName(rest)
 
 
-def leaves(nodes: DataFrame, runs: int, split_over: int, depth: int, dense: float = 0.7) -> DataFrame:
+def leaves(nodes: DataFrame, runs: int, split_over: int, depth: int, at: str, dense: float = 0.7) -> DataFrame:
     """nodes(key, n, sig) -> key, path, m, top, f1, f2: the leaf buckets of all runs."""
     run = F.explode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), F.get("sig", r).alias("v"))))
     first = nodes.select("key", "n", run.alias("x"))
     first = first.select("key", "n", child(F.lit(0).cast("long"), F.col("x.run"), F.col("x.v"), F.col("x.run")).alias("path"))
-    top = written(sized(first, nodes.count() * runs), "paths")
+    top = written(sized(first, nodes.count() * runs, at), f"{at}/paths")
     out = [top.filter((F.col("m") <= split_over) | F.lit(depth == 0))]
     big = top.filter(F.col("m") > split_over).join(nodes.select("key", "sig"), "key")
     for level in range(depth):
-        big = written(big, "paths")
+        big = written(big, f"{at}/paths")
         size = big.count()
         if not size:
             break
@@ -132,7 +132,7 @@ def leaves(nodes: DataFrame, runs: int, split_over: int, depth: int, dense: floa
         coords = F.when(F.pmod(F.xxhash64("path", F.lit(7)), F.lit(4)) == 0, F.array(pick(1), pick(2))).otherwise(F.array(pick(1)))
         kids = big.select("key", "n", "sig", F.col("m").alias("was"), "path", F.explode(F.array_distinct(coords)).alias("c"))
         kids = kids.select("key", "n", "sig", "was", child(F.col("path"), F.col("c"), F.get("sig", F.col("c")), F.col("path").bitwiseAND(F.lit(255))).alias("path"))
-        kids = written(sized(kids, size), "paths")  # a row has one or two
+        kids = written(sized(kids, size, at), f"{at}/paths")  # a row has one or two
         done = (F.col("m") <= split_over) | (F.col("m") >= dense * F.col("was")) | F.lit(level == depth - 1)
         out.append(kids.filter(done).drop("sig", "was"))
         big = kids.filter(~done).select("key", "n", "sig", "path", "m")
@@ -308,14 +308,15 @@ LINKS = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("hook", pa.bina
 
 
 def search(docs: DataFrame, nodes: DataFrame, threshold: float, runs: int, split_over: int, block: int, depth: int) -> DataFrame:
-    """A table of (key, links, hook, found, once, twice), several rows for a key."""
-    leaf = written(leaves(nodes, runs, split_over, depth), "leaves")
+    """A table of (key, links, hook, found, once, twice), several rows for a key. The tables of its steps are gone when it ends."""
+    at = steps("search")
+    leaf = written(leaves(nodes, runs, split_over, depth, at), f"{at}/leaves")
     buckets = leaf.groupBy("path").agg(F.first("m").alias("m"), F.first("top").alias("top"), F.first("f1").alias("f1"), F.first("f2").alias("f2"))
     canon = buckets.groupBy("m", "f1", "f2").agg(F.min("path").alias("canon"))
-    canon = written(buckets.join(canon, ["m", "f1", "f2"]).select("path", "m", "canon"), "buckets")
+    canon = written(buckets.join(canon, ["m", "f1", "f2"]).select("path", "m", "canon"), f"{at}/buckets")
     leaf, few = leaf.select("key", "path", "m", "top"), hot(leaf.count())
     named = leaf.filter(~few).join(canon.filter(~few).drop("m"), "path").unionByName(leaf.filter(few).join(F.broadcast(canon.filter(few).drop("m")), "path"))
-    named = written(named.select("key", "path", "canon", "m", "top"), "leaves")
+    named = written(named.select("key", "path", "canon", "m", "top"), f"{at}/leaves")
     lists = named.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("canon", "path"))).alias("l"))  # a node's leaves: some for each run
     lists = lists.select("key", F.col("l.path").alias("paths"), F.col("l.canon").alias("canons"))
     # blocks of bounded rows and bytes; each node goes to all pairs that its block is in
@@ -327,11 +328,13 @@ def search(docs: DataFrame, nodes: DataFrame, threshold: float, runs: int, split
     # sketches first: only nodes with a plausible partner need their sets
     ids = pa.schema([("canon", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("side", pa.int32()), ("same", pa.bool_()), ("key", pa.binary())])
     near = by_blocks(rows.join(nodes.select("key", "n", "sig"), "key"), partial(candidates, threshold=threshold), ids, "canon long, bi int, bj int, side int, same boolean, key binary")
-    near = written(near, "near")
-    known = written(nodes.join(lists, "key").join(near.select("key").distinct(), "key", "left_semi"), "candidates")
+    near = written(near, f"{at}/near")
+    known = written(nodes.join(lists, "key").join(near.select("key").distinct(), "key", "left_semi"), f"{at}/candidates")
     sets = sets_of(docs, known.select("doc_id", "h")).groupBy("key").agg(F.first("set").alias("set"))
     known = known.join(sets, "key").select("key", "n", "sig", "paths", "canons", "set")
-    return written(by_blocks(near.join(known, "key"), partial(compare, threshold=threshold), LINKS, FOUND), "links")
+    links = written(by_blocks(near.join(known, "key"), partial(compare, threshold=threshold), LINKS, FOUND), "links")
+    remove_steps(docs.sparkSession, at)
+    return links
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -352,6 +355,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         remove(new.sparkSession, path_of(labels))
         labels = new.select("key", "label")
         if not changed:
+            remove(new.sparkSession, path_of(both))
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
@@ -391,6 +395,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     node = nodes.select("key", "doc_id", "h", "copies").join(label, "key", "left").join(links, "key", "left")
     node = node.select("key", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h").alias("r"), "copies", F.coalesce("label", "key").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     node = written(node, "classes")
+    for table in (found, label, nodes):  # the classes hold what is left of them
+        remove(docs.sparkSession, path_of(table))
     firsts = node.groupBy("label").agg(F.min("r").alias("first"))
     node = node.join(firsts, "label").select("key", "first", "copies", "links")
     out = sketch.select("doc_id", "h", "key").join(node, "key")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, in_one_task, newton, sigmoid, written
+from .common import batches, in_one_task, newton, remove_steps, sigmoid, steps, written
 
 WORDS, BINS, NUMBERS = 1 << 17, 12, 26
 SYMBOLS = np.zeros(128, bool)
@@ -283,7 +283,8 @@ def fit(table: DataFrame, labels: DataFrame, per_stratum: int = 2500, rounds: in
     picked = own.filter(place < share * (1 << 20))
     rows = table.select("v.doc_id", "v.o", *[f"v.{c}" for c in VIEWS]).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "o"])
     columns = [F.lit(-1).alias("list"), "q", "t", "o", *VIEWS]
-    sample = written(rows.select(*columns), "sample")
+    spark, at = table.sparkSession, steps("fit")
+    sample = written(rows.select(*columns), f"{at}/sample")
     empty = F.lit(None).cast("int")
 
     def train(it: Iterator[pa.RecordBatch]) -> Judge:
@@ -304,10 +305,11 @@ def fit(table: DataFrame, labels: DataFrame, per_stratum: int = 2500, rounds: in
     for r in range(rounds + 1):
         model = in_one_task(learned, ["list", "o", "at"], train)
         if r == rounds or not (model.fine.ready or model.clean.ready):
+            remove_steps(spark, at)
             return model
         part = table.join(F.broadcast(own_ids(picked)), F.col("v.doc_id") == F.col("labelled"), "left_anti").filter(F.pmod("v.o", F.lit(rounds)) == r)
         more = surest(part, model, most).select("list", empty.alias("q"), empty.alias("t"), "o", *VIEWS)
-        learned = learned.unionByName(written(more, "picked"))
+        learned = learned.unionByName(written(more, f"{at}/picked"))
 
 
 def own_ids(picked: DataFrame) -> DataFrame:
