@@ -19,13 +19,20 @@ def build_context(hits: DataFrame) -> DataFrame:
 
 
 def extract_metadata_context(ctx: DataFrame) -> DataFrame:
-    """R2: the lines after a metadata marker's up to the next document or content marker; markers may be indented."""
-    lines = ctx.select("query_id", F.posexplode(F.split("context", "\n")).alias("pos", "line"))
+    """R2: for each metadata marker the lines after it, up to the next document or content marker; markers may be indented.
+
+    A metadata marker among such lines is one of them, and the lines after it come once more. A context without any, or null, gives an empty text.
+    """
+    lines = ctx.select("query_id", F.posexplode(F.split(F.coalesce("context", F.lit("")), "\n")).alias("pos", "line"))
     t = strip(F.col("line"))
-    mark = F.when(t.startswith(METADATA), "m").when(t.startswith(DOCUMENT) | t.startswith(CONTENT), "x")
-    state = F.last(F.col("mark"), ignorenulls=True).over(Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    kept = lines.withColumn("mark", mark).withColumn("state", state).filter("state = 'm' and mark is null")
-    return kept.groupBy("query_id").agg(ordered_join(["pos"], "line", "\n").alias("metadata_context"))
+    stop = (t.startswith(DOCUMENT) | t.startswith(CONTENT)).cast("int")
+    run = F.sum(stop).over(Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    runs = lines.select("query_id", "pos", "line", t.startswith(METADATA).alias("mark"), run.alias("run"))
+    runs = runs.groupBy("query_id", "run").agg(F.sort_array(F.collect_list(F.struct("pos", "line", "mark"))).alias("l"))
+    after = F.transform("l", lambda x, k: F.when(x["mark"], F.slice(F.col("l.line"), k + 2, F.size("l"))).otherwise(F.array().cast("array<string>")))
+    kept = runs.select("query_id", F.struct("run", F.flatten(after).alias("lines")).alias("part"))
+    parts = F.sort_array(F.collect_list("part"))
+    return kept.groupBy("query_id").agg(F.array_join(F.flatten(F.transform(parts, lambda p: p["lines"])), "\n").alias("metadata_context"))
 
 
 def render_prompts(requests: DataFrame, template: str, model: str = "model", temperature: float = 0.0) -> DataFrame:

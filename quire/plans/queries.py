@@ -773,10 +773,20 @@ def t10_merge_overlapping(s, d):
 # vectors and context
 
 
-@query()
+#: crc32 by its table of 256 remainders, for each distinct word; words are what white space of any kind parts.
+V1 = r"""WITH remainders AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)),
+ws AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) AS word FROM documents),
+counts AS (SELECT doc_id, word, count(*) AS n FROM ws GROUP BY doc_id, word),
+octets AS (SELECT word, list_transform(range(1, length(hex(word)), 2), lambda k: ('0x' || substr(hex(word), k, 2))::BIGINT) AS o FROM (SELECT DISTINCT word FROM counts)),
+crcs AS (SELECT word, xor(list_reduce(list_prepend(4294967295, o), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS crc FROM octets, remainders),
+sums AS (SELECT doc_id, crc % 64 AS k, sum(CASE WHEN crc >= 2147483648 THEN n ELSE -n END)::DOUBLE AS v FROM counts JOIN crcs USING (word) GROUP BY doc_id, k)
+SELECT doc_id AS id, 64 AS dim, round((coalesce(sum(v) FILTER (WHERE k = 0), 0) / sqrt(sum(v * v)))::FLOAT::DOUBLE, 4) + 0 AS first FROM sums GROUP BY doc_id HAVING sum(v * v) > 0"""
+
+
+@query(V1)
 def v1_embed_rows(s, d):
     rows = B.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return vectors.embed_rows(rows).select("id", F.size("embedding").alias("dim"), F.round(F.get("embedding", F.lit(0)), 4).alias("first"))
+    return vectors.embed_rows(rows).select("id", F.size("embedding").alias("dim"), F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first"))
 
 
 @query("SELECT vec_id, round(embedding[1]::DOUBLE / n, 5) AS first, round(embedding[64]::DOUBLE / n, 5) AS last FROM (SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)")
@@ -822,7 +832,8 @@ def r1_build_context(s, d):
 
 
 R2 = f"""ln AS (SELECT query_id, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT query_id, string_split(context, chr(10)) AS a FROM cx)), mk AS (SELECT *, CASE WHEN starts_with(trim(line), '{context.METADATA}') THEN 'm' WHEN starts_with(trim(line), '{context.DOCUMENT}') OR starts_with(trim(line), '{context.CONTENT}') THEN 'x' END AS mark FROM ln),
-st AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY query_id ORDER BY pos) AS state FROM mk), r2 AS (SELECT query_id, string_agg(line, chr(10) ORDER BY pos) AS metadata_context FROM st WHERE state = 'm' AND mark IS NULL GROUP BY query_id)"""
+st AS (SELECT *, count(*) FILTER (WHERE mark = 'x') OVER (PARTITION BY query_id ORDER BY pos) AS run FROM mk), md AS (SELECT m.query_id, m.pos AS marker, l.pos, l.line FROM st m JOIN st l ON l.query_id = m.query_id AND l.run = m.run AND l.pos > m.pos WHERE m.mark = 'm'),
+r2 AS (SELECT query_id, coalesce(string_agg(line, chr(10) ORDER BY marker, pos), '') AS metadata_context FROM (SELECT DISTINCT query_id FROM cx) LEFT JOIN md USING (query_id) GROUP BY query_id)"""
 
 
 @query(f"WITH {HITS}, {PASSAGES}, {CONTEXT}, {R2} SELECT query_id, metadata_context FROM r2")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions import text as X
-from quire.operators import batches, classify, match, sequence, stats, vectors
+from quire.operators import batches, classify, context, match, sequence, stats, vectors
 from quire.sources import io
 
 
@@ -175,3 +175,10 @@ def test_heavy_words_against_counting(spark, monkeypatch):
     want = P.top_words(docs(skewed), n=5).collect()
     monkeypatch.setattr(P, "top_words", None)  # the summary alone must do
     assert P.heavy_words(docs(skewed), n=5, tracked=500).collect() == want
+
+
+def test_metadata_of_contexts(spark):
+    text = "문서 1:\n내용: a\nb\n  메타데이터: one\nk: 1\n메타데이터: two\nl: 2\n문서 2:\n메타데이터: three\nm: 3"
+    df = spark.createDataFrame([(1, text), (2, "no marker\nat all"), (3, None), (4, "메타데이터: last")], "query_id long, context string")
+    got = {r.query_id: r.metadata_context for r in context.extract_metadata_context(df).collect()}
+    assert got == {1: "k: 1\n메타데이터: two\nl: 2\nl: 2\nm: 3", 2: "", 3: "", 4: ""}
