@@ -306,3 +306,52 @@ def test_runs_cut_out_of_documents_train_alike():
         assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
         assert share == 1 or sum(len(d) for d, _ in small) < sum(len(d) for d in docs)
         assert [np.append(d, 2)[i:j].tolist() for d, (i, j) in zip(docs, runs, strict=True)] == [np.append(d, 2)[i:j].tolist() for d, (i, j) in small]
+
+
+def test_every_training_token_is_learned_from(spark):
+    import public_tokenizers
+
+    enc = lm.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 300, n).astype(enc.dtype) for n in (0, 1, 700, 5000, 16, 90)] * 3
+    table = spark.createDataFrame([(k % 4 == 1, bytearray(d.tobytes())) for k, d in enumerate(docs)], "held_out boolean, ids binary").repartition(3)
+    own = [d for k, d in enumerate(docs) if k % 4 != 1]
+    counts = lm.successor_counts(table, enc.dtype, enc.end, most=1500).cache()  # few at a time, so that counts are merged
+    seen, sums = lm.contexts(counts, enc.size)
+    want_seen, want = np.zeros(enc.size), np.zeros((enc.size, lm.D))
+    for d in own:
+        for x, y in zip([enc.end, *d.tolist()], [*d.tolist(), enc.end], strict=True):
+            want_seen[x] += 1
+            want[x, : lm.D // 2] += lm.signs(np.array([y]))[0]
+            want[y, lm.D // 2 :] += lm.signs(np.array([x]))[0]
+    assert (seen == want_seen).all() and (sums == want).all()
+    m = lm.train(table, enc.size, enc.dtype, enc.end, lm.most_frequent(counts, enc.size, 1 << 18, 1 << 19), (seen, sums), least=1)
+    assert m.tokens == sum(len(d) + 1 for d in own)
+    # within one task too, each token weighs 1 among the components and the counted successors
+    alone = lm.Attention(enc.size, enc.end).embed(seen, sums)
+    counts, n = alone.learn(iter([own[:2], own[2:]]), chunk=256)
+    assert n == m.tokens and np.isclose(counts.sum() + alone.counted, n, rtol=1e-4)
+
+
+def test_weights_follow_the_gradient():
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 40, n) for n in (30, 0, 47, 5)]
+    m = lm.Attention(50, 49)
+    m.next = counted(docs, 49, 50)
+    m.fit(docs, steps=20, chunk=256)
+    m.next = None
+    eps = 1e-2
+    for name in m.taught:
+        w = getattr(m, name)
+        at = np.unravel_index(np.abs(w).argmax(), w.shape)
+        was, got = w[at].copy(), []
+        for step in (eps, -eps):
+            w[at] = was + step
+            got.append(m.score(docs).sum())
+        w[at] = was
+        slope = got[0] - got[1]
+        other = lm.Attention(50, 49)
+        for k in ("E", "Q", "floor", *m.taught):
+            setattr(other, k, getattr(m, k).copy())
+        other.learn(iter([docs]), chunk=4096, rate=1e-4)
+        assert abs(slope) < 1e-3 or np.sign(getattr(other, name)[at] - was) == np.sign(slope)
