@@ -355,3 +355,58 @@ def test_weights_follow_the_gradient():
             setattr(other, k, getattr(m, k).copy())
         other.learn(iter([docs]), chunk=4096, rate=1e-4)
         assert abs(slope) < 1e-3 or np.sign(getattr(other, name)[at] - was) == np.sign(slope)
+
+
+def test_distinct_parts_are_encoded_once():
+    import public_tokenizers
+    import pyarrow as pa
+
+    enc = lm.Encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng, plain, asked = random.Random(3), enc.enc, []
+    signs = [" ", " ", " ", "  ", "\n", "\t", "\x0b", "\x1f", "\x85", "\xa0", " ", "​", "　", "﻿", "'s", "'", "a", "bc", "Ä", "日本", "12", "!?", "\U0001f600", "\x00", "́"]
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    every = [f"x {chr(c)}y z{chr(c)} w{chr(c)}" for c in range(0x3100)]  # each character after a space, before one and at the end
+    for texts in (odd, every, [""], [" "], ["a"], [" a", "  ", "b" * 5000 + " b"]):
+        of = pa.array(texts)
+        assert enc.encode_parts(of, *lm.parts(of)).to_pylist() == enc.encode(texts)
+    words = [f"w{k}" for k in range(300)]
+    of = pa.array([" ".join(rng.choice(words) for _ in range(500)) for _ in range(80)])
+    want = enc.encode(of.to_pylist())
+
+    class Counting:
+        def encode_ordinary(self, text):
+            asked.append(len(text))
+            return plain.encode_ordinary(text)
+
+    enc.enc = Counting()
+    assert enc.encode_parts(of, *lm.parts(of)).to_pylist() == want and sum(asked) < 0.02 * sum(map(len, of.to_pylist()))
+
+
+def test_places_against_a_dictionary():
+    import pickle
+
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 50_000):
+        keys = rng.permutation(np.unique(rng.integers(0, 1 << rng.integers(18, 42), n)))
+        want = {k: i for i, k in enumerate(keys.tolist())}
+        asked = np.concatenate([keys, rng.integers(-(1 << 21), 1 << 42, 20_000), keys + 1, [-1, 0]])
+        for places in (lm.Places(keys), pickle.loads(pickle.dumps(lm.Places(keys)))):
+            assert places(asked).tolist() == [want.get(k, -1) for k in asked.tolist()]
+    with pytest.raises(ValueError):
+        lm.Places(np.zeros(1 << 21, np.int64))
+
+
+def test_successor_counts_come_once_a_key(spark):
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 40, n).astype("<u2") for n in (0, 1, 2, 900, 3000, 40)] * 4
+    table = spark.createDataFrame([(k % 5 == 1, bytearray(d.tobytes())) for k, d in enumerate(docs)], "held_out boolean, ids binary").repartition(5)
+    want = Counter()
+    for d in (d for k, d in enumerate(docs) if k % 5 != 1):
+        x = [40, *d.tolist(), 40]
+        want.update((lm.NONE, *p) for p in zip(x, x[1:], strict=False))
+        want.update(zip(x, x[1:], x[2:], strict=False))
+    for most in (20, 1000, 1_000_000):
+        got = lm.successor_counts(table, np.dtype("<u2"), 40, most=most)
+        assert "HashAggregate" not in got._jdf.queryExecution().toString()  # rows of packed counts travel, not a row a key
+        rows = got.collect()
+        assert len(rows) == len(want) and {(r.key >> 42, r.key >> 21 & lm.NONE, r.key & lm.NONE): r.c for r in rows} == want
