@@ -78,3 +78,44 @@ def test_a_title_is_filed_under_few_words():
     found = match.TitleWords(titles, 0.7)
     assert sum(map(len, found.filed.values())) == 100  # one of three words, and not the common ones
     assert found.first(["own-3x", "the-end"]) is None and found.first(["own-3x", "the-end", "of-its"]) == (3, "")
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_many_titles_move_few_bytes_of_long_lines(spark):
+    texts = [" ".join(f"long{i}word{k}-next{i}word{k}" for k in range(400)) for i in range(12)]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, 0, "red-hot·blue-sky")], "doc_id int, pos int, text string")
+    titles = spark.createDataFrame([(k, f"no{k}such-word{k}·nor{k}this-one{k}") for k in range(50)] + [(60, "red-hot·blue-sky"), (61, texts[3])], "title_no int, title string")
+    before = shuffled(spark)
+    got = {(r.doc_id, r.pos): (r.title_no, r.rung) for r in match.match_titles_fuzzy(lines, titles, most_titles=0).filter("title_no is not null").collect()}
+    assert got == {(1, 3): (61, 1), (2, 0): (60, 1)}
+    assert shuffled(spark) - before < sum(map(len, texts))
+
+
+def test_lines_of_one_place_are_matched_apart(spark):
+    df = spark.createDataFrame([(1, 0, "see red-hot·or blue-sky·below"), (1, 0, "plain"), (None, 0, "one-two·three-four"), (None, 0, None), (None, 0, "x")], "doc_id int, pos int, text string")
+    titles = spark.createDataFrame([(4, "red-hot·blue-sky"), (5, "One-two·three-four")], "title_no int, title string")
+    for most in (1000, 0):
+        got = {(r.doc_id, r.text): (r.title_no, r.rung) for r in match.match_titles_fuzzy(df, titles, most_titles=most).collect()}
+        assert got == {(1, "see red-hot·or blue-sky·below"): (4, 4), (1, "plain"): (None, None), (None, "one-two·three-four"): (5, 1), (None, None): (None, None), (None, "x"): (None, None)}
+
+
+def test_words_of_all_lengths_and_words_that_match_alone(spark):
+    rng = random.Random(5)
+    part = lambda: "".join(rng.choice("ab\U0001f600가") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 8, 9, 16, 17, 30])))
+    pool = [w for w in (part() + rng.choice("-･") + part() for _ in range(40)) if len(w) > 1]
+    titles = [(k, "-".join(rng.choices(pool[:12] if k % 2 else pool, k=rng.randint(1, 5)))) for k in range(60)]
+    titles += [(70, "-".join([pool[0]] * 3 + [pool[1]])), (71, "-".join([pool[0]] * 7 + pool[2:5])), (72, "-".join([pool[1]] * 2 + [pool[0]]))]
+    lines = [(i, "-".join(rng.choice(["", "x", "b"]) + w + rng.choice(["", "y", "a"]) for w in rng.choices(pool, k=rng.randint(1, 6)))) for i in range(300)]
+    shown = {t for (t,) in spark.createDataFrame([(t,) for _, t in [*titles, *lines]], "t string").filter(F.lower(X.clean_title(F.col("t"))) == F.col("t")).collect()}
+    titles, lines = [x for x in titles if x[1] in shown], [x for x in lines if x[1] in shown]
+    assert len(titles) > 30 and len(lines) > 150
+    want = plain(lines, titles, 0.7)
+    assert len([1 for _, rung in want.values() if rung == 4]) > 30
+    df, known = spark.createDataFrame([(1, i, t) for i, t in lines], "doc_id int, pos int, text string").repartition(3), spark.createDataFrame(titles, "title_no int, title string")
+    for most in (1000, 0):
+        assert {r.pos: (r.title_no, r.rung) for r in match.match_titles_fuzzy(df, known, most_titles=most).collect() if r.title_no is not None} == want
